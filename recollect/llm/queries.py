@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import lm, pii, quality, repair, tokencount
+from . import lm, neardup, pii, quality, repair, tokencount
 from .tables import read
 
 
@@ -14,6 +14,10 @@ def op1_lm_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lm.score_documents(read(spark, sf_dir, "documents"))
 
 
+def op2_near_copies(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return neardup.groups(read(spark, sf_dir, "documents"))
+
+
 def op3_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.spans(read(spark, sf_dir, "documents"))
 
@@ -32,6 +36,7 @@ def op10_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_lm_scores": op1_lm_scores,
+    "op2_near_copies": op2_near_copies,
     "op3_personal_data": op3_personal_data,
     "op4_token_counts": op4_token_counts,
     "op6_quality": op6_quality,
