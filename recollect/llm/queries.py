@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontam, lm, neardup, pii, quality, repair, tokencount
+from . import decontam, html_extract, lm, neardup, pii, quality, repair, tokencount
 from .tables import read
 
 
@@ -26,6 +26,10 @@ def op4_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokencount.token_counts(read(spark, sf_dir, "documents"))
 
 
+def op5_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_extract.extract(read(spark, sf_dir, "pages"))
+
+
 def op6_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.score_documents(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels"))
 
@@ -43,6 +47,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_near_copies": op2_near_copies,
     "op3_personal_data": op3_personal_data,
     "op4_token_counts": op4_token_counts,
+    "op5_main_text": op5_main_text,
     "op6_quality": op6_quality,
     "op7_leaks": op7_leaks,
     "op10_token_files": op10_token_files,
