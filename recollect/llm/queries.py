@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontam, html_extract, lm, neardup, pii, quality, repair, tokencount
+from . import decontam, hamming, html_extract, lm, neardup, pii, quality, repair, tokencount
 from .tables import read
 
 
@@ -38,6 +38,10 @@ def op7_leaks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontam.matches(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark"))
 
 
+def op8_hamming_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return hamming.top_k(read(spark, sf_dir, "embeddings"))
+
+
 def op10_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return repair.token_files(read(spark, sf_dir, "documents"))
 
@@ -50,7 +54,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op5_main_text": op5_main_text,
     "op6_quality": op6_quality,
     "op7_leaks": op7_leaks,
+    "op8_hamming_top_k": op8_hamming_top_k,
     "op10_token_files": op10_token_files,
 }
 
-ORACLE: dict[str, str] = {}
+ORACLE: dict[str, str] = {"op8_hamming_top_k": hamming.ORACLE}
