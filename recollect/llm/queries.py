@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontam, hamming, html_extract, lm, neardup, pii, quality, repair, tokencount
+from . import decontam, hamming, html_extract, lm, neardup, pieces, pii, quality, repair, tokencount
 from .tables import read
 
 
@@ -42,6 +42,10 @@ def op8_hamming_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
     return hamming.top_k(read(spark, sf_dir, "embeddings"))
 
 
+def op9_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pieces.encode(read(spark, sf_dir, "documents"))
+
+
 def op10_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return repair.token_files(read(spark, sf_dir, "documents"))
 
@@ -55,6 +59,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op6_quality": op6_quality,
     "op7_leaks": op7_leaks,
     "op8_hamming_top_k": op8_hamming_top_k,
+    "op9_pieces": op9_pieces,
     "op10_token_files": op10_token_files,
 }
 
