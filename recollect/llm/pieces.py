@@ -24,6 +24,7 @@ from functools import cache
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import public_tokenizers
 from pyspark.sql import DataFrame
 
@@ -141,8 +142,8 @@ def encode(docs: DataFrame, model: str | None = None, dropout: float = 0.1, seed
         for batch in batches:
             keys = arrays.mix(np.asarray(batch.column(0).fill_null(0)).astype(np.int64).view(np.uint64) + np.uint64(seed))
             column = batch.column(1).cast(pa.large_binary())
-            upto = np.asarray(column.offsets).astype(np.int64)
-            cuts = np.flatnonzero(np.diff((upto[1:] - upto[0]) // chunk_bytes, prepend=0))
+            upto = np.cumsum(np.asarray(pc.binary_length(column)).astype(np.int64))
+            cuts = np.flatnonzero(np.diff(upto // chunk_bytes, prepend=0))
             for a, b in zip([0, *cuts.tolist()], [*cuts.tolist(), batch.num_rows], strict=True):
                 if b <= a:
                     continue
