@@ -86,7 +86,15 @@ def word_counts(docs: DataFrame) -> DataFrame:
 
 def lexicon(counts: DataFrame, texts: int, classes: int, width: int, head: int) -> Lexicon:
     per_group = counts.groupBy("grp").agg(F.sum("c").alias("c"), F.count("*").alias("v")).toPandas()
-    top = counts.orderBy(F.desc("c"), "hash").limit(head).toPandas()
+    # Counts by steps of a twelfth of their binary logarithm: the lowest step that still fits the head.
+    step = F.floor(F.log2("c") * 12)
+    steps = sorted(((r["s"], r["n"]) for r in counts.groupBy(step.alias("s")).agg(F.count("*").alias("n")).collect()), reverse=True)
+    upto, least = 0, 1 << 40
+    for s, n in steps:
+        if upto + n > head:
+            break
+        upto, least = upto + n, s
+    top = counts.where(step >= least).toPandas().sort_values(["c", "hash"], ascending=[False, True])
     count, words = np.zeros(GROUPS), np.zeros(GROUPS)
     count[per_group["grp"]], words[per_group["grp"]] = per_group["c"], per_group["v"]
     return Lexicon(top["hash"].to_numpy(np.int64).view(np.uint64), top["c"].to_numpy(np.int64), top["grp"].to_numpy(np.int32), int(count.sum()) + texts, int(words.sum()) + (texts > 0), texts, count, words, classes, width)
@@ -242,7 +250,7 @@ def padded(flat: np.ndarray, sizes: np.ndarray, end: int) -> tuple[np.ndarray, n
     return np.concatenate((np.full((1, rows), end, dtype=np.int32), targets[:-1])), targets
 
 
-def train(model: Model, chunks: Iterator[tuple[np.ndarray, np.ndarray]], end: int, rate: float, cut: int = 512, rows_at_once: int = 256) -> int:
+def train(model: Model, chunks: Iterator[tuple[np.ndarray, np.ndarray]], end: int, rate: float, cut: int = 512, rows_at_once: int = 640) -> int:
     """One pass over chunks of (flat symbols, sizes); texts over ``cut`` symbols go on in further rows."""
     adam, seen = Adam(model, rate), 0
     for flat, sizes in chunks:
