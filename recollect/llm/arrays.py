@@ -115,8 +115,9 @@ class HashIndex:
 
 
 class SegmentCache:
-    """What was computed for each distinct segment, by hash: a ragged row of ids. It is emptied when
-    it holds ``most`` segments, so a worker's memory stays bounded; results don't depend on it."""
+    """What was computed for each distinct segment, by hash: a ragged row of ids. When it holds
+    ``most`` segments, those not met again since they were put in or kept are dropped, so a worker's
+    memory stays bounded; results don't depend on it."""
 
     def __init__(self, most: int = 400_000) -> None:
         self.most = most
@@ -126,17 +127,28 @@ class SegmentCache:
         self.keys = np.zeros(0, dtype=U)
         self.at = np.zeros(0, dtype=np.int64)
         self.size = np.zeros(0, dtype=np.int32)
+        self.again = np.zeros(0, dtype=bool)
         self.flat = np.zeros(0, dtype=np.int32)
 
+    def shrink(self) -> None:
+        keep = np.flatnonzero(self.again)
+        if len(keep) > self.most // 2:
+            return self.clear()
+        size = self.size[keep]
+        self.flat = self.flat[spread(self.at[keep], size.astype(np.int64))]
+        self.keys, self.size, self.again = self.keys[keep], size, np.zeros(len(keep), dtype=bool)
+        self.at = np.cumsum(size, dtype=np.int64) - size
+
     def rows(self, keys: np.ndarray, compute: Callable[[np.ndarray], tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """(at, size, flat) of each key; ``compute(first)`` gives (flat ids, sizes) of the new
         segments, by the index at which each first occurs."""
         found, first, back = np.unique(keys, return_index=True, return_inverse=True)
         if len(self.keys) + len(found) > self.most:
-            self.clear()
+            self.shrink()
         pos = np.searchsorted(self.keys, found)
         known = pos < len(self.keys)
         known[known] = self.keys[pos[known]] == found[known]
+        self.again[pos[known]] = True
         if not known.all():
             new = np.flatnonzero(~known)
             flat, size = compute(first[new])
@@ -146,6 +158,7 @@ class SegmentCache:
             self.keys = np.insert(self.keys, where, found[new])
             self.at = np.insert(self.at, where, at)
             self.size = np.insert(self.size, where, size.astype(np.int32))
+            self.again = np.insert(self.again, where, False)
             pos = np.searchsorted(self.keys, found)
         return self.at[pos][back], self.size[pos][back], self.flat
 

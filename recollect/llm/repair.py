@@ -34,7 +34,8 @@ SHARDS = "part int, shard int, first_doc long, docs long, before long, n_ids lon
 def compress(ids: np.ndarray, least: int = 24, rounds: int = 6, per_round: int = 4096) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """(sequence, left, right, expansion length). In each round the pairs that occur ``least`` times
     or more become rules, the most frequent first; where occurrences overlap, every other one from
-    the left is replaced. Ends when no pair is frequent or after ``rounds``."""
+    the left is replaced. Ends when no pair is frequent, when a round takes away less than a hundredth of the
+    sequence, or after ``rounds``."""
     seq = ids.astype(np.uint32)
     base = int(seq.max(initial=0)) + 1
     lefts, rights, lengths = np.zeros(0, np.uint32), np.zeros(0, np.uint32), np.zeros(0, np.uint32)
@@ -69,6 +70,8 @@ def compress(ids: np.ndarray, least: int = 24, rounds: int = 6, per_round: int =
         keep = np.ones(len(seq), dtype=bool)
         keep[at + 1] = False
         seq = seq[keep]
+        if len(at) * 100 < len(keep):
+            break
     return seq, lefts, rights, lengths
 
 
@@ -142,7 +145,10 @@ def word_encoder(path: str) -> Callable[[pa.Array], Iterator[tuple[int, np.ndarr
     os.environ["TOKENIZERS_PARALLELISM"] = "false"
     from tokenizers import Tokenizer
 
-    tokenizer, cache = Tokenizer.from_file(path), _CACHE.setdefault(path, arrays.SegmentCache())
+    tokenizer, cache = Tokenizer.from_file(path), _CACHE.setdefault(path, arrays.SegmentCache(1_200_000))
+    # Words go to the library many at a time, with a special token between them to part their ids.
+    mark = next(t for t in tokenizer.get_added_tokens_decoder().values() if t.special).content
+    mark_id = tokenizer.token_to_id(mark)
 
     def encode(column: pa.Array) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
         for row, data, offsets in arrays.chunks(column, 2_000_000):
@@ -150,13 +156,20 @@ def word_encoder(path: str) -> Callable[[pa.Array], Iterator[tuple[int, np.ndarr
             whole = data.tobytes()
 
             def new(first: np.ndarray, starts=starts, ends=ends, whole=whole) -> tuple[np.ndarray, np.ndarray]:
+                words = [whole[a:b].decode() for a, b in zip(starts[first].tolist(), ends[first].tolist(), strict=True)]
                 flat, size = [], []
-                for k in range(0, len(first), 20_000):
-                    at = first[k : k + 20_000]
-                    for e in tokenizer.encode_batch_fast([whole[a:b].decode() for a, b in zip(starts[at].tolist(), ends[at].tolist(), strict=True)], add_special_tokens=False):
-                        flat += e.ids
-                        size.append(len(e.ids))
-                return np.array(flat, dtype=np.int32), np.array(size, dtype=np.int64)
+                for k in range(0, len(words), 128):
+                    some = words[k : k + 128]
+                    if any("<|" in w for w in some):  # may hold a special token itself
+                        each = [np.array(e.ids, dtype=np.int32) for e in tokenizer.encode_batch_fast(some, add_special_tokens=False)]
+                        flat += each
+                        size.append(np.array([len(x) for x in each]))
+                    else:
+                        ids = np.array(tokenizer.encode_batch_fast([mark.join(some)], add_special_tokens=False)[0].ids, dtype=np.int32)
+                        cuts = np.flatnonzero(ids == mark_id)
+                        flat.append(ids[ids != mark_id])
+                        size.append(np.diff(np.concatenate(([-1], cuts, [len(ids)]))) - 1)
+                return np.concatenate(flat), np.concatenate(size).astype(np.int64)
 
             at, size, flat = cache.rows(arrays.hash_segments(data, starts, ends), new) if len(starts) else (np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.int32))
             ids = flat[arrays.spread(at, size.astype(np.int64))]
