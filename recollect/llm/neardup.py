@@ -1,14 +1,14 @@
 """Near-duplicate documents by bottom-k sketches.
 
-One hash function orders all shingles; a document's sketch is its ``k`` lowest values. Documents with
+One hash function orders all shingles; a document's sketch is its ``K`` lowest values. Documents with
 equal sets form a class, of which one goes on. Inverted lists of the retained values give candidates:
-two sets at the threshold share at least ``overlap`` sketch values (fewer with a chance below one in a
-million), so of any order of values they share one of the first ``k - overlap + 1``; the order is
-rarest first, which leaves values that only one class has, and common phrases, out of the lists. Short
-lists give all their pairs. A long list (a large group of near copies) gives a star around its most
-central member first; members that are still apart afterwards are then compared with each other,
-sketch against sketch inside the join. Candidates are filtered by the similarity estimated from the
-sketch of the union, and what remains is confirmed on full sets, and joined into components.
+two sets at the threshold share a known least number of their k lowest values, so of any order of
+values they share one of the first ``k - least + 1``; the order is rarest first, which leaves values
+that only one class has, and common phrases, out of the lists. The lists are those of the ``FIRST`` lowest values. A
+list gives stars, not all its pairs, until its members are linked or the rounds are over; members that
+are still apart are then compared across components, sketch against sketch inside the join. Candidates
+are filtered by the similarity estimated from the sketch of the union, at last that of ``K`` values,
+and what remains is confirmed on full sets, and joined into components.
 
 Nulls: null or wordless text has an empty set and is linked with nothing. A null doc_id is not
 linked, and kept is null. Rows repeating an id go by that id. Extra columns are ignored by ``groups``
@@ -27,8 +27,8 @@ from pyspark.sql import functions as F
 from . import arrays, tables
 from .components import components
 
-K = 32
-OVERLAP = 15
+K = 128
+FIRST = 32
 
 
 def shingle_sets(column: pa.Array, words: int, chunk: int = 4_000_000) -> Iterator[tuple[int, list[np.ndarray]]]:
@@ -82,12 +82,23 @@ def full_sets(docs: DataFrame, words: int) -> DataFrame:
     return docs.select("doc_id", "text").mapInArrow(work, "doc_id long, shingles array<long>")
 
 
-def candidate_lists(reps: DataFrame) -> DataFrame:
-    """v, rep, n, central: the retained values under which a class representative is listed."""
-    each = reps.select("rep", "n", F.size("sketch").alias("k"), F.explode("sketch").alias("v"))
+def least_shared(k: int) -> int:
+    """How many of the k lowest values of a union two sets at the threshold share, but for a chance
+    below one in a million (4.7 deviations)."""
+    return int(0.8 * k - 4.7 * (0.16 * k) ** 0.5)
+
+
+def candidate_lists(reps: DataFrame, k: int) -> DataFrame:
+    """v, rep, n, central: the retained values under which a class representative is listed, by its
+    ``k`` lowest values. Values that no other class retains take up the first places of the order, so
+    a class with many of its own isn't listed at all."""
+    low = reps.select("rep", "n", F.slice("sketch", 1, k).alias("sketch"))
+    each = low.select("rep", "n", F.size("sketch").alias("k"), F.explode("sketch").alias("v"))
     shared = each.groupBy("v").agg(F.count("*").alias("df")).where(F.col("df") > 1)
     held = each.join(shared, "v").groupBy("rep", "n", "k").agg(F.sort_array(F.collect_list(F.struct("df", "v"))).alias("vs"))
-    need = F.when(F.col("n") <= 24, F.ceil(F.col("n") * F.lit(4) / F.lit(5))).otherwise(F.lit(OVERLAP))
+    # A partner of a set this small is itself no larger than the sketch, and both are known in full.
+    whole = F.col("n") * 5 <= F.lit(k) * 4
+    need = F.when(whole, F.ceil(F.col("n") * F.lit(4) / F.lit(5))).otherwise(F.lit(least_shared(k)))
     own = F.col("k") - F.size("vs")
     keys = (F.col("k") - need + 1 - own).cast("int")
     return held.where(keys > 0).select("rep", "n", F.struct(F.size("vs").alias("shared"), F.aggregate("vs", F.lit(0).cast("long"), lambda a, x: a + x["df"]).alias("mass")).alias("central"), F.explode(F.slice("vs", F.lit(1), keys)).alias("x")).select(F.col("x.v").alias("v"), "rep", "n", "central")
@@ -97,56 +108,97 @@ def _sizes(a: str, b: str):
     return (F.col(a) * 5 >= F.col(b) * 4) & (F.col(b) * 5 >= F.col(a) * 4)
 
 
-def _estimate(a: str, b: str, na: str, nb: str):
-    """Whether the union's sketch leaves the similarity at the threshold, five deviations included.
-    Of sets no larger than a sketch the estimate is exact."""
-    union = F.slice(F.sort_array(F.array_union(a, b)), 1, K)
+def _estimate(a: str, b: str, na: str, nb: str, k: int):
+    """Whether the sketch of the union leaves the similarity at the threshold. At the threshold the
+    union has (na + nb) / 1.8 values; the nearer the sketch comes to all of them, the less the share
+    in it can stray (4.7 deviations are allowed). Of sets that the sketch holds whole it is exact."""
+    union = F.slice(F.sort_array(F.array_union(a, b)), 1, k)
     both = F.size(F.array_intersect(union, F.array_intersect(a, b)))
-    exact = (F.col(na) <= K) & (F.col(nb) <= K)
-    return F.when(exact, 5 * F.size(F.array_intersect(a, b)) >= 4 * F.size(F.array_union(a, b))).otherwise(both >= F.least(F.lit(OVERLAP), F.size(union)))
-
-
-def links(docs: DataFrame, reps: DataFrame, words: int, long_list: int = 48) -> DataFrame:
-    """Confirmed links (a, b) that connect all near copies among ``reps`` (rep, n, sketch)."""
-    lists = tables.written(candidate_lists(reps), "dup-lists")
-    counts = lists.groupBy("v").agg(F.count("*").alias("members"), F.max(F.struct("central", (-F.col("rep")).alias("neg"), "n")).alias("top")).where(F.col("members") > 1)
-    counts = tables.written(counts, "dup-counts")
-    short = lists.join(counts.where(F.col("members") <= long_list).select("v"), "v").select("v", "rep", "n")
-    pairs = short.alias("x").join(short.alias("y"), (F.col("x.v") == F.col("y.v")) & (F.col("x.rep") < F.col("y.rep")) & _sizes("x.n", "y.n")).select(F.col("x.rep").alias("a"), F.col("y.rep").alias("b"))
-    long = counts.where(F.col("members") > long_list).select("v", (-F.col("top.neg")).alias("hub"), F.col("top.n").alias("hub_n"))
-    in_long = lists.join(long, "v")
-    stars = in_long.where((F.col("rep") != F.col("hub")) & _sizes("n", "hub_n")).select(F.least("rep", "hub").alias("a"), F.greatest("rep", "hub").alias("b"))
-    candidates = tables.written(pairs.unionByName(stars).distinct(), "dup-pairs")
-    slim = reps.select("rep", "n", "sketch")
-
-    def estimated(pairs: DataFrame) -> DataFrame:
+    stray = F.lit(4.7) * F.sqrt(0.16 * F.size(union) * F.greatest(F.lit(0.0), 1 - F.size(union) * 1.8 / (F.col(na) + F.col(nb))))
+    exact = (F.col(na) <= k) & (F.col(nb) <= k)
+    return F.when(exact, 5 * F.size(F.array_intersect(a, b)) >= 4 * F.size(F.array_union(a, b))).otherwise(both >= F.floor(0.8 * F.size(union) - stray))
+
+
+def _labels(links: DataFrame) -> DataFrame:
+    """rep, component: two steps of the smallest label around. Equal labels mean connected; connected
+    parts may still have several, which costs further comparisons but no link."""
+    both = links.unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b")))
+    first = both.groupBy(F.col("a").alias("rep")).agg(F.least(F.first("a"), F.min("b")).alias("label"))
+    second = both.join(first.select(F.col("rep").alias("b"), "label"), "b").groupBy(F.col("a").alias("rep")).agg(F.min("label").alias("around"))
+    return first.join(second, "rep").select("rep", F.least("label", "around").alias("component"))
+
+
+def links(docs: DataFrame, reps: DataFrame, words: int, rounds: int = 2) -> DataFrame:
+    """rep, component of the classes among ``reps`` (rep, n, sketch) that have a near copy.
+
+    In each round every list whose members do not yet have one label offers a star: a hub, and each
+    member with another label. The first hubs are the most central members (those with most shared
+    values), later ones are picked by a hash of list and round, so a large group is linked by many
+    different hubs and the pairs stay in proportion to the members. Pairs across components that
+    remain are compared inside a join, sketch against sketch, and only what may be a link comes out.
+    """
+    rough = candidate_lists(reps, FIRST)
+    several = rough.groupBy("v").agg(F.count("*").alias("m")).where(F.col("m") > 1)
+    lists = tables.written(rough.join(several.select("v"), "v"), "dup-lists")
+    slim = reps.select("rep", "n", F.slice("sketch", 1, FIRST).alias("sketch"))
+    wide = reps.select("rep", "n", "sketch")
+    found = where = seen = None
+
+    def placed() -> DataFrame:
+        """The lists' members with their components, of lists that have more than one."""
+        if where is None:
+            own = lists.withColumn("component", F.col("rep"))
+        else:
+            own = lists.join(where, "rep", "left").withColumn("component", F.coalesce("component", "rep"))
+        apart = own.groupBy("v").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where(F.col("lo") < F.col("hi")).select("v")
+        return own.join(apart, "v")
+
+    def estimated(pairs: DataFrame, slim: DataFrame = slim, k: int = FIRST) -> DataFrame:
         left = pairs.join(slim.select(F.col("rep").alias("a"), F.col("n").alias("na"), F.col("sketch").alias("sa")), "a")
-        return left.join(slim.select(F.col("rep").alias("b"), F.col("n").alias("nb"), F.col("sketch").alias("sb")), "b").where(_estimate("sa", "sb", "na", "nb")).select("a", "b")
-
-    found = confirmed(docs, estimated(candidates), words)
-    if long.isEmpty():
-        return found
-    # Members of a long list whom no link connects so far: compare them across the components.
-    where = components(found)
-    placed = in_long.select("v", "rep", "n").join(where.select(F.col("node").alias("rep"), "component"), "rep", "left").withColumn("component", F.coalesce("component", "rep"))
-    parts = placed.groupBy("v", "component").agg(F.count("*").alias("m")).groupBy("v").agg(F.count("*").alias("parts"), F.max_by("component", "m").alias("main"))
-    apart = tables.written(placed.join(parts.where(F.col("parts") > 1), "v").join(slim.select("rep", "sketch"), "rep").select("v", "rep", "n", "component", "sketch", (F.col("component") == F.col("main")).alias("main")), "dup-apart")
-    if apart.isEmpty():
-        return found
-    x, y = apart.where(~F.col("main")).alias("x"), apart.alias("y")
-    across = x.join(y, (F.col("x.v") == F.col("y.v")) & (F.col("x.component") != F.col("y.component")) & (F.col("y.main") | (F.col("x.rep") < F.col("y.rep"))) & _sizes("x.n", "y.n") & _estimate("x.sketch", "y.sketch", "x.n", "y.n"))
-    more = across.select(F.least("x.rep", "y.rep").alias("a"), F.greatest("x.rep", "y.rep").alias("b")).distinct().join(candidates, ["a", "b"], "left_anti")
-    return found.unionByName(confirmed(docs, more, words))
-
-
-def confirmed(docs: DataFrame, pairs: DataFrame, words: int) -> DataFrame:
-    """The pairs (a, b) whose full sets have a Jaccard similarity of 0.8 or more; written."""
+        return left.join(slim.select(F.col("rep").alias("b"), F.col("n").alias("nb"), F.col("sketch").alias("sb")), "b").where(_estimate("sa", "sb", "na", "nb", k)).select("a", "b")
+
+    for turn in range(rounds):
+        members = tables.written(placed(), "dup-members")
+        pick = F.struct("central", (-F.col("rep")).alias("tie"), "rep", "n", "component") if turn == 0 else F.struct(F.xxhash64("v", "rep", F.lit(turn)).alias("central"), "rep", "n", "component")
+        hubs = members.groupBy("v").agg(F.max(pick).alias("hub")).select("v", F.col("hub.rep").alias("hub"), F.col("hub.n").alias("hub_n"), F.col("hub.component").alias("hub_component"))
+        stars = members.join(hubs, "v").where((F.col("component") != F.col("hub_component")) & _sizes("n", "hub_n")).select(F.least("rep", "hub").alias("a"), F.greatest("rep", "hub").alias("b")).distinct()
+        pairs = tables.written(stars if seen is None else stars.join(seen, ["a", "b"], "left_anti"), "dup-stars")
+        tables.discard(members)
+        if pairs.isEmpty():
+            break
+        seen = pairs if seen is None else seen.unionByName(pairs)
+        more = confirmed(docs, estimated(pairs), words)
+        found = more if found is None else found.unionByName(more)
+        if turn < rounds - 1:
+            where = tables.written(_labels(found), "dup-labels")
+    if found is None:
+        return reps.select("rep", F.col("rep").alias("component")).limit(0)
+    where = tables.written(components(found), "dup-where").withColumnRenamed("node", "rep")
+    # What is still apart: a pair is looked at under the lowest value that lists both, and only there.
+    keys = lists.groupBy("rep").agg(F.sort_array(F.collect_list("v")).alias("keys"))
+    members = placed().drop("central").join(keys, "rep").join(slim.select("rep", "sketch"), "rep")
+    x, y = members.alias("x"), members.alias("y")
+    once = F.array_min(F.array_intersect("x.keys", "y.keys")) == F.col("x.v")
+    across = x.join(y, (F.col("x.v") == F.col("y.v")) & (F.col("x.component") < F.col("y.component")) & _sizes("x.n", "y.n") & once & _estimate("x.sketch", "y.sketch", "x.n", "y.n", FIRST))
+    rest = across.select(F.least("x.rep", "y.rep").alias("a"), F.greatest("x.rep", "y.rep").alias("b"))
+    last = confirmed(docs, estimated(rest, wide, K), words)
+    if last.isEmpty():
+        return where
+    return tables.written(components(found.unionByName(last)), "dup-where").withColumnRenamed("node", "rep")
+
+
+def confirmed(docs: DataFrame, pairs: DataFrame, words: int, most_broadcast: int = 1_000_000) -> DataFrame:
+    """The pairs (a, b) whose full sets have a Jaccard similarity of 0.8 or more; written. Their texts
+    are picked by a broadcast of the ids where these are ``most_broadcast`` at most, else by a join."""
     pairs = tables.written(pairs, "dup-checked")
-    ids = pairs.select(F.col("a").alias("doc_id")).unionByName(pairs.select(F.col("b").alias("doc_id"))).distinct()
-    sets = tables.written(full_sets(docs.join(ids, "doc_id", "left_semi"), words).dropDuplicates(["doc_id"]), "dup-sets")
+    ids = tables.written(pairs.select(F.col("a").alias("doc_id")).unionByName(pairs.select(F.col("b").alias("doc_id"))).distinct(), "dup-ids")
+    wanted = F.broadcast(ids) if ids.count() <= most_broadcast else ids
+    sets = tables.written(full_sets(docs.join(wanted, "doc_id", "left_semi"), words), "dup-sets")
     left = pairs.join(sets.select(F.col("doc_id").alias("b"), F.col("shingles").alias("sb")), "b")
     both = left.join(sets.select(F.col("doc_id").alias("a"), F.col("shingles").alias("sa")), "a").withColumn("same", F.size(F.array_intersect("sa", "sb")))
-    return tables.written(both.where(100 * F.col("same") >= 80 * (F.size("sa") + F.size("sb") - F.col("same"))).select("a", "b"), "dup-links")
+    out = tables.written(both.where(100 * F.col("same") >= 80 * (F.size("sa") + F.size("sb") - F.col("same"))).select("a", "b"), "dup-links")
+    tables.discard(pairs, ids, sets)
+    return out
 
 
 def groups(docs: DataFrame, words: int = 2) -> DataFrame:
@@ -157,8 +209,7 @@ def groups(docs: DataFrame, words: int = 2) -> DataFrame:
     some = held.where((F.col("n") > 0) & F.col("doc_id").isNotNull())
     classes = some.groupBy("s1", "s2", "n").agg(F.min("doc_id").alias("rep"))
     reps = tables.written(some.join(classes, ["s1", "s2", "n"]).where(F.col("doc_id") == F.col("rep")).dropDuplicates(["rep"]).select("rep", "n", "sketch", "s1", "s2"), "dup-reps")
-    found = links(rows, reps, words)
-    where = components(found).withColumnsRenamed({"node": "rep"})
+    where = links(rows, reps, words)
     labelled = classes.join(where, "rep", "left").select("s1", "s2", "n", F.coalesce("component", "rep").alias("component"))
     out = held.select("doc_id", "n", "s1", "s2").join(labelled, ["s1", "s2", "n"], "left")
     component = F.when(F.col("n") > 0, F.least("component", "doc_id")).otherwise(F.col("doc_id"))

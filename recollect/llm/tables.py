@@ -28,7 +28,17 @@ def written(df: DataFrame, name: str, **options: str) -> DataFrame:
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex[:12]}"
     df.write.options(**options).parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out.written_at = path
+    return out
+
+
+def discard(*frames: DataFrame) -> None:
+    """Delete tables that ``written`` gave and nothing will read again."""
+    for df in frames:
+        jvm = df.sparkSession._jvm
+        place = jvm.org.apache.hadoop.fs.Path(df.written_at)
+        place.getFileSystem(df.sparkSession._jsparkSession.sessionState().newHadoopConf()).delete(place, True)
 
 
 def texts(df: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
