@@ -63,62 +63,59 @@ class Segments:
 
     def __init__(self, ids: np.ndarray, code: np.ndarray) -> None:
         self.ids, self.code = ids, code
-        # Segments of about log2(rows) bits, so that a bucket holds a few rows.
-        self.count = int(np.clip(round(BITS / max(np.log2(max(len(ids), 2)), 4)), 4, 8))
-        while BITS % self.count:
-            self.count += 1
+        # Segments wide enough that a bucket holds few rows, and of a width that numpy has a type for.
+        self.count = 8 if len(ids) < 1 << 16 else 4 if len(ids) < 1 << 26 else 2
         self.width = BITS // self.count
+        self.kind = np.dtype(f"<u{self.width // 8}")
         self.order, self.keys = [], []
+        parts = self._parts(code)
         for s in range(self.count):
-            key = self._segment(code, s)
-            order = np.argsort(key, kind="stable")
+            order = np.argsort(parts[:, s], kind="stable")
             self.order.append(order)
-            self.keys.append(key[order])
+            self.keys.append(parts[order, s].astype(np.int64))
 
-    def _segment(self, code: np.ndarray, s: int) -> np.ndarray:
-        return (code >> np.uint64(s * self.width)) & np.uint64((1 << self.width) - 1)
+    def _parts(self, code: np.ndarray) -> np.ndarray:
+        return np.ascontiguousarray(code).astype("<u8").view(self.kind).reshape(len(code), self.count)
 
     def nearest(self, query_ids: np.ndarray, query: np.ndarray, k: int, most: int = 2_000_000) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """(query index, row index, distance) of the k nearest rows of each query."""
-        best_q, best_r, best_d = (np.zeros(0, np.int64) for _ in range(3))
+        parts = self._parts(query).astype(np.int64)
+        seen = np.zeros((len(query), BITS + 1), dtype=np.int64)  # rows found so far by distance
+        worst = np.full(len(query), BITS)  # the k-th distance among them
+        held: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
         open_q = np.arange(len(query))
-        done: list[tuple] = []
         for radius in range(self.width + 1):
-            masks = np.array([sum(1 << b for b in c) for c in combinations(range(self.width), radius)], dtype=np.uint64)
-            step = max(1, most // (len(masks) * 4))
-            new: list[tuple] = [(best_q, best_r, best_d)]
-            for a in range(0, len(open_q), step):
-                q = open_q[a : a + step]
-                for s in range(self.count):
-                    key = (self._segment(query[q], s)[:, None] ^ masks[None, :]).ravel()
+            masks = np.array([sum(1 << b for b in c) for c in combinations(range(self.width), radius)], dtype=np.int64)
+            for s in range(self.count):
+                fill = max(1, int(len(self.ids) * len(masks) / (1 << self.width)) + len(masks))
+                step = max(1, most // fill)
+                for a in range(0, len(open_q), step):
+                    q = open_q[a : a + step]
+                    key = (parts[q, s][:, None] ^ masks[None, :]).ravel()
                     lo, hi = np.searchsorted(self.keys[s], key, "left"), np.searchsorted(self.keys[s], key, "right")
-                    n = hi - lo
-                    rows = self.order[s][arrays.spread(lo, n)]
-                    owner = np.repeat(np.repeat(q, len(masks)), n)
-                    dist = np.bitwise_count(query[owner] ^ self.code[rows]).astype(np.int64)
-                    new.append(self._top(query_ids, owner, rows, dist, k))
-            best_q, best_r, best_d = self._top(query_ids, *(np.concatenate(x) for x in zip(*new, strict=True)), k)
+                    rows = self.order[s][arrays.spread(lo, hi - lo)]
+                    owner = np.repeat(np.repeat(q, len(masks)), hi - lo)
+                    apart = query[owner] ^ self.code[rows]
+                    each = np.bitwise_count(self._parts(apart))
+                    # A row counts where it is first met: at its least segment distance, in the first such segment.
+                    first = (each.min(1) == radius) & (each.argmin(1) == s) & (self.ids[rows] != query_ids[owner])
+                    dist = each.sum(1, dtype=np.int64)
+                    first &= dist <= worst[owner]
+                    owner, rows, dist = owner[first], rows[first], dist[first]
+                    seen += np.bincount(owner * (BITS + 1) + dist, minlength=seen.size).reshape(seen.shape)
+                    enough = np.cumsum(seen[q], axis=1) >= k
+                    worst[q] = np.where(enough[:, -1], enough.argmax(1), BITS)
+                    near = dist <= worst[owner]
+                    held.append((owner[near], rows[near], dist[near]))
             covered = self.count * (radius + 1) - 1
-            have = np.bincount(best_q, minlength=len(query))
-            worst = np.zeros(len(query), np.int64)
-            np.maximum.at(worst, best_q, best_d)
-            closed = (have >= k) & (worst <= covered)
-            end = closed[best_q] if radius < self.width else np.ones(len(best_q), bool)
-            done.append((best_q[end], best_r[end], best_d[end]))
-            best_q, best_r, best_d = best_q[~end], best_r[~end], best_d[~end]
-            open_q = open_q[~closed[open_q]]
+            open_q = open_q[(worst[open_q] > covered) | (seen[open_q].sum(1) < k)]
             if not len(open_q):
                 break
-        return tuple(np.concatenate(x) for x in zip(*done, strict=True))
-
-    def _top(self, query_ids, q, r, d, k):
-        other = self.ids[r] != query_ids[q]
-        q, r, d = q[other], r[other], d[other]
+        q, r, d = (np.concatenate(x) for x in zip(*held, strict=True))
+        near = d <= worst[q]
+        q, r, d = q[near], r[near], d[near]
         order = np.lexsort((r, self.ids[r], d, q))
         q, r, d = q[order], r[order], d[order]
-        new = np.ones(len(q), bool)
-        new[1:] = (q[1:] != q[:-1]) | (r[1:] != r[:-1])
-        q, r, d = q[new], r[new], d[new]
         first = np.flatnonzero(np.diff(q, prepend=-1))
         place = np.arange(len(q)) - np.repeat(first, np.diff(np.append(first, len(q))))
         return q[place < k], r[place < k], d[place < k]
@@ -143,8 +140,8 @@ def top_k(rows: DataFrame, k: int = 10, every: int = 20, block: int = 200_000, k
             if not held or not len(ids):
                 return
             table = Segments(np.concatenate([x[0] for x in held]), np.concatenate([x[1] for x in held]))
-            for a in range(0, len(ids), 4096):
-                q, r, d = table.nearest(ids[a : a + 4096], query[a : a + 4096], k)
+            for a in range(0, len(ids), 1024):
+                q, r, d = table.nearest(ids[a : a + 1024], query[a : a + 1024], k)
                 yield pa.RecordBatch.from_arrays([pa.array(ids[a + q]), pa.array(query[a + q].view(np.int64)), pa.array(table.ids[r]), pa.array(table.code[r].view(np.int64)), pa.array(d)], ["query_id", "query", "neighbor_id", "neighbor", "distance"])
 
         near = index.mapInArrow(search, "query_id long, query long, neighbor_id long, neighbor long, distance long")
