@@ -64,7 +64,8 @@ def sketches(docs: DataFrame, words: int) -> DataFrame:
                 low = [s[:K] for s in sets]
                 cuts = np.concatenate(([0], np.cumsum([len(s) for s in low]))).astype(np.int32)
                 digest = lambda salt: pa.array(np.array([np.bitwise_xor.reduce(arrays.mix(s + np.uint64(salt))) if len(s) else 0 for s in sets], dtype=np.uint64).view(np.int64))  # noqa: B023, E731
-                flat = np.concatenate(low).view(np.int64) if low else np.zeros(0, np.int64)
+                # Top bit flipped: as signed longs they keep the order by which they are the lowest.
+                flat = (np.concatenate(low) ^ np.uint64(1 << 63)).view(np.int64) if low else np.zeros(0, np.int64)
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(row, len(sets)), pa.array(n), digest(1), digest(2), pa.ListArray.from_arrays(pa.array(cuts), pa.array(flat))], ["doc_id", "n", "s1", "s2", "sketch"])
 
     return docs.select("doc_id", "text").mapInArrow(work, "doc_id long, n long, s1 long, s2 long, sketch array<long>")

@@ -57,6 +57,21 @@ def test_groups_against_all_pairs(spark, texts, rng, words):
     assert got == {k: (n, c, c == k) for k, (n, c) in want.items()}
 
 
+def test_copies_that_append_or_cut_around_the_sketch_sizes(spark, rng):
+    rows, k = [], 0
+    for n in [*range(33, 65, 2), *range(129, 257, 6)]:
+        for share in (0.05, 0.1, 0.15, 0.2):
+            text = [f"v{rng.random()}" for _ in range(n + 4)]  # n shingles of five words
+            less = text[: len(text) - int(n * share)] if rng.random() < 0.5 else text[int(n * share) :]
+            rows += [(k := k + 1, " ".join(text)), (k := k + 1, " ".join(less))]
+            text = [f"v{rng.random()}" for _ in range(n + 4)]
+            rows += [(k := k + 1, " ".join(text)), (k := k + 1, " ".join(text + [f"v{rng.random()}" for _ in range(int(n * share))]))]
+    want = plain(rows, 5)
+    got = {r.doc_id: r.component_id for r in neardup.groups(spark.createDataFrame(rows, "doc_id long, text string").repartition(5), 5).collect()}
+    lost = [k for k, (_, c) in want.items() if got[k] != c]
+    assert len({c for _, c in want.values()}) < len(rows) * 0.55 and not lost, (len(lost), len(rows))
+
+
 def test_components_of_chains_and_loops(spark):
     edges = [(i, i + 1) for i in range(0, 40)] + [(100, 100), (7, 3), (200, 201), (201, 202), (202, 200)]
     got = {r.node: r.component for r in components.components(spark.createDataFrame(edges, "a long, b long")).collect()}
