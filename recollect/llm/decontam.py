@@ -8,8 +8,11 @@ items; an item is entered at every word at which ``steps`` steps may still be re
 elsewhere in the item don't hide it. A sampled step whose prefix no item has ends the walk of that
 window, which leaves results as they are. ``repetitions`` is set so that an item with one word in
 five edited still meets in some entry with a recall above 0.95, one in ten with 0.99 (tests measure
-it). What meets is confirmed: the least number of word edits between the
-item and any passage of the document there must be at most a fifth of the item's words.
+it). Walks of items below ``SHORT`` words would run past the item's end into words that are not its
+own, so these items are cut into one piece more than they may have edits: a passage within the edits
+holds at least one piece as it is, and looking up all pieces misses none. What meets is confirmed: the
+least number of word edits between the item and any passage of the document there must be at most a
+fifth of the item's words.
 
 Words are runs of other than ASCII white space, A-Z in lower case. The items are broadcast; their
 number and size are checked against ``most_items`` and ``most_words``, beyond which they are taken in
@@ -31,11 +34,82 @@ from pyspark.sql import functions as F
 
 from . import arrays, tables
 
+#: Items of fewer words are found by their pieces, others by walks.
+SHORT = 24
+
+
+def runs(flat: np.ndarray, most: int) -> Iterator[np.ndarray]:
+    """Hashes of the 1, 2, .. ``most`` words that begin at each place with so many words after it."""
+    key = arrays.mix(flat)
+    for size in range(1, most + 1):
+        if size > 1:
+            key = arrays.mix(key[:-1] * np.uint64(0x9FB21C651E98DF25) + flat[size - 1 :])
+        yield key
+        if len(key) <= 1:
+            return
+
+
+class Pieces:
+    """Items of ``which`` as pieces, one more than the edits an item may have; by size of the piece."""
+
+    def __init__(self, words: list[np.ndarray], which: list[int], edits: float) -> None:
+        self.words, self.edits = words, edits
+        by: dict[int, list[tuple[int, int, int]]] = {}
+        for i in which:
+            n = len(words[i])
+            parts = min(n, int(n * edits + 1e-9) + 1)
+            cuts = [n * k // parts for k in range(parts + 1)]
+            for a, b in zip(cuts[:-1], cuts[1:], strict=True):
+                *_, key = runs(words[i][a:b], b - a)
+                by.setdefault(b - a, []).append((int(key[0]), i, a))
+        self.sizes = {}
+        for size, rows in by.items():
+            rows.sort()
+            keys, first = np.unique(np.array([r[0] for r in rows], np.uint64), return_index=True)
+            self.sizes[size] = arrays.HashIndex(keys), np.append(first, len(rows)), np.array([r[1] for r in rows]), np.array([r[2] for r in rows])
+
+    def meet(self, flat: np.ndarray, doc: np.ndarray, bounds: np.ndarray, most: int = 100_000) -> np.ndarray:
+        """Rows (document, item, where the item would begin, were there no edits before) that may be
+        within the edits: all but so many of the item's words are around."""
+        out = [np.zeros((0, 3), np.int64)]
+        for size, key in enumerate(runs(flat, max(self.sizes, default=0)), 1):
+            if size not in self.sizes:
+                continue
+            index, cuts, owner, place = self.sizes[size]
+            found = index.find(key)
+            at = np.flatnonzero(found >= 0)
+            at = at[at + size <= bounds[doc[at] + 1]]
+            n = cuts[found[at] + 1] - cuts[found[at]]
+            block = np.cumsum(n) // most
+            for b in np.unique(block):
+                some = block == b
+                row = arrays.spread(cuts[found[at[some]]], n[some])
+                here = np.repeat(at[some], n[some])
+                out.append(self.near(flat, bounds, doc[here], owner[row], here - place[row]))
+        return np.concatenate(out)
+
+    def near(self, flat: np.ndarray, bounds: np.ndarray, doc: np.ndarray, item: np.ndarray, begin: np.ndarray) -> np.ndarray:
+        size = np.array([len(w) for w in self.words])[item]
+        keep = np.zeros(len(item), bool)
+        for n in np.unique(size).tolist():
+            most = int(n * self.edits + 1e-9)
+            rows = np.flatnonzero(size == n)
+            for part in np.array_split(rows, len(rows) // 20_000 + 1):
+                words = np.stack([self.words[i] for i in item[part].tolist()]) if len(part) else np.zeros((0, n), np.uint64)
+                there = np.zeros(words.shape, bool)
+                for step in range(-most, n + most):
+                    spot = begin[part] + step
+                    inside = (spot >= bounds[doc[part]]) & (spot < bounds[doc[part] + 1])
+                    there |= (words == flat[np.where(inside, spot, 0)][:, None]) & inside[:, None]
+                keep[part] = n - there.sum(axis=1) <= most
+        return np.stack((doc[keep], item[keep], begin[keep]), 1)
+
 
 class Items:
-    """Items as word hashes, and for each repetition the keys their windows have after each sampled step."""
+    """Items as word hashes, and for each repetition the keys their windows have after each sampled
+    step; short ones as pieces."""
 
-    def __init__(self, ids: list[int | None], texts: list[str], repetitions: int, bits: int, steps: int, seed: int) -> None:
+    def __init__(self, ids: list[int | None], texts: list[str], repetitions: int, bits: int, steps: int, seed: int, edits: float = 0.2) -> None:
         self.ids, self.words = [], []
         for i, text in zip(ids, texts, strict=True):
             for _, data, offsets in arrays.chunks(pa.array([text]), 1 << 30, lower=True):
@@ -43,6 +117,7 @@ class Items:
             if len(h):
                 self.ids.append(i)
                 self.words.append(h)
+        self.pieces = Pieces(self.words, [i for i, w in enumerate(self.words) if len(w) < SHORT], edits)
         rng = np.random.default_rng(seed)
         self.steps, self.salts = steps, [np.uint64(x) for x in rng.integers(1, 2**62, repetitions)]
         # The first step reads the first word; the others are spread over the walk at random.
@@ -52,7 +127,8 @@ class Items:
         left = np.concatenate([len(w) - np.arange(len(w)) for w in self.words]) if self.words else np.zeros(0, int)
         flat = np.concatenate([np.append(w, np.zeros(1, np.uint64)) for w in self.words]) if self.words else np.zeros(1, np.uint64)
         base = np.cumsum([0, *[len(w) + 1 for w in self.words]])[:-1]
-        enter = (left >= np.minimum(steps // 2 + 2, np.array([len(w) for w in self.words])[owner] if len(owner) else 0)) if len(owner) else np.zeros(0, bool)
+        whole = np.array([len(w) for w in self.words])[owner] if len(owner) else np.zeros(0, int)
+        enter = (whole >= SHORT) & (left >= np.minimum(steps // 2 + 2, whole))
         self.owner, self.place = owner[enter], place[enter]
         start = base[self.owner] + self.place if len(self.owner) else np.zeros(0, int)
         stop = base[self.owner] + np.array([len(w) for w in self.words])[self.owner] if len(self.owner) else start
@@ -86,6 +162,8 @@ class Items:
     def meet(self, flat: np.ndarray, stop: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(window start, entry) of all windows that meet an item's entry in some repetition."""
         starts, entries = [], []
+        if not len(self.owner):
+            return np.zeros(0, np.int64), np.zeros(0, np.int64)
         for r, (prefixes, final, cuts, order) in enumerate(self.levels):
             alive = np.arange(len(flat))
             walk = self.walk(r, flat, alive, stop)
@@ -139,7 +217,7 @@ def matches(docs: DataFrame, items: DataFrame, edits: float = 0.2, repetitions:
     for block in range(blocks):
         part = wanted if blocks == 1 else wanted.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks)) == block)
         rows = sorted(((r["item_id"], r["text"]) for r in part.collect()), key=lambda r: (r[0] is not None, r))
-        shared = spark.sparkContext.broadcast(Items([r[0] for r in rows], [r[1] for r in rows], repetitions, bits, steps, seed))
+        shared = spark.sparkContext.broadcast(Items([r[0] for r in rows], [r[1] for r in rows], repetitions, bits, steps, seed, edits))
         out = _against(docs, shared, edits)
         found = out if found is None else found.unionByName(out)
     return found
@@ -157,11 +235,12 @@ def _against(docs: DataFrame, shared, edits: float) -> DataFrame:
                 bounds = np.searchsorted(starts, offsets)
                 doc = np.repeat(np.arange(len(bounds) - 1), np.diff(bounds))
                 at, entry = items.meet(flat, bounds[1:][doc])
-                if not len(at):
-                    continue
                 item = items.owner[entry]
                 begin = at - items.place[entry]  # where the item would begin, were there no edits before
-                group = np.unique(np.stack((doc[at], item, begin), 1), axis=0)
+                group = np.unique(np.concatenate((np.stack((doc[at], item, begin), 1), items.pieces.meet(flat, doc, bounds))), axis=0)
+                # Of places that hold an item as it is, the first of a document will do.
+                exact = np.array([int(len(w) * edits + 1e-9) == 0 for w in items.words])[group[:, 1]]
+                group = group[~(exact & np.append(False, (group[1:, :2] == group[:-1, :2]).all(axis=1))[: len(group)])]
                 best: dict[tuple[int, int], tuple[int, int, int]] = {}
                 for d, i, b in group.tolist():
                     words = items.words[i]

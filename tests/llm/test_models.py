@@ -112,6 +112,40 @@ def test_leaks_exact_and_edited(spark, sf_dir, texts, rng):
     assert exact <= got.keys() and all(r.edits <= 0.2 * r.item_words for r in got.values())
 
 
+def test_leaks_of_every_length(spark, rng):
+    items, rows, planted, k = [], [], {}, 0
+    for n in (1, 2, 3, 5, 6, 8, 10, 12, 16, 20, 23, 24, 30):
+        for _ in range(100):
+            items.append((k := k + 1, " ".join(f"w{rng.random()}" for _ in range(n))))
+            for share in (0.0, 0.1, 0.2):
+                around = [[f"a{rng.random()}" for _ in range(30)] for _ in range(2)]
+                rows.append((len(rows), " ".join(around[0] + edited(items[-1][1].split(), share, rng) + around[1])))
+                planted[len(rows) - 1] = (k, n, share)
+    found = decontam.matches(spark.createDataFrame(rows, "doc_id long, text string").repartition(3), spark.createDataFrame(items, "item_id long, text string"))
+    got = {(r.doc_id, r.item_id): r for r in found.collect()}
+    for n in sorted({n for _, n, _ in planted.values()}):
+        for share, least in ((0.0, 1.0), (0.1, 0.99), (0.2, 1.0 if n < decontam.SHORT else 0.95)):
+            hits = [got.get((k, i)) for k, (i, m, s) in planted.items() if (m, s) == (n, share)]
+            assert sum(r is not None for r in hits) >= least * len(hits), (n, share, hits.count(None))
+            assert all(r.edits <= int(n * share) for r in hits if r)
+    assert all(planted[k][0] == i for k, i in got)
+
+
+def test_short_leaks_against_every_passage(spark, rng):
+    vocab = "abcde"
+    items = [(i, " ".join(rng.choice(vocab) for _ in range(rng.randrange(1, 14)))) for i in range(60)]
+    rows = [(i, " ".join(rng.choice(vocab) for _ in range(rng.randrange(1, 40)))) for i in range(80)]
+    want, code = {}, {c: j for j, c in enumerate(vocab)}
+    for d, t in rows:
+        for i, x in items:
+            a, b = (np.array([code[c] for c in y.split()], dtype=np.uint64) for y in (x, t))
+            cost = decontam.least_edits(a, b)[0]
+            if cost <= len(a) // 5:
+                want[d, i] = cost
+    found = decontam.matches(spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string"))
+    assert {(r.doc_id, r.item_id): r.edits for r in found.collect()} == want
+
+
 def test_least_edits_against_a_plain_table(rng):
     for _ in range(200):
         a, b = ([rng.randrange(4) for _ in range(rng.randrange(1, 9))] for _ in range(2))
