@@ -11,7 +11,8 @@ from . import tables
 def components(edges: DataFrame, most_rounds: int = 40) -> DataFrame:
     """node, component (the smallest node reachable) of every node of ``edges`` (a, b longs; in any
     direction, repeats and loops allowed). Each round is written to the shared folder; a node's
-    neighbours meet only in a minimum, which is taken before the shuffle. Without edges: no rows."""
+    neighbours meet only in a minimum, which is taken before the shuffle. The result is a written table.
+    Without edges: no rows."""
     now = tables.written(edges.where(F.col("a") != F.col("b")).select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "edges")
     state = _state(now)
     for _ in range(most_rounds):
@@ -27,7 +28,10 @@ def components(edges: DataFrame, most_rounds: int = 40) -> DataFrame:
             break
     else:
         raise RuntimeError("components did not settle")
-    return now.select(F.col("a").alias("node"), F.col("b").alias("component")).unionByName(now.select(F.col("b").alias("node"), F.col("b").alias("component"))).distinct()
+    both = now.select(F.col("a").alias("node"), F.col("b").alias("component")).unionByName(now.select(F.col("b").alias("node"), F.col("b").alias("component"))).distinct()
+    out = tables.written(both, "components")
+    tables.discard(now)
+    return out
 
 
 def _state(edges: DataFrame) -> tuple:

@@ -1,18 +1,22 @@
 """Near-duplicate documents by bottom-k sketches.
 
-One hash function orders all shingles; a document's sketch is its ``K`` lowest values. Documents with
-equal sets form a class, of which one goes on. Inverted lists of the retained values give candidates:
+One hash function orders all shingles; a document's sketch is its ``K`` lowest values. Rows with equal
+sets form a class, of which one row goes on. Inverted lists of the retained values generate overlaps:
 two sets at the threshold share a known least number of their k lowest values, so of any order of
 values they share one of the first ``k - least + 1``; the order is rarest first, which leaves values
-that only one class has, and common phrases, out of the lists. The lists are those of the ``FIRST`` lowest values. A
-list gives stars, not all its pairs, until its members are linked or the rounds are over; members that
-are still apart are then compared across components, sketch against sketch inside the join. Candidates
-are filtered by the similarity estimated from the sketch of the union, at last that of ``K`` values,
-and what remains is confirmed on full sets, and joined into components.
-
-Nulls: null or wordless text has an empty set and is linked with nothing. A null doc_id is not
-linked, and kept is null. Rows repeating an id go by that id. Extra columns are ignored by ``groups``
-and kept by ``drop_near_copies``. An empty table gives no rows.
+that only one class has, and common phrases, out of the lists. The lists are those of the ``FIRST``
+lowest values. A list is compared with its most central member first; what is still apart after that
+is compared across components. Candidates are filtered by the similarity estimated from the sketch of
+the union; what remains is confirmed on full sets (which sketches of up to ``K`` values are) and
+joined into components.
+
+The sketch of a pair at the threshold falls below ``least_shared`` with a chance below 1.3e-6 (one
+tail of 4.7 deviations); sets of up to 0.8 * FIRST shingles are never missed.
+
+Rows are told apart by a number of their own, so rows repeating an id are documents of their own; each
+is linked by its own text. Nulls: null or wordless text has an empty set and is linked with nothing. A
+null doc_id is not linked, and component and kept are null. Extra columns are ignored by ``groups``
+and kept by ``drop_near_copies``, whatever their names. An empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -21,14 +25,16 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark import TaskContext
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import arrays, tables
 from .components import components
 
-K = 128
-FIRST = 32
+K = 192
+FIRST = 64
+CELL = 1024
 
 
 def shingle_sets(column: pa.Array, words: int, chunk: int = 4_000_000) -> Iterator[tuple[int, list[np.ndarray]]]:
@@ -55,37 +61,42 @@ def shingle_sets(column: pa.Array, words: int, chunk: int = 4_000_000) -> Iterat
 
 
 def sketches(docs: DataFrame, words: int) -> DataFrame:
-    """doc_id, n (set size), s1 and s2 (digest of the set), sketch."""
+    """uid (a number of the row's own, fixed once written), doc_id, th, n (set size), s1 and s2
+    (digest of the set), sketch."""
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        uid = TaskContext.get().partitionId() << 33
         for batch in batches:
-            for row, sets in shingle_sets(batch.column(1), words):
+            for row, sets in shingle_sets(batch.column(2), words):
                 n = np.array([len(s) for s in sets])
                 low = [s[:K] for s in sets]
                 cuts = np.concatenate(([0], np.cumsum([len(s) for s in low]))).astype(np.int32)
                 digest = lambda salt: pa.array(np.array([np.bitwise_xor.reduce(arrays.mix(s + np.uint64(salt))) if len(s) else 0 for s in sets], dtype=np.uint64).view(np.int64))  # noqa: B023, E731
                 # Top bit flipped: as signed longs they keep the order by which they are the lowest.
                 flat = (np.concatenate(low) ^ np.uint64(1 << 63)).view(np.int64) if low else np.zeros(0, np.int64)
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(row, len(sets)), pa.array(n), digest(1), digest(2), pa.ListArray.from_arrays(pa.array(cuts), pa.array(flat))], ["doc_id", "n", "s1", "s2", "sketch"])
+                ids = [pa.array(uid + np.arange(len(sets))), batch.column(0).slice(row, len(sets)), batch.column(1).slice(row, len(sets))]
+                uid += len(sets)
+                yield pa.RecordBatch.from_arrays([*ids, pa.array(n), digest(1), digest(2), pa.ListArray.from_arrays(pa.array(cuts), pa.array(flat))], ["uid", "doc_id", "th", "n", "s1", "s2", "sketch"])
 
-    return docs.select("doc_id", "text").mapInArrow(work, "doc_id long, n long, s1 long, s2 long, sketch array<long>")
+    return docs.select("doc_id", "th", "text").mapInArrow(work, "uid long, doc_id long, th long, n long, s1 long, s2 long, sketch array<long>")
 
 
 def full_sets(docs: DataFrame, words: int) -> DataFrame:
-    """doc_id, shingles (array of longs)."""
+    """uid, shingles (array of longs) of rows (uid, text)."""
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for row, sets in shingle_sets(batch.column(1), words):
                 cuts = np.concatenate(([0], np.cumsum([len(s) for s in sets]))).astype(np.int32)
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(row, len(sets)), pa.ListArray.from_arrays(pa.array(cuts), pa.array(np.concatenate(sets).view(np.int64)))], ["doc_id", "shingles"])
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(row, len(sets)), pa.ListArray.from_arrays(pa.array(cuts), pa.array(np.concatenate(sets).view(np.int64)))], ["uid", "shingles"])
 
-    return docs.select("doc_id", "text").mapInArrow(work, "doc_id long, shingles array<long>")
+    return docs.select("uid", "text").mapInArrow(work, "uid long, shingles array<long>")
 
 
 def least_shared(k: int) -> int:
-    """How many of the k lowest values of a union two sets at the threshold share, but for a chance
-    below one in a million (4.7 deviations)."""
+    """How many of the k lowest values of a union two sets at the threshold share at least, but for a
+    chance below one in a million: 4.7 deviations of the binomial law, which is wider than the law
+    that holds here (drawing without replacement)."""
     return int(0.8 * k - 4.7 * (0.16 * k) ** 0.5)
 
 
@@ -93,131 +104,144 @@ def candidate_lists(reps: DataFrame, k: int) -> DataFrame:
     """v, rep, n, central: the retained values under which a class representative is listed, by its
     ``k`` lowest values. Values that no other class retains take up the first places of the order, so
     a class with many of its own isn't listed at all."""
-    low = reps.select("rep", "n", F.slice("sketch", 1, k).alias("sketch"))
-    each = low.select("rep", "n", F.size("sketch").alias("k"), F.explode("sketch").alias("v"))
+    low = F.slice("sketch", 1, k)
+    each = reps.select("rep", F.explode(low).alias("v"))
     shared = each.groupBy("v").agg(F.count("*").alias("df")).where(F.col("df") > 1)
-    held = each.join(shared, "v").groupBy("rep", "n", "k").agg(F.sort_array(F.collect_list(F.struct("df", "v"))).alias("vs"))
+    held = each.join(shared, "v").groupBy("rep").agg(F.sort_array(F.collect_list(F.struct("df", "v"))).alias("vs")).join(reps.select("rep", "n"), "rep")
     # A partner of a set this small is itself no larger than the sketch, and both are known in full.
     whole = F.col("n") * 5 <= F.lit(k) * 4
     need = F.when(whole, F.ceil(F.col("n") * F.lit(4) / F.lit(5))).otherwise(F.lit(least_shared(k)))
-    own = F.col("k") - F.size("vs")
-    keys = (F.col("k") - need + 1 - own).cast("int")
-    return held.where(keys > 0).select("rep", "n", F.struct(F.size("vs").alias("shared"), F.aggregate("vs", F.lit(0).cast("long"), lambda a, x: a + x["df"]).alias("mass")).alias("central"), F.explode(F.slice("vs", F.lit(1), keys)).alias("x")).select(F.col("x.v").alias("v"), "rep", "n", "central")
+    has = F.least(F.col("n"), F.lit(k))
+    keys = (F.size("vs") - need + 1).cast("int")  # what is left of the first has - need + 1 places behind its own values
+    central = F.struct(F.size("vs").alias("shared"), F.aggregate("vs", F.lit(0).cast("long"), lambda a, x: a + x["df"]).alias("mass"))
+    return held.where((has > 0) & (keys > 0)).select("rep", "n", central.alias("central"), F.explode(F.slice("vs", F.lit(1), keys)).alias("x")).select(F.col("x.v").alias("v"), "rep", "n", "central")
 
 
-def _sizes(a: str, b: str):
+def _sizes(a: str, b: str) -> Column:
     return (F.col(a) * 5 >= F.col(b) * 4) & (F.col(b) * 5 >= F.col(a) * 4)
 
 
-def _estimate(a: str, b: str, na: str, nb: str, k: int):
+def _known(na: str, nb: str) -> Column:
+    """Whether both sketches are the sets themselves."""
+    return (F.col(na) <= K) & (F.col(nb) <= K)
+
+
+def _may_link(a: str, b: str, na: str, nb: str) -> Column:
     """Whether the sketch of the union leaves the similarity at the threshold. At the threshold the
     union has (na + nb) / 1.8 values; the nearer the sketch comes to all of them, the less the share
-    in it can stray (4.7 deviations are allowed). Of sets that the sketch holds whole it is exact."""
-    union = F.slice(F.sort_array(F.array_union(a, b)), 1, k)
+    in it can stray (4.7 deviations are allowed). Of sets that the sketches hold whole it is exact."""
+    union = F.slice(F.sort_array(F.array_union(a, b)), 1, K)
     both = F.size(F.array_intersect(union, F.array_intersect(a, b)))
     stray = F.lit(4.7) * F.sqrt(0.16 * F.size(union) * F.greatest(F.lit(0.0), 1 - F.size(union) * 1.8 / (F.col(na) + F.col(nb))))
-    exact = (F.col(na) <= k) & (F.col(nb) <= k)
-    return F.when(exact, 5 * F.size(F.array_intersect(a, b)) >= 4 * F.size(F.array_union(a, b))).otherwise(both >= F.floor(0.8 * F.size(union) - stray))
+    return F.when(_known(na, nb), 9 * F.size(F.array_intersect(a, b)) >= 4 * (F.col(na) + F.col(nb))).otherwise(both >= F.floor(0.8 * F.size(union) - stray))
 
 
-def _labels(links: DataFrame) -> DataFrame:
-    """rep, component: two steps of the smallest label around. Equal labels mean connected; connected
-    parts may still have several, which costs further comparisons but no link."""
-    both = links.unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b")))
-    first = both.groupBy(F.col("a").alias("rep")).agg(F.least(F.first("a"), F.min("b")).alias("label"))
-    second = both.join(first.select(F.col("rep").alias("b"), "label"), "b").groupBy(F.col("a").alias("rep")).agg(F.min("label").alias("around"))
-    return first.join(second, "rep").select("rep", F.least("label", "around").alias("component"))
+def links(rows: DataFrame, reps: DataFrame, words: int) -> DataFrame:
+    """rep, component of the classes among ``reps`` (rep, doc_id, th, n, sketch) that have a near copy.
 
-
-def links(docs: DataFrame, reps: DataFrame, words: int, rounds: int = 2) -> DataFrame:
-    """rep, component of the classes among ``reps`` (rep, n, sketch) that have a near copy.
-
-    In each round every list whose members do not yet have one label offers a star: a hub, and each
-    member with another label. The first hubs are the most central members (those with most shared
-    values), later ones are picked by a hash of list and round, so a large group is linked by many
-    different hubs and the pairs stay in proportion to the members. Pairs across components that
-    remain are compared inside a join, sketch against sketch, and only what may be a link comes out.
+    Every list offers a star: its most central member (that with most shared values) and each other
+    member. Lists with one hub then make up a block, and members of a block that are still in
+    different components are compared inside a join, sketch against sketch, so that only what may be
+    a link comes out; blocks above ``CELL`` members are dealt out to cells, each pair to one.
     """
-    rough = candidate_lists(reps, FIRST)
-    several = rough.groupBy("v").agg(F.count("*").alias("m")).where(F.col("m") > 1)
-    lists = tables.written(rough.join(several.select("v"), "v"), "dup-lists")
-    slim = reps.select("rep", "n", F.slice("sketch", 1, FIRST).alias("sketch"))
-    wide = reps.select("rep", "n", "sketch")
-    found = where = seen = None
-
-    def placed() -> DataFrame:
-        """The lists' members with their components, of lists that have more than one."""
-        if where is None:
-            own = lists.withColumn("component", F.col("rep"))
-        else:
-            own = lists.join(where, "rep", "left").withColumn("component", F.coalesce("component", "rep"))
-        apart = own.groupBy("v").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where(F.col("lo") < F.col("hi")).select("v")
-        return own.join(apart, "v")
-
-    def estimated(pairs: DataFrame, slim: DataFrame = slim, k: int = FIRST) -> DataFrame:
-        left = pairs.join(slim.select(F.col("rep").alias("a"), F.col("n").alias("na"), F.col("sketch").alias("sa")), "a")
-        return left.join(slim.select(F.col("rep").alias("b"), F.col("n").alias("nb"), F.col("sketch").alias("sb")), "b").where(_estimate("sa", "sb", "na", "nb", k)).select("a", "b")
-
-    for turn in range(rounds):
-        members = tables.written(placed(), "dup-members")
-        pick = F.struct("central", (-F.col("rep")).alias("tie"), "rep", "n", "component") if turn == 0 else F.struct(F.xxhash64("v", "rep", F.lit(turn)).alias("central"), "rep", "n", "component")
-        hubs = members.groupBy("v").agg(F.max(pick).alias("hub")).select("v", F.col("hub.rep").alias("hub"), F.col("hub.n").alias("hub_n"), F.col("hub.component").alias("hub_component"))
-        stars = members.join(hubs, "v").where((F.col("component") != F.col("hub_component")) & _sizes("n", "hub_n")).select(F.least("rep", "hub").alias("a"), F.greatest("rep", "hub").alias("b")).distinct()
-        pairs = tables.written(stars if seen is None else stars.join(seen, ["a", "b"], "left_anti"), "dup-stars")
-        tables.discard(members)
-        if pairs.isEmpty():
-            break
-        seen = pairs if seen is None else seen.unionByName(pairs)
-        more = confirmed(docs, estimated(pairs), words)
-        found = more if found is None else found.unionByName(more)
-        if turn < rounds - 1:
-            where = tables.written(_labels(found), "dup-labels")
-    if found is None:
-        return reps.select("rep", F.col("rep").alias("component")).limit(0)
-    where = tables.written(components(found), "dup-where").withColumnRenamed("node", "rep")
-    # What is still apart: a pair is looked at under the lowest value that lists both, and only there.
-    keys = lists.groupBy("rep").agg(F.sort_array(F.collect_list("v")).alias("keys"))
-    members = placed().drop("central").join(keys, "rep").join(slim.select("rep", "sketch"), "rep")
-    x, y = members.alias("x"), members.alias("y")
-    once = F.array_min(F.array_intersect("x.keys", "y.keys")) == F.col("x.v")
-    across = x.join(y, (F.col("x.v") == F.col("y.v")) & (F.col("x.component") < F.col("y.component")) & _sizes("x.n", "y.n") & once & _estimate("x.sketch", "y.sketch", "x.n", "y.n", FIRST))
-    rest = across.select(F.least("x.rep", "y.rep").alias("a"), F.greatest("x.rep", "y.rep").alias("b"))
-    last = confirmed(docs, estimated(rest, wide, K), words)
-    if last.isEmpty():
-        return where
-    return tables.written(components(found.unionByName(last)), "dup-where").withColumnRenamed("node", "rep")
-
-
-def confirmed(docs: DataFrame, pairs: DataFrame, words: int, most_broadcast: int = 1_000_000) -> DataFrame:
-    """The pairs (a, b) whose full sets have a Jaccard similarity of 0.8 or more; written. Their texts
-    are picked by a broadcast of the ids where these are ``most_broadcast`` at most, else by a join."""
-    pairs = tables.written(pairs, "dup-checked")
-    ids = tables.written(pairs.select(F.col("a").alias("doc_id")).unionByName(pairs.select(F.col("b").alias("doc_id"))).distinct(), "dup-ids")
+    scratch = tables.Scratch()
+    lists = scratch.written(candidate_lists(reps, FIRST), "dup-lists")
+    listed = scratch.written(reps.join(lists.select("rep").distinct(), "rep"), "dup-listed")
+    hubs = lists.groupBy("v").agg(F.max(F.struct("central", (-F.col("rep")).alias("tie"), "rep", "n")).alias("h")).select("v", F.col("h.rep").alias("hub"), F.col("h.n").alias("hub_n"))
+    starred = scratch.written(lists.select("v", "rep", "n").join(hubs, "v"), "dup-stars")
+    spokes = starred.where((F.col("rep") != F.col("hub")) & _sizes("n", "hub_n")).select(F.least("rep", "hub").alias("a"), F.greatest("rep", "hub").alias("b"), "hub")
+    pairs = spokes.groupBy("a", "b").agg(F.max("hub").alias("hub")).select("hub", F.when(F.col("hub") == F.col("a"), F.col("b")).otherwise(F.col("a")).alias("member"))
+    near = pairs.join(listed.select(F.col("rep").alias("member"), F.col("n").alias("na"), F.col("sketch").alias("sa")), "member")
+    near = near.join(listed.select(F.col("rep").alias("hub"), F.col("n").alias("nb"), F.col("sketch").alias("sb")), "hub").where(_may_link("sa", "sb", "na", "nb"))
+    found = scratch.written(confirmed(rows, listed, near.select("hub", "member", _known("na", "nb").alias("known")), words), "dup-links")
+    where = components(found.select(F.col("hub").alias("a"), F.col("member").alias("b")))
+    more = scratch.written(confirmed(rows, listed, _across(starred, where, listed, scratch), words), "dup-links")
+    if not more.isEmpty():
+        tables.discard(where)
+        both = found.unionByName(more)
+        where = components(both.select(F.col("hub").alias("a"), F.col("member").alias("b")))
+    scratch.clear()
+    return where.withColumnRenamed("node", "rep")
+
+
+def _across(starred: DataFrame, where: DataFrame, listed: DataFrame, scratch: tables.Scratch) -> DataFrame:
+    """hub, member, known of pairs that share a list of ``starred`` (v, rep, hub), aren't connected
+    yet and may be links."""
+    own = starred.join(where.withColumnRenamed("node", "rep"), "rep", "left").select("v", "rep", "hub", F.coalesce("component", "rep").alias("component"))
+    # A list of two has had its only pair compared.
+    still = own.groupBy("v").agg(F.count("*").alias("m"), F.min("component").alias("lo"), F.max("component").alias("hi")).where((F.col("m") > 2) & (F.col("lo") < F.col("hi")))
+    rows = scratch.written(own.join(still.select("v"), "v").select(F.col("hub").alias("block"), "rep", "component").distinct(), "dup-blocks")
+    cells = rows.groupBy("block").agg(F.ceil(F.count("*") / CELL).cast("int").alias("cells"))
+    blocks = rows.groupBy("rep").agg(F.collect_list("block").alias("blocks"))
+    members = rows.join(cells, "block").join(blocks, "rep").join(listed.select("rep", "n", "sketch"), "rep").withColumn("own", F.pmod(F.xxhash64("rep"), F.col("cells")).cast("int"))
+
+    def dealt(side: str) -> DataFrame:
+        other = F.explode(F.sequence(F.lit(0), F.col("cells") - 1))
+        spread = members.withColumn("other", other)
+        i, j = ("own", "other") if side == "x" else ("other", "own")
+        return spread.select(F.struct("block", F.col(i).alias("i"), F.col(j).alias("j")).alias(f"cell_{side}"), F.struct("rep", "component", "n", "blocks", "sketch").alias(side))
+
+    # A pair is looked at in the lowest block that holds both, and only there.
+    once = (F.size("x.blocks") + F.size("y.blocks") == 2) | (F.array_min(F.array_intersect("x.blocks", "y.blocks")) == F.col("cell_x.block"))
+    apart = (F.col("x.component") < F.col("y.component")) & _sizes("x.n", "y.n") & once
+    met = dealt("x").join(dealt("y"), (F.col("cell_x") == F.col("cell_y")) & apart & _may_link("x.sketch", "y.sketch", "x.n", "y.n"))
+    return met.select(F.col("x.rep").alias("hub"), F.col("y.rep").alias("member"), _known("x.n", "y.n").alias("known"))
+
+
+def confirmed(rows: DataFrame, listed: DataFrame, pairs: DataFrame, words: int, most_broadcast: int = 1_000_000) -> DataFrame:
+    """The ``pairs`` (hub, member, known) that are links: known ones are, others when their full sets
+    have a Jaccard similarity of 0.8 or more. Texts for that are picked by a broadcast of their keys
+    where these are ``most_broadcast`` at most, else by a join. A member's set is put to its pair,
+    a hub's set only joined in at the end, so that it isn't moved once per pair."""
+    scratch = tables.Scratch()
+    pairs = scratch.written(pairs, "dup-checked")
+    open_pairs = pairs.where(~F.col("known")).select("hub", "member")
+    ids = open_pairs.select(F.col("hub").alias("rep")).unionByName(open_pairs.select(F.col("member").alias("rep"))).distinct()
+    ids = scratch.written(listed.join(ids, "rep").select(F.col("rep").alias("uid"), F.col("doc_id").alias("id"), F.col("th").alias("h")), "dup-ids")
     wanted = F.broadcast(ids) if ids.count() <= most_broadcast else ids
-    sets = tables.written(full_sets(docs.join(wanted, "doc_id", "left_semi"), words), "dup-sets")
-    left = pairs.join(sets.select(F.col("doc_id").alias("b"), F.col("shingles").alias("sb")), "b")
-    both = left.join(sets.select(F.col("doc_id").alias("a"), F.col("shingles").alias("sa")), "a").withColumn("same", F.size(F.array_intersect("sa", "sb")))
-    out = tables.written(both.where(100 * F.col("same") >= 80 * (F.size("sa") + F.size("sb") - F.col("same"))).select("a", "b"), "dup-links")
-    tables.discard(pairs, ids, sets)
+    sets = scratch.written(full_sets(rows.join(wanted, (F.col("doc_id") == F.col("id")) & (F.col("th") == F.col("h"))), words), "dup-sets")
+    both = open_pairs.join(sets.select(F.col("uid").alias("member"), F.col("shingles").alias("sa")), "member").join(sets.select(F.col("uid").alias("hub"), F.col("shingles").alias("sb")), "hub")
+    linked = both.where(9 * F.size(F.array_intersect("sa", "sb")) >= 4 * (F.size("sa") + F.size("sb"))).select("hub", "member")
+    out = tables.written(pairs.where("known").select("hub", "member").unionByName(linked), "dup-confirmed")
+    scratch.clear()
     return out
 
 
+def placed(docs: DataFrame, words: int) -> DataFrame:
+    """A row for each row of ``docs``: doc_id, th (hash of the text), n (set size), component (the
+    smallest doc_id of its group), first (whether the row is the one that stands for its group)."""
+    rows = tables.texts(docs).withColumn("th", F.xxhash64("text"))
+    held = tables.written(sketches(rows, words), "dup-sketches")
+    slim = tables.written(held.drop("sketch"), "dup-rows")
+    some = slim.where((F.col("n") > 0) & F.col("doc_id").isNotNull())
+    classes = tables.written(some.groupBy("s1", "s2", "n").agg(F.min(F.struct("doc_id", "uid")).alias("least")).select("s1", "s2", "n", F.col("least.doc_id").alias("lo"), F.col("least.uid").alias("rep")), "dup-classes")
+    reps = held.join(classes.select("rep"), F.col("uid") == F.col("rep"), "left_semi").select(F.col("uid").alias("rep"), "doc_id", "th", "n", "sketch")
+    where = links(rows, reps, words)
+    tables.discard(held)
+    linked = classes.join(where, "rep", "left").withColumn("component", F.coalesce("component", "rep"))
+    heads = linked.groupBy("component").agg(F.min(F.struct("lo", "rep")).alias("head"))
+    of_class = linked.join(heads, "component").select("s1", "s2", "n", F.col("head.lo").alias("least_id"), F.col("head.rep").alias("head"))
+    out = slim.join(of_class, ["s1", "s2", "n"], "left")
+    alone = (F.col("n") == 0) | F.col("doc_id").isNull()
+    return out.select("doc_id", "th", "n", F.when(alone, F.col("doc_id")).otherwise(F.col("least_id")).alias("component"), (alone | (F.col("uid") == F.col("head"))).alias("first"))
+
+
 def groups(docs: DataFrame, words: int = 2) -> DataFrame:
     """doc_id, n_shingles, component_id, kept of each document, linked at a Jaccard similarity of 0.8
     or more over distinct ``words``-word shingles."""
-    rows = tables.texts(docs)
-    held = tables.written(sketches(rows, words), "dup-sketches")
-    some = held.where((F.col("n") > 0) & F.col("doc_id").isNotNull())
-    classes = some.groupBy("s1", "s2", "n").agg(F.min("doc_id").alias("rep"))
-    reps = tables.written(some.join(classes, ["s1", "s2", "n"]).where(F.col("doc_id") == F.col("rep")).dropDuplicates(["rep"]).select("rep", "n", "sketch", "s1", "s2"), "dup-reps")
-    where = links(rows, reps, words)
-    labelled = classes.join(where, "rep", "left").select("s1", "s2", "n", F.coalesce("component", "rep").alias("component"))
-    out = held.select("doc_id", "n", "s1", "s2").join(labelled, ["s1", "s2", "n"], "left")
-    component = F.when(F.col("n") > 0, F.least("component", "doc_id")).otherwise(F.col("doc_id"))
-    return out.select("doc_id", F.col("n").alias("n_shingles"), component.alias("component_id"), (F.col("doc_id") == component).alias("kept"))
+    out = placed(docs, words)
+    return out.select("doc_id", F.col("n").alias("n_shingles"), F.col("component").alias("component_id"), (F.col("doc_id") == F.col("component")).alias("kept"))
 
 
 def drop_near_copies(docs: DataFrame, words: int = 5) -> DataFrame:
-    """The rows of ``docs``, all columns, without those near copies that aren't their group's first."""
-    gone = groups(docs, words).where(~F.col("kept")).select(F.col("doc_id").alias("_gone"))
-    return docs.join(gone.distinct(), docs["doc_id"] == F.col("_gone"), "left_anti")
+    """The rows of ``docs``, all columns, of which one of each group stays: that with the smallest id,
+    one of them where rows with that id are copies of each other. Rows without words or id all stay."""
+    whole = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.col("doc_id").cast("long").alias("id"), F.xxhash64(F.coalesce("text", F.lit(""))).alias("h"))
+    decided = tables.written(placed(docs, words).groupBy("doc_id", "th").agg(F.max("first").alias("stays"), F.max((F.col("n") > 0) & F.col("doc_id").isNotNull()).alias("linkable"), F.count("*").alias("rows")), "dup-decided")
+    key = F.col("id").eqNullSafe(F.col("doc_id")) & (F.col("h") == F.col("th"))
+    gone = decided.where(~F.col("stays"))
+    kept = whole.join(gone.select("doc_id", "th"), key, "left_anti")
+    repeated = decided.where("stays and linkable and rows > 1").select("doc_id", "th")
+    if not repeated.isEmpty():
+        kept = kept.join(repeated, key, "left_anti").unionByName(kept.join(repeated, key, "left_semi").dropDuplicates(["id", "h"]))
+    return kept.select("row.*")

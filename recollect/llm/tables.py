@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -14,12 +13,9 @@ def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder named in ``spark.checkpoint.dir``; one of our own only where the cluster names none."""
-    named = spark.conf.get("spark.checkpoint.dir", None)
-    if not named:
-        named = "file://" + tempfile.mkdtemp(prefix="recollect-")
-        spark.conf.set("spark.checkpoint.dir", named)
-    return named
+    """The folder named in ``spark.checkpoint.dir``; where the session names none, one in the warehouse,
+    which driver and executors share as well."""
+    return spark.conf.get("spark.checkpoint.dir", None) or f"{spark.conf.get('spark.sql.warehouse.dir').rstrip('/')}/_between"
 
 
 def written(df: DataFrame, name: str, **options: str) -> DataFrame:
@@ -41,6 +37,21 @@ def discard(*frames: DataFrame) -> None:
         place.getFileSystem(df.sparkSession._jsparkSession.sessionState().newHadoopConf()).delete(place, True)
 
 
+class Scratch:
+    """Tables that one operator needs while it runs."""
+
+    def __init__(self) -> None:
+        self.frames: list[DataFrame] = []
+
+    def written(self, df: DataFrame, name: str, **options: str) -> DataFrame:
+        self.frames.append(written(df, name, **options))
+        return self.frames[-1]
+
+    def clear(self) -> None:
+        discard(*self.frames)
+        self.frames.clear()
+
+
 def texts(df: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """The two columns that an operator needs, null text as the empty string. Other columns,
     whatever their names, never reach the operator."""

@@ -87,3 +87,36 @@ def test_odd_rows(odd, empty):
     assert neardup.groups(empty).count() == 0
     kept = neardup.drop_near_copies(odd)
     assert kept.columns == odd.columns and 8 not in {r.doc_id for r in kept.collect()} and kept.where("doc_id IS NULL").count() == 1
+
+
+def test_rows_that_repeat_an_id_are_linked_each_by_its_own_text(spark, rng):
+    a, b = ([f"{x}{i}" for i in range(60)] for x in "ab")
+    rows = [(5, " ".join(a)), (5, " ".join(b)), (7, " ".join(a[:-2])), (8, " ".join(b[:-2])), (9, "alone here"), (9, "alone here"), (None, " ".join(a)), (3, ""), (3, None)]
+    docs = spark.createDataFrame([(i, t, 1, 2, 3) for i, t in rows], "doc_id long, text string, _gone int, row int, first int").repartition(3)
+    got = {(r.doc_id, r.n_shingles, r.component_id, r.kept) for r in neardup.groups(docs).collect()}
+    assert got == {(5, 59, 5, True), (7, 57, 5, False), (8, 57, 5, False), (9, 1, 9, True), (None, 59, None, None), (3, 0, 3, True)}
+    kept = neardup.drop_near_copies(docs, 2)
+    assert kept.columns == docs.columns
+    assert sorted((r.doc_id or 0, r.text or "") for r in kept.collect()) == sorted((i or 0, t or "") for i, t in [rows[0], rows[1], rows[4], rows[6], rows[7], rows[8]])
+
+
+def test_an_id_whose_one_text_is_a_copy_keeps_its_other(spark):
+    a, b = (" ".join(f"{x}{i}" for i in range(60)) for x in "ab")
+    docs = spark.createDataFrame([(3, a), (5, a), (5, b)], "doc_id long, text string")
+    assert sorted((r.doc_id, r.text) for r in neardup.drop_near_copies(docs).collect()) == [(3, a), (5, b)]
+
+
+def test_blocks_dealt_out_to_cells(spark, rng, monkeypatch):
+    """One group large enough for several cells, longer than sketches, many of whose members are not near its hub."""
+    monkeypatch.setattr(neardup, "CELL", 16)
+    base = [f"w{i}" for i in range(400)]
+    rows = []
+    for k in range(90):
+        copy = list(base)
+        for _ in range(rng.randrange(0, 40)):
+            copy[rng.randrange(400)] = f"z{rng.randrange(60)}"
+        rows.append((k, " ".join(copy)))
+    want = plain(rows, 2)
+    got = {r.doc_id: r.component_id for r in neardup.groups(spark.createDataFrame(rows, "doc_id long, text string").repartition(5)).collect()}
+    assert got == {k: c for k, (_, c) in want.items()}
+    assert 3 < len(set(got.values())) < 80
