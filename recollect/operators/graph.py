@@ -2,20 +2,12 @@
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-
-def _settled(df: DataFrame) -> DataFrame:
-    """Cut the lineage: a table in the folder named in spark.checkpoint.dir where there is one."""
-    folder = df.sparkSession.conf.get("spark.checkpoint.dir", None)
-    if not folder:
-        return df
-    path = f"{folder}/graph-{uuid.uuid4().hex[:12]}"
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+from recollect.functions import scoring, text
+from recollect.sources.settled import discard
+from recollect.sources.settled import settled as _settled
 
 
 def neighbours(edges: DataFrame, seeds: DataFrame) -> DataFrame:
@@ -52,21 +44,38 @@ def traverse(edges: DataFrame, seeds: DataFrame, depth: int, least_weight: float
     return seen.where(F.col("depth") > 0)
 
 
-def personalised_rank(edges: DataFrame, seeds: DataFrame, rounds: int = 10, teleport: float = 0.15) -> DataFrame:
-    """node, rank after a fixed number of rounds of personalised PageRank from uniform seeds; weights
-    are shares of a node's out-edges, and what dangling nodes hold goes back to the seeds."""
+def personalised_rank(edges: DataFrame, seeds: DataFrame, teleport: float = 0.15, settle: float = 1e-6, most_rounds: int = 100, least: float = 1e-10, at_once: int = 8) -> DataFrame:
+    """node, rank by personalised PageRank from uniform seeds over what they reach: weights are shares
+    of a node's out-edges, what dangling nodes hold goes back to the seeds. Rounds go on until no rank
+    changes by ``settle``. Ranks are written every ``at_once`` rounds, or every round where there are
+    dangling nodes, whose sum the next round needs. Ranks of ``least`` or less are left out. Without
+    seeds: no rows."""
+    seeds = seeds.select("node").distinct()
+    n = seeds.count()
     total = edges.groupBy("source").agg(F.sum("weight").alias("total"))
-    shares = edges.join(total, "source").select("source", "target", (F.col("weight") / F.col("total")).alias("share"))
-    nodes = edges.select(F.col("source").alias("node")).unionByName(edges.select(F.col("target").alias("node"))).distinct()
-    n = seeds.select("node").distinct().count()
-    start = nodes.join(seeds.select("node").distinct().withColumn("s", F.lit(1.0 / n)), "node", "left").select("node", F.coalesce("s", F.lit(0.0)).alias("seed")).join(total.select(F.col("source").alias("node"), F.lit(True).alias("out")), "node", "left")
-    rank = start.select("node", "seed", F.coalesce("out", F.lit(False)).alias("out"), F.col("seed").alias("rank"))
-    for _ in range(rounds):
-        got = rank.join(shares, F.col("node") == F.col("source")).groupBy("target").agg(F.sum(F.col("rank") * F.col("share")).alias("got"))
-        lost = rank.agg(F.coalesce(F.sum(F.when(~F.col("out"), F.col("rank"))), F.lit(0.0)).alias("lost"))
-        both = rank.join(got, F.col("node") == F.col("target"), "left").crossJoin(F.broadcast(lost))
-        rank = _settled(both.select("node", "seed", "out", (F.col("seed") * (teleport + (1 - teleport) * F.col("lost")) + (1 - teleport) * F.coalesce("got", F.lit(0.0))).alias("rank")))
-    return rank.select("node", "rank").where(F.col("rank") > 1e-10)
+    shares = _settled(edges.join(total, "source").select("source", "target", (F.col("weight") / F.col("total")).alias("share")))
+    sources = shares.select(F.col("source").alias("node"))
+    dangling = not (shares.select(F.col("target").alias("node")).unionByName(seeds).join(sources, "node", "left_anti").isEmpty())
+    one = F.lit(1.0 / max(n, 1))
+    rank = _settled(seeds.select("node", one.alias("seed"), one.alias("rank"), F.lit(0.0).alias("was")))
+    home = _settled(seeds.select("node", one.alias("seed"), F.lit(0.0).alias("got"), F.lit(0.0).alias("was")))
+    for done in range(0, most_rounds, 1 if dangling else at_once):
+        lost = rank.join(sources, "node", "left_anti").agg(F.sum("rank")).first()[0] or 0.0 if dangling else 0.0
+        before = rank
+        for step in range(1 if dangling else min(at_once, most_rounds - done)):
+            last = step == (1 if dangling else min(at_once, most_rounds - done)) - 1
+            sent = rank.join(shares, F.col("node") == F.col("source")).select(F.col("target").alias("node"), F.lit(0.0).alias("seed"), (F.col("rank") * F.col("share")).alias("got"), F.lit(0.0).alias("was"))
+            parts = sent.unionByName(home)
+            if last:  # what the ranks were, to see what this round changes
+                parts = parts.unionByName(rank.select("node", F.lit(0.0).alias("seed"), F.lit(0.0).alias("got"), F.col("rank").alias("was")))
+            sums = parts.groupBy("node").agg(F.max("seed").alias("seed"), F.sum("got").alias("got"), F.max("was").alias("was"))
+            rank = sums.select("node", "seed", (F.col("seed") * (teleport + (1 - teleport) * lost) + (1 - teleport) * F.col("got")).alias("rank"), "was")
+        rank = _settled(rank)
+        discard(before)
+        if (rank.agg(F.max(F.abs(F.col("rank") - F.col("was")))).first()[0] or 0.0) < settle:
+            break
+    discard(shares, home)
+    return rank.select("node", "rank").where(F.col("rank") > least)
 
 
 def causal_chains(edges: DataFrame, seeds: DataFrame, depth: int = 3, least_confidence: float = 0.3) -> DataFrame:
@@ -106,3 +115,47 @@ def label_communities(edges: DataFrame, rounds: int = 5) -> DataFrame:
 def shortest_paths(edges: DataFrame, seeds: DataFrame, depth: int) -> DataFrame:
     """node, hops: the fewest edges from any seed."""
     return traverse(edges, seeds, depth).withColumnRenamed("depth", "hops")
+
+
+def subgraph(edges: DataFrame, nodes: DataFrame) -> DataFrame:
+    """The edges both of whose ends are among ``nodes``."""
+    n = nodes.select("node").distinct()
+    return edges.join(n.withColumnRenamed("node", "source"), "source", "left_semi").join(n.withColumnRenamed("node", "target"), "target", "left_semi").select(*edges.columns)
+
+
+def provenance(found: DataFrame, edges: DataFrame, depth: int, most: int | None = None) -> DataFrame:
+    """node, score, level of what result rows (node, score) derive from along ``edges`` (source,
+    target), level by level: half the lowest result score (at least 0.01) over the level plus two.
+    Results themselves are not displaced."""
+    base = found.agg(F.greatest(0.5 * F.min("score"), F.lit(0.01)).alias("base"))
+    reached = traverse(edges.withColumn("weight", F.lit(1.0)), found.select("node"), depth)
+    out = reached.crossJoin(F.broadcast(base)).select("node", (F.col("base") / (F.col("depth") - 1 + 2)).alias("score"), (F.col("depth") - 1).alias("level"))
+    return out if most is None else out.orderBy(F.desc("score"), "node").limit(most)
+
+
+def lateral_inhibition(activated: DataFrame, edges: DataFrame, seeds: DataFrame, vectors: DataFrame, strength: float = 0.5, near: float = 0.7) -> DataFrame:
+    """``activated`` (node, score) where nodes further than two steps from every seed, but with a vector
+    close to a seed's, lose score: for the closest seed, strength * (1 - Jaccard of neighbours) *
+    cosine, of which at most 80 % of the score goes. ``seeds`` is a stated query set."""
+    s = seeds.select("node").distinct()
+    two = neighbours_within(edges, s, 2)
+    far = activated.join(s, "node", "left_anti").join(two, "node", "left_anti")
+    around = edges.groupBy(F.col("source").alias("node")).agg(F.collect_set("target").alias("around"))
+    of_seed = s.join(vectors, "node").join(around, "node", "left").select(F.col("node").alias("seed"), F.col("embedding").alias("sv"), F.coalesce("around", F.expr("cast(array() as array<bigint>)")).alias("sa"))
+    of_far = far.join(vectors, "node").join(around, "node", "left").withColumn("around", F.coalesce("around", F.expr("cast(array() as array<bigint>)")))
+    met = of_far.join(F.broadcast(of_seed)).withColumn("cos", scoring.cosine(F.col("embedding"), F.col("sv"))).where(F.col("cos") > near)
+    loss = met.select("node", (strength * (1 - text.jaccard(F.col("around"), F.col("sa"))) * F.col("cos")).alias("loss")).groupBy("node").agg(F.max("loss").alias("loss"))
+    return activated.join(loss, "node", "left").select("node", (F.col("score") - F.least(F.coalesce("loss", F.lit(0.0)), 0.8 * F.col("score"))).alias("score"))
+
+
+def neighbours_within(edges: DataFrame, seeds: DataFrame, depth: int) -> DataFrame:
+    """node: what is within ``depth`` steps of a seed, along edges as they point."""
+    return traverse(edges.withColumn("weight", F.lit(1.0)), seeds, depth).select("node")
+
+
+def activate(edges: DataFrame, seeds: DataFrame, records: DataFrame, mode: str = "spreading", most_seeds: int = 10, depth: int = 3) -> DataFrame:
+    """Graph activation as a retrieval source: the best ``most_seeds`` result rows (node, score) seed
+    the graph; what they activate is hydrated from ``records`` (node, ...) as ``activation_score``."""
+    start = seeds.orderBy(F.desc("score"), "node").limit(most_seeds).select("node")
+    found = neighbours(edges, start) if mode == "static" else spread(edges, start, depth).select("node", "score")
+    return records.join(found.withColumnRenamed("score", "activation_score"), "node")

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -49,14 +51,25 @@ def expand_terms(found: DataFrame, seen: list[str], top: int = 4) -> list[str]:
     return [r["term"] for r in ranked.groupBy("term").agg((F.sum("s") / F.sqrt(F.count("*"))).alias("w")).orderBy(F.desc("w"), "term").limit(top).collect()]
 
 
-def first_clause(content: Column) -> Column:
-    """(subject, verb, object) of a text's first sentence: its first capitalised word, the word after
-    it, and the rest; null where there are fewer than three words."""
-    words = text.split_words(F.element_at(F.split(content, "[.!?]"), 1))
-    bare = F.transform(words, lambda w: F.regexp_replace(w, r"^[^\p{L}\p{N}]+|[^\p{L}\p{N}]+$", ""))
-    at = F.array_position(F.transform(bare, lambda w: w.rlike(r"^\p{Lu}")), True).cast("int")
-    rest = F.array_join(F.slice(bare, at + 2, F.greatest(F.size(bare) - at - 1, F.lit(0))), " ")
-    return F.when((F.size(words) >= 3) & (at > 0) & (F.size(bare) >= at + 2), F.struct(F.element_at(bare, at).alias("subject"), F.element_at(bare, at + 1).alias("verb"), rest.alias("object")))
+def clauses(rows: DataFrame, id: str, content: str, least_confidence: float = 0.0) -> DataFrame:
+    """id, sentence (from 0), subject, verb, object, time, confidence of each sentence of three words
+    or more that has all of the first three: the first word that may be a subject, the first that is
+    or ends as a verb, and what follows it; ``time`` is a date or time word of the sentence, or null."""
+    trim = lambda w, kept="": F.regexp_replace(w, rf"^[^\p{{L}}\p{{N}}{kept}]+|[^\p{{L}}\p{{N}}{kept}]+$", "")
+    sentences = rows.select(id, F.posexplode(F.split(content, "[.!?]")).alias("sentence", "s")).withColumn("w", text.split_words(F.col("s"))).where(F.size("w") >= 3)
+    bare = sentences.withColumn("bare", F.transform("w", trim)).withColumn("low", F.transform("w", lambda w: trim(F.lower(w))))
+    ends = lambda w: reduce(lambda x, y: x | y, [F.endswith(w, F.lit(e)) & (F.octet_length(w) > len(e) + 1) for e in text.VERB_ENDS])
+    subject = F.get(F.filter("bare", lambda b: (b != "") & (b.rlike(r"^\p{Lu}") | ~F.lower(b).isin(*text.NO_SUBJECT))), F.lit(0))
+    at = F.array_position(F.transform("low", lambda w: w.isin(*text.VERBS) | ends(w)), True).cast("int")
+    found = bare.withColumn("subject", subject).withColumn("at", at).where(F.col("subject").isNotNull() & (F.col("at") > 0))
+    rest = F.filter(F.transform(F.slice("w", F.col("at") + 1, F.size("w")), lambda w: trim(w, ".-")), lambda w: w != "")
+    low = F.lower("s")
+    month = F.coalesce(*[F.when(F.contains(low, F.lit(m)), F.trim(F.substring(F.col("s"), F.instr(low, m), F.lit(len(m) + 15)))) for m in text.MONTHS])
+    date = F.get(F.filter(F.transform("w", F.lower), lambda w: w.rlike(r"^[0-9]{4}-[^-]*-[^-]*$") & (F.octet_length(w) >= 8)), F.lit(0))
+    relative = F.coalesce(*[F.when(F.contains(low, F.lit(r)), F.lit(r)) for r in text.RELATIVE])
+    made = found.select(id, "sentence", "subject", F.element_at("low", F.col("at")).alias("verb"), rest.alias("rest"), F.coalesce(month, date, relative).alias("time")).where(F.size("rest") > 0)
+    confidence = 0.6 + F.when(F.col("subject").rlike(r"^\p{Lu}"), 0.1).otherwise(0.0) + F.when(F.octet_length("verb") > 2, 0.1).otherwise(0.0) + F.when(F.size("rest") >= 2, 0.1).otherwise(0.0)
+    return made.select(id, "sentence", "subject", "verb", F.array_join("rest", " ").alias("object"), "time", confidence.alias("confidence")).where(F.col("confidence") >= least_confidence)
 
 
 def explained(rows: DataFrame, terms: dict[str, Column]) -> DataFrame:

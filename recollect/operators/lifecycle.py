@@ -1,7 +1,15 @@
-"""Sequences, revisions and forgetting, as window and aggregate plans."""
+"""Sequences, revisions and forgetting, as window and aggregate plans.
+
+Nulls: rows with a null key form a key of their own; null values are left out of averages, sums and
+maxima. Rows equal in the order columns stand in any order, so give a column that tells them apart.
+Empty tables give no rows. Extra columns are kept.
+"""
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterator
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -54,10 +62,48 @@ def update(base: DataFrame, where: Column, values: dict[str, Column]) -> DataFra
     return base.withColumns({name: F.when(hit, value).otherwise(F.col(name)) for name, value in values.items()})
 
 
-def rate_limited(rows: DataFrame, key: str, seconds: str, most: int, window: int = 60) -> DataFrame:
-    """``rows`` with ``recent`` writes of the key in the window up to the row, and ``accepted``."""
-    w = Window.partitionBy(key).orderBy(seconds).rangeBetween(-window, 0)
-    return rows.withColumn("recent", F.count("*").over(w)).withColumn("accepted", F.col("recent") <= most)
+def walked(rows: DataFrame, key: str, order: list[str], out: str, start: Callable[[], object], step: Callable[[object, tuple], tuple[object, bool]], reads: list[str]) -> DataFrame:
+    """``rows`` with the boolean ``out`` of a walk through each key's rows in order: ``step(state, values
+    of reads)`` gives the next state and the outcome. Rows stream through sorted; a task holds one
+    batch and one state, however many rows a key has."""
+
+    def work(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        now, state = object(), None
+        for pdf in parts:
+            made = []
+            for k, values in zip(pdf[key], zip(*(pdf[c] for c in reads), strict=True), strict=True):
+                k = None if pd.isna(k) else k
+                if k != now:
+                    now, state = k, start()
+                state, outcome = step(state, values)
+                made.append(outcome)
+            yield pdf.assign(**{out: made})
+
+    schema = rows.withColumn(out, F.lit(True)).schema
+    return rows.repartition(key).sortWithinPartitions(key, *order).mapInPandas(work, schema)
+
+
+def rate_limited(rows: DataFrame, key: str, seconds: str, most: int = 100, window: int = 60, tie: str = "id") -> DataFrame:
+    """``rows`` with ``accepted``: a write is accepted while fewer than ``most`` accepted writes of its
+    key are younger than ``window``; rejected ones don't count. The state is at most ``most`` times."""
+
+    def step(held: tuple, values: tuple) -> tuple[tuple, bool]:
+        now = values[0]
+        held = tuple(t for t in held if now - t < window)
+        return (*held, now) if len(held) < most else held, len(held) < most
+
+    return walked(rows, key, [seconds, tie], "accepted", tuple, step, [seconds])
+
+
+def token_budgeted(rows: DataFrame, key: str, order: list[str], tokens: str, budget: int = 500_000) -> DataFrame:
+    """``rows`` with ``accepted``: a write is accepted if its tokens and those stored before for its key
+    stay within ``budget``; rejected ones are not stored."""
+
+    def step(stored: int, values: tuple) -> tuple[int, bool]:
+        fits = stored + values[0] <= budget
+        return stored + (values[0] if fits else 0), fits
+
+    return walked(rows, key, order, "accepted", int, step, [tokens])
 
 
 def contiguous(rows: DataFrame, key: str, order: list[str], hit: Column, score: Column, reach: int = 2, share: float = 0.7) -> DataFrame:
@@ -103,3 +149,14 @@ def evict(rows: DataFrame, key: str, priority: str, order: str, tokens: str, lim
     """``rows`` with ``kept``: those that fit the token limit by priority, then recency."""
     w = Window.partitionBy(key).orderBy(F.desc(priority), F.desc(order)).rowsBetween(Window.unboundedPreceding, 0)
     return rows.withColumn("upto", F.sum(tokens).over(w)).withColumn("kept", F.col("upto") <= limit)
+
+
+def expired(rows: DataFrame, created_ms: str, ttl_s: str, now_ms: int) -> Column:
+    """Whether a row's time to live (null: for ever) is over."""
+    return F.coalesce(F.col(created_ms) + F.col(ttl_s) * 1000 <= F.lit(now_ms), F.lit(False))
+
+
+def decay_sweep(rows: DataFrame, accessed_ms: str, importance: str, now_ms: int, window_s: int = 86_400, factor: float = 0.95) -> DataFrame:
+    """Importance of rows not accessed within the window, lowered by ``factor``."""
+    stale = (F.col(accessed_ms) < now_ms - window_s * 1000) & (F.col(importance) > 0)
+    return rows.withColumn(importance, F.when(stale, F.col(importance) * factor).otherwise(F.col(importance)))

@@ -1,13 +1,20 @@
-"""Retrieval: vector, full-text and hybrid search over DataFrames."""
+"""Retrieval: vector, full-text and hybrid search over DataFrames.
+
+Nulls: rows without a vector or text are not found. Equal scores go by the smaller id; of rows that
+repeat an id each counts, but for fused and merged lists, which have one row an id. Empty tables give
+no rows. Extra columns are kept where a function returns its rows.
+"""
 
 from __future__ import annotations
 
+import math
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from recollect.functions import scoring, text
+from recollect.functions import scoring
+from recollect.sources.settled import settled
 
 
 def similarity(a: Column, b: Column, metric: str = "cosine") -> Column:
@@ -28,13 +35,16 @@ def vector_search(rows: DataFrame, query: list[float], k: int, metric: str = "co
     return kept.where(F.col("embedding").isNotNull()).withColumn("score", similarity(F.col("embedding"), vector, metric)).orderBy(F.desc("score"), "id").limit(k)
 
 
-def vector_search_many(rows: DataFrame, queries: DataFrame, k: int, metric: str = "cosine", most_queries: int = 10_000) -> DataFrame:
-    """query_id, id, score, rank: the k nearest rows of each query. Queries (query_id, query) are a
-    stated set of ``most_queries`` at most, broadcast against all rows."""
-    if queries.limit(most_queries + 1).count() > most_queries:
-        raise ValueError(f"more than {most_queries} queries: search them in blocks")
-    scored = rows.where(F.col("embedding").isNotNull()).join(F.broadcast(queries)).where(F.col("id") != F.col("query_id")).select("query_id", "id", similarity(F.col("embedding"), F.col("query"), metric).alias("score"))
-    return top_per(scored, "query_id", k)
+def vector_search_many(rows: DataFrame, queries: DataFrame, k: int, metric: str = "cosine", block: int = 10_000) -> DataFrame:
+    """query_id, id, score, rank: the k nearest other rows of each query. Queries (query_id, query) are
+    a stated set; they are broadcast against all rows in blocks of about ``block``."""
+    blocks = max(1, -(-queries.count() // block))
+    kept, found = rows.where(F.col("embedding").isNotNull()), None
+    for b in range(blocks):
+        some = queries if blocks == 1 else queries.where(F.pmod(F.xxhash64("query_id"), F.lit(blocks)) == b)
+        near = kept.join(F.broadcast(some)).where(F.col("id") != F.col("query_id")).select("query_id", "id", similarity(F.col("embedding"), F.col("query"), metric).alias("score"))
+        found = top_per(near, "query_id", k) if found is None else found.unionByName(top_per(near, "query_id", k))
+    return found
 
 
 def top_per(scored: DataFrame, key: str, k: int) -> DataFrame:
@@ -44,21 +54,18 @@ def top_per(scored: DataFrame, key: str, k: int) -> DataFrame:
 
 
 def bm25(docs: DataFrame, terms: list[str], k1: float = 1.2, b: float = 0.75) -> DataFrame:
-    """id, score of the documents that hold a term. Only term counts are shuffled, no texts."""
-    tokens = docs.select("id", text.words(F.col("text")).alias("w")).select("id", F.size("w").alias("len"), *[F.size(F.filter("w", _is(t))).alias(f"tf{i}") for i, t in enumerate(terms)])
+    """id, score of the documents that hold a term. Texts are read once: lengths and term counts are
+    written, and only texts that contain a term are searched for it."""
+    low = docs.select("id", F.lower("text").alias("t"))
+    tf = [F.when(F.contains("t", F.lit(t)), F.regexp_count("t", F.lit(rf"(?<![\p{{L}}\p{{N}}])\Q{t}\E(?![\p{{L}}\p{{N}}])"))).otherwise(0) for t in terms]
+    tokens = settled(low.select("id", F.regexp_count("t", F.lit(r"[\p{L}\p{N}]++")).alias("len"), *[x.alias(f"tf{i}") for i, x in enumerate(tf)]), "bm25")
     stats = tokens.agg(F.count("*").alias("n"), F.avg("len").alias("avg"), *[F.sum((F.col(f"tf{i}") > 0).cast("long")).alias(f"df{i}") for i in range(len(terms))]).first()
     norm = k1 * (1 - b + b * F.col("len") / F.lit(float(stats["avg"] or 1)))
-    import math
-
     parts = [F.lit(math.log(1 + (stats["n"] - (stats[f"df{i}"] or 0) + 0.5) / ((stats[f"df{i}"] or 0) + 0.5))) * F.col(f"tf{i}") * (k1 + 1) / (F.col(f"tf{i}") + norm) for i in range(len(terms))]
     any_term = reduce(lambda x, y: x | y, [F.col(f"tf{i}") > 0 for i in range(len(terms))])
     return tokens.where(any_term).select("id", reduce(lambda x, y: x + y, parts).alias("score"))
 
 
-def _is(term: str):
-    return lambda w: w == term
-
-
 def reciprocal_rank_fusion(a: DataFrame, b: DataFrame, k: int = 60) -> DataFrame:
     """id, score of two result lists (id, score): 1/(rank + k) summed with ranks from 0; a document
     absent from a list ranks after both lists' rows."""

@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from recollect.functions import scoring
-from recollect.operators import knowledge
+from recollect.functions import scoring, text
+from recollect.operators import knowledge, search
 from recollect.sources.views import episodes, supply_edges, table, vectors
 
 from .register import registry
@@ -52,14 +52,24 @@ def embed_cache(spark: SparkSession, sf_dir: str) -> DataFrame:
     return knowledge.cached(d, cache, "m").select("id", C("embedding").alias("size"))
 
 
-@query("""WITH s AS (SELECT doc_id, list_filter(regexp_split_to_array(string_split_regex(text, '[.!?]')[1], '\\s+'), lambda w: w <> '') AS w FROM documents),
-b AS (SELECT doc_id, list_transform(w, lambda x: regexp_replace(x, '^[^\\p{L}\\p{N}]+|[^\\p{L}\\p{N}]+$', '', 'g')) AS b FROM s WHERE len(w) >= 3),
-p AS (SELECT doc_id, b, list_position(list_transform(b, lambda x: regexp_matches(x, '^\\p{Lu}')), true) AS k FROM b)
-SELECT doc_id, b[k] AS subject, b[k + 1] AS verb, array_to_string(list_slice(b, k + 2, len(b)), ' ') AS object FROM p WHERE k > 0 AND len(b) >= k + 2""")
+_VERB = "(x IN (" + ", ".join(f"'{v}'" for v in text.VERBS) + ") OR " + " OR ".join(f"(ends_with(x, '{e}') AND octet_length(encode(x)) > {len(e) + 1})" for e in text.VERB_ENDS) + ")"
+_MONTH = "coalesce(" + ", ".join(f"CASE WHEN contains(lower(s), '{m}') THEN trim(substring(s, strpos(lower(s), '{m}'), {len(m) + 15})) END" for m in text.MONTHS) + ")"
+_RELATIVE = "coalesce(" + ", ".join(f"CASE WHEN contains(lower(s), '{r}') THEN '{r}' END" for r in text.RELATIVE) + ")"
+_TRIM = "regexp_replace({0}, '^[^\\p{{L}}\\p{{N}}{1}]+|[^\\p{{L}}\\p{{N}}{1}]+$', '', 'g')"
+
+
+@query(f"""WITH p AS (SELECT doc_id, string_split_regex(text, '[.!?]') AS parts FROM documents),
+s AS (SELECT doc_id, CAST(i - 1 AS INTEGER) AS sentence, parts[i] AS s FROM (SELECT doc_id, parts, unnest(range(1, len(parts) + 1)) AS i FROM p)),
+w AS (SELECT *, list_filter(regexp_split_to_array(s, '\\s+'), lambda x: x <> '') AS w FROM s),
+b AS (SELECT *, list_transform(w, lambda x: {_TRIM.format('x', '')}) AS bare, list_transform(w, lambda x: {_TRIM.format('lower(x)', '')}) AS low FROM w WHERE len(w) >= 3),
+f AS (SELECT *, list_filter(bare, lambda x: x <> '' AND (regexp_matches(x, '^\\p{{Lu}}') OR lower(x) NOT IN ({", ".join(f"'{x}'" for x in text.NO_SUBJECT)})))[1] AS subject, list_position(list_transform(low, lambda x: {_VERB}), true) AS k FROM b),
+o AS (SELECT *, low[k] AS verb, list_filter(list_transform(list_slice(w, k + 1, len(w)), lambda x: {_TRIM.format('x', '.-')}), lambda x: x <> '') AS rest,
+ coalesce({_MONTH}, list_filter(list_transform(w, lambda x: lower(x)), lambda x: regexp_matches(x, '^[0-9]{{4}}-[^-]*-[^-]*$') AND octet_length(encode(x)) >= 8)[1], {_RELATIVE}) AS time FROM f WHERE subject IS NOT NULL AND k > 0)
+SELECT doc_id, sentence, subject, verb, array_to_string(rest, ' ') AS object, time, round(CAST(0.6 + CASE WHEN regexp_matches(subject, '^\\p{{Lu}}') THEN 0.1 ELSE 0 END + CASE WHEN octet_length(encode(verb)) > 2 THEN 0.1 ELSE 0 END + CASE WHEN len(rest) >= 2 THEN 0.1 ELSE 0 END AS DOUBLE), 6) AS confidence FROM o WHERE len(rest) > 0""")
 def svo_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Subject, verb and object of each document's first sentence."""
-    d = table(spark, sf_dir, "documents").select("doc_id", knowledge.first_clause(C("text")).alias("s")).where("s IS NOT NULL")
-    return d.select("doc_id", "s.subject", "s.verb", "s.object")
+    """Subject, verb, object and time of every sentence."""
+    found = knowledge.clauses(table(spark, sf_dir, "documents"), "doc_id", "text")
+    return found.withColumn("confidence", F.round("confidence", 6))
 
 
 @query("""WITH ep AS (SELECT event_id AS id, least(greatest(value/100, 0.0), 1.0) AS importance, event_id % 7 AS f, (1706745600000 - epoch_us(ts)//1000)/3600000.0 AS age FROM events)
@@ -71,16 +81,14 @@ def retrieval_explanation(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("id", F.round("part_importance", 6).alias("part_importance"), F.round("part_recency", 6).alias("part_recency"))
 
 
-@query("""WITH q AS (SELECT vec_id, CAST(embedding AS DOUBLE[]) AS e FROM embeddings WHERE vec_id % 100 = 7 AND vec_id < 2000),
+@query("""WITH q AS (SELECT vec_id, CAST(embedding AS DOUBLE[]) AS e FROM embeddings WHERE vec_id % 20 = 0),
 s AS (SELECT q.vec_id AS a, x.vec_id AS b, list_cosine_similarity(q.e, CAST(x.embedding AS DOUBLE[])) AS c FROM q JOIN embeddings x ON x.vec_id <> q.vec_id),
-r AS (SELECT *, row_number() OVER (PARTITION BY a ORDER BY c DESC, b) AS k FROM s WHERE c >= 0.3) SELECT a AS source, b AS target, round(c, 6) AS weight FROM r WHERE k <= 10""")
+r AS (SELECT *, row_number() OVER (PARTITION BY a ORDER BY c DESC, b) AS k FROM s) SELECT a AS source, b AS target, round(c, 6) AS weight FROM r WHERE k <= 10 AND c >= 0.3""")
 def similarity_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Edges from at most twenty new vectors to at most ten similar ones each."""
+    """Edges from new vectors to at most ten similar ones each."""
     v = vectors(spark, sf_dir)
-    new = v.where((C("id") % 100 == 7) & (C("id") < 2000)).select(C("id").alias("source"), C("embedding").alias("q"))
-    s = v.join(F.broadcast(new)).where(C("id") != C("source")).select("source", C("id").alias("target"), scoring.cosine(C("q"), C("embedding")).alias("weight")).where("weight >= 0.3")
-    w = Window.partitionBy("source").orderBy(F.desc("weight"), "target")
-    return s.withColumn("k", F.row_number().over(w)).where("k <= 10").select("source", "target", F.round("weight", 6).alias("weight"))
+    new = v.where(C("id") % 20 == 0).select(C("id").alias("query_id"), C("embedding").alias("query"))
+    return search.vector_search_many(v, new, 10).where("score >= 0.3").select(C("query_id").alias("source"), C("id").alias("target"), F.round("score", 6).alias("weight"))
 
 
 @query("""WITH s AS (SELECT user_id, ts, event_id, CASE WHEN lag(ts) OVER w IS NULL OR ts - lag(ts) OVER w >= INTERVAL 12 HOUR THEN 1 ELSE 0 END AS edge FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id)),

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from recollect.functions import text
+from recollect.functions import scoring, text
 from recollect.operators import lifecycle
 from recollect.sources.views import episodes, table
 
@@ -14,6 +14,7 @@ from .register import registry
 QUERIES, ORACLE, query = registry()
 C = F.col
 EPISODES = "WITH ep AS (SELECT event_id AS id, user_id AS agent_id, event_type AS namespace, epoch_us(ts) // 1000 AS created_ms, least(greatest(value/100, 0.0), 1.0) AS importance, event_id % 7 AS access_count, value, props FROM events)"
+WALK = EPISODES.replace("WITH ep", "WITH RECURSIVE ep", 1)
 
 
 @query("SELECT event_id, user_id, event_type, value FROM events WHERE event_type IN ('click', 'purchase') AND value >= 20 AND (user_id < 50 OR value > 90) ORDER BY value DESC, event_id LIMIT 50 OFFSET 10")
@@ -90,10 +91,10 @@ def revision_as_of(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lifecycle.heads(_revisions(spark, sf_dir), "chain", "version", C("recorded") <= F.lit("1999-06-30").cast("timestamp")).select("chain", "rev_id", "version", "value")
 
 
-@query(REVISIONS + " SELECT chain, rev_id, version, version = (SELECT max(version) FROM rev r WHERE r.chain = rev.chain) AS is_target FROM rev WHERE chain % 10 = 3")
+@query(REVISIONS + " SELECT chain, rev_id, version, version = max(version) OVER (PARTITION BY chain) AS is_target FROM rev")
 def revision_history(spark: SparkSession, sf_dir: str) -> DataFrame:
     w = Window.partitionBy("chain")
-    return _revisions(spark, sf_dir).where("chain % 10 = 3").select("chain", "rev_id", "version", (C("version") == F.max("version").over(w)).alias("is_target"))
+    return _revisions(spark, sf_dir).select("chain", "rev_id", "version", (C("version") == F.max("version").over(w)).alias("is_target"))
 
 
 @query("SELECT c_custkey, c_name, round(CASE WHEN c_custkey % 5 = 0 THEN c_acctbal * 2 ELSE c_acctbal END, 2) AS c_acctbal FROM customer UNION ALL SELECT c_custkey + 10000000, c_name, round(c_acctbal, 2) FROM customer WHERE c_custkey % 100 = 1")
@@ -155,12 +156,15 @@ def temporal_contiguity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lifecycle.contiguous(episodes(spark, sf_dir), "agent_id", ["created_ms", "id"], C("importance") >= 0.9, C("importance")).select("id", F.round("score", 6).alias("score"))
 
 
-@query(EPISODES + """, s AS (SELECT id, agent_id, created_ms // 1000 AS sec FROM ep)
-SELECT id, count(*) OVER (PARTITION BY agent_id ORDER BY sec RANGE BETWEEN 36000 PRECEDING AND CURRENT ROW) AS recent, count(*) OVER (PARTITION BY agent_id ORDER BY sec RANGE BETWEEN 36000 PRECEDING AND CURRENT ROW) <= 3 AS accepted FROM s""")
+@query(WALK + """, s AS (SELECT id, agent_id, created_ms // 1000 AS sec, row_number() OVER (PARTITION BY agent_id ORDER BY created_ms // 1000, id) AS r FROM ep),
+w AS (SELECT agent_id, r, id, [sec] AS held, true AS accepted FROM s WHERE r = 1
+ UNION ALL SELECT s.agent_id, s.r, s.id, list_concat(list_filter(w.held, lambda x: s.sec - x < 360000), CASE WHEN len(list_filter(w.held, lambda x: s.sec - x < 360000)) < 3 THEN [s.sec] ELSE [] END),
+ len(list_filter(w.held, lambda x: s.sec - x < 360000)) < 3 FROM w JOIN s ON s.agent_id = w.agent_id AND s.r = w.r + 1)
+SELECT id, accepted FROM w""")
 def rate_limit(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """At most three writes of an agent in ten hours."""
+    """At most three accepted writes of an agent in a hundred hours; rejected ones don't count."""
     rows = episodes(spark, sf_dir).select("id", "agent_id", F.floor(C("created_ms") / 1000).alias("sec"))
-    return lifecycle.rate_limited(rows, "agent_id", "sec", 3, 36000).select("id", "recent", "accepted")
+    return lifecycle.rate_limited(rows, "agent_id", "sec", 3, 360_000).select("id", "accepted")
 
 
 @query(EPISODES + """, p AS (SELECT a.namespace AS cause, b.namespace AS effect, count(*) AS n FROM ep a JOIN ep b ON a.agent_id = b.agent_id AND b.created_ms > a.created_ms AND b.created_ms - a.created_ms <= 3600000 AND a.namespace <> b.namespace GROUP BY 1, 2)
@@ -193,24 +197,23 @@ def interference_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return d.join(first, "h").select("doc_id", F.when(dup, "duplicate").otherwise("none").alias("flags"), F.when(dup, 0.95).otherwise(0.0).alias("score"))
 
 
-@query(EPISODES + """, a AS (SELECT id, agent_id, sum(CAST(ceil(octet_length(encode(props))/4.0) AS BIGINT)) OVER (PARTITION BY agent_id ORDER BY created_ms, id ROWS UNBOUNDED PRECEDING) AS upto FROM ep)
-SELECT id, CAST(upto AS BIGINT) AS tokens, CASE WHEN upto > 300 THEN 'reject' ELSE 'accept' END AS decision FROM a""")
+@query(WALK + """, s AS (SELECT id, agent_id, CAST(ceil(octet_length(encode(props))/4.0) AS BIGINT) AS tokens, row_number() OVER (PARTITION BY agent_id ORDER BY created_ms, id) AS r FROM ep),
+w AS (SELECT agent_id, r, id, CASE WHEN tokens <= 60 THEN tokens ELSE 0 END AS stored, tokens <= 60 AS ok FROM s WHERE r = 1
+ UNION ALL SELECT s.agent_id, s.r, s.id, w.stored + CASE WHEN w.stored + s.tokens <= 60 THEN s.tokens ELSE 0 END, w.stored + s.tokens <= 60 FROM w JOIN s ON s.agent_id = w.agent_id AND s.r = w.r + 1)
+SELECT id, CASE WHEN ok THEN 'accept' ELSE 'reject' END AS decision FROM w""")
 def admission_token_budget(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Writes of an agent up to a budget of 300 tokens."""
-    w = Window.partitionBy("agent_id").orderBy("created_ms", "id").rowsBetween(Window.unboundedPreceding, 0)
-    upto = F.sum(F.ceil(F.octet_length("props") / F.lit(4.0))).over(w)
-    return episodes(spark, sf_dir).select("id", upto.cast("long").alias("tokens"), F.when(upto > 300, "reject").otherwise("accept").alias("decision"))
+    """Writes of an agent within a budget of 60 tokens; what is rejected is not stored and doesn't count."""
+    rows = episodes(spark, sf_dir).select("id", "agent_id", "created_ms", F.ceil(F.octet_length("props") / F.lit(4.0)).cast("long").alias("tokens"))
+    return lifecycle.token_budgeted(rows, "agent_id", ["created_ms", "id"], "tokens", 60).select("id", F.when(C("accepted"), "accept").otherwise("reject").alias("decision"))
 
 
 @query(EPISODES + """, r AS (SELECT id, importance, exp(-(1706745600000 - created_ms)/3600000.0/((24 + access_count)*(1 + 0.5*ln(greatest(access_count, 1))))) AS ret FROM ep)
-SELECT id, round(ret*importance, 6) AS strength, CASE WHEN ret*importance < 0.01 THEN 'purge' WHEN ret*importance < 0.1 THEN 'archive' ELSE 'keep' END AS action FROM r WHERE abs(ret*importance - 0.1) > 1e-9 AND abs(ret*importance - 0.01) > 1e-9""")
+SELECT id, round(ret*importance, 6) AS strength, CASE WHEN round(ret*importance, 6) < 0.01 THEN 'purge' WHEN round(ret*importance, 6) < 0.1 THEN 'archive' ELSE 'keep' END AS action FROM r""")
 def forgetting(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from recollect.functions import scoring
-
+    """What is forgotten, by strength to six decimals."""
     e = episodes(spark, sf_dir)
     ret = scoring.retention((1706745600000 - C("created_ms")) / 3600000.0, (24 + C("access_count")).cast("double"), C("access_count"))
-    s = ret * C("importance")
-    return e.withColumn("s", s).where((F.abs(C("s") - 0.1) > 1e-9) & (F.abs(C("s") - 0.01) > 1e-9)).select("id", F.round("s", 6).alias("strength"), F.when(C("s") < 0.01, "purge").when(C("s") < 0.1, "archive").otherwise("keep").alias("action"))
+    return e.select("id", F.round(ret * C("importance"), 6).alias("strength")).withColumn("action", F.when(C("strength") < 0.01, "purge").when(C("strength") < 0.1, "archive").otherwise("keep"))
 
 
 @query(EPISODES + """, w AS (SELECT id, sum(10 + access_count) OVER (PARTITION BY agent_id ORDER BY importance DESC, id DESC ROWS UNBOUNDED PRECEDING) AS upto FROM ep)
@@ -248,8 +251,11 @@ def cube_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "customer").cube("c_nationkey", "c_mktsegment").agg(F.count("*").alias("n"), F.round(F.sum("c_acctbal"), 2).alias("total"))
 
 
-@query("SELECT doc_id, unnest(['What about ', 'When did this happen: ', 'Why does it matter that ', 'Who is involved in ', 'What follows from ']) || trim(regexp_replace(text, '\\s+', ' ', 'g')) || '?' AS question FROM documents WHERE length(text) <= 80 AND len(list_filter(regexp_split_to_array(lower(text), '[^\\p{L}\\p{N}]+'), lambda w: w <> '')) >= 3")
+QUESTION_SQL = ", ".join(f"replace('{q}', '{{content}}', t)" for q in text.QUESTIONS)
+
+
+@query(f"""WITH c AS (SELECT doc_id, CASE WHEN length(text) <= 80 THEN text ELSE regexp_replace(substring(text, 1, 80), '\\s+\\S*\\z', '') END AS t FROM documents WHERE len(list_filter(regexp_split_to_array(text, '\\s+'), lambda w: w <> '')) >= 3)
+SELECT doc_id, unnest([{QUESTION_SQL}]) AS question FROM c""")
 def prospective_questions(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Questions that short documents may answer."""
-    d = table(spark, sf_dir, "documents").where(F.length("text") <= 80)
-    return d.select("doc_id", F.explode(text.questions(C("text"))).alias("question"))
+    """Questions that documents may answer."""
+    return table(spark, sf_dir, "documents").select("doc_id", F.explode(text.questions(C("text"))).alias("question"))

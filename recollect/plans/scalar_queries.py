@@ -161,10 +161,9 @@ def lexical_terms(spark: SparkSession, sf_dir: str) -> DataFrame:
     return t.where("terms > 0")
 
 
-@query("SELECT event_id, format('{:.1f}', round(CAST(least(greatest(value/100, 0), 1) AS DOUBLE), 1)) AS bucket FROM events WHERE value IS NOT NULL AND abs(least(greatest(value/100, 0), 1)*10 - floor(least(greatest(value/100, 0), 1)*10) - 0.5) > 1e-9")
+@query("""WITH m AS (SELECT event_id, (CAST(round(least(greatest(value/100, 0.0), 1.0)*1000000) AS BIGINT) + 50000)//100000 AS t FROM events WHERE value IS NOT NULL)
+SELECT event_id, CAST(t // 10 AS VARCHAR) || '.' || CAST(t % 10 AS VARCHAR) AS bucket FROM m""")
 def importance_bucket(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Importance to one decimal, as text; values halfway between two decimals are left to either engine."""
-    e = table(spark, sf_dir, "events")
-    x = F.least(F.greatest(C("value") / 100, F.lit(0.0)), F.lit(1.0))
-    half = F.abs(x * 10 - F.floor(x * 10) - 0.5)
-    return e.where(C("value").isNotNull() & (half > 1e-9)).select("event_id", text.importance_bucket(F.round(x, 1)).alias("bucket"))
+    """Importance to one decimal, as text; halves go up."""
+    e = table(spark, sf_dir, "events").where(C("value").isNotNull())
+    return e.select("event_id", text.importance_bucket(F.least(F.greatest(C("value") / 100, F.lit(0.0)), F.lit(1.0))).alias("bucket"))

@@ -6,7 +6,8 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from recollect.functions import scoring, text
-from recollect.operators import context, search
+from recollect.operators import admission, context, search
+from recollect.sources.settled import settled
 from recollect.sources.views import table, vectors
 
 from .register import registry
@@ -56,13 +57,13 @@ def vector_search_dot(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(f"""
-WITH s AS (SELECT q.vec_id AS query_id, e.vec_id AS id, {SIM} AS sim FROM embeddings q JOIN embeddings e ON q.vec_id % 100 = 0 AND q.vec_id < 2000 AND e.vec_id <> q.vec_id),
+WITH s AS (SELECT q.vec_id AS query_id, e.vec_id AS id, {SIM} AS sim FROM embeddings q JOIN embeddings e ON q.vec_id % 20 = 0 AND e.vec_id <> q.vec_id),
 r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY sim DESC, id) AS rank FROM s)
 SELECT query_id, id, rank, round(sim, 6) AS score FROM r WHERE rank <= 5""")
 def vector_search_many(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The five nearest of each of at most twenty query vectors."""
+    """The five nearest of every twentieth vector among all others."""
     v = vectors(spark, sf_dir)
-    queries = v.where((F.col("id") % 100 == 0) & (F.col("id") < 2000)).select(F.col("id").alias("query_id"), F.col("embedding").alias("query"))
+    queries = v.where(F.col("id") % 20 == 0).select(F.col("id").alias("query_id"), F.col("embedding").alias("query"))
     return search.vector_search_many(v, queries, 5).select("query_id", "id", "rank", F.round("score", 6).alias("score"))
 
 
@@ -141,18 +142,16 @@ def temporal_dual_pass(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query("""
-WITH g AS (SELECT label, vec_id, embedding, row_number() OVER (PARTITION BY label ORDER BY vec_id) AS r FROM embeddings),
-d AS (SELECT label, vec_id, CAST(embedding AS DOUBLE[]) AS e FROM g WHERE r <= 4),
+WITH d AS (SELECT label, vec_id, CAST(embedding AS DOUBLE[]) AS e FROM embeddings),
 q AS (SELECT vec_id, CAST(embedding AS DOUBLE[]) AS e FROM embeddings WHERE vec_id IN (1, 2, 3)),
 s AS (SELECT d.label, q.vec_id, max(list_cosine_similarity(q.e, d.e)) AS m FROM d, q GROUP BY 1, 2)
 SELECT label, round(sum(m), 6) AS score FROM s GROUP BY label""")
 def multivector_max_sim(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Late interaction of three query vectors with the first four vectors of each label."""
-    e = table(spark, sf_dir, "embeddings").select("label", "vec_id", "embedding")
-    w = Window.partitionBy("label").orderBy("vec_id")
-    docs = e.withColumn("r", F.row_number().over(w)).where("r <= 4").groupBy("label").agg(F.collect_list("embedding").alias("vs"))
-    q = F.array(*[F.array(*[F.lit(float(x)) for x in _vector(spark, sf_dir, i)]) for i in (1, 2, 3)])
-    return docs.select("label", F.round(search.max_sim(q, F.col("vs")), 6).alias("score"))
+    """Late interaction of three query vectors with all vectors of each label: the best cosine of each,
+    taken before the shuffle, then summed; no label's vectors meet in one row."""
+    e = table(spark, sf_dir, "embeddings").select("label", "embedding")
+    best = e.groupBy("label").agg(*[F.max(scoring.cosine(F.array(*[F.lit(float(x)) for x in _vector(spark, sf_dir, i)]), F.col("embedding"))).alias(f"m{i}") for i in (1, 2, 3)])
+    return best.select("label", F.round(F.col("m1") + F.col("m2") + F.col("m3"), 6).alias("score"))
 
 
 @query(f"""
@@ -180,15 +179,15 @@ def community_search(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query("""
-WITH q AS (SELECT vec_id, label, CAST(embedding AS DOUBLE[]) AS e FROM embeddings WHERE vec_id % 50 = 0 AND vec_id < 1000),
-s AS (SELECT q.vec_id AS id, max(list_cosine_similarity(q.e, CAST(x.embedding AS DOUBLE[]))) AS m FROM q JOIN embeddings x ON x.vec_id % 50 <> 0 GROUP BY q.vec_id),
+WITH q AS (SELECT vec_id, label, CAST(embedding AS DOUBLE[]) AS e FROM embeddings WHERE vec_id % 20 = 0),
+s AS (SELECT q.vec_id AS id, max(list_cosine_similarity(q.e, CAST(x.embedding AS DOUBLE[]))) AS m FROM q JOIN embeddings x ON x.vec_id <> q.vec_id GROUP BY q.vec_id),
 st AS (SELECT avg(1-m) AS mean, stddev_samp(1-m) AS dev FROM s)
 SELECT id, round(m, 6) AS max_similarity, round(greatest(0.0, least(2.0, (1-greatest(0.0, least(1.0, m)))*(1+(1-m-mean)/dev))), 6) AS rpe FROM s, st""")
 def prediction_error(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """How far at most twenty new vectors are from all stored ones, against their mean."""
+    """How far every twentieth vector is from all others, against their mean."""
     v = vectors(spark, sf_dir)
-    new = v.where((F.col("id") % 50 == 0) & (F.col("id") < 1000)).select(F.col("id").alias("query_id"), F.col("embedding").alias("query"))
-    best = v.where(F.col("id") % 50 != 0).join(F.broadcast(new)).groupBy(F.col("query_id").alias("id")).agg(F.max(scoring.cosine(F.col("query"), F.col("embedding"))).alias("m"))
+    new = v.where(F.col("id") % 20 == 0).select("id", "embedding")
+    best = settled(admission.nearest(new, v).where("distance IS NOT NULL").select("id", (1 - F.col("distance")).alias("m")))
     stats = best.agg(F.avg(1 - F.col("m")).alias("mean"), F.stddev_samp(1 - F.col("m")).alias("dev"))
     z = (1 - F.col("m") - F.col("mean")) / F.col("dev")
     return best.join(F.broadcast(stats)).select("id", F.round("m", 6).alias("max_similarity"), F.round(scoring.prediction_error(scoring.clamp(F.col("m")), z), 6).alias("rpe"))

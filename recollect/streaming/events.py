@@ -22,15 +22,16 @@ def windowed(events: DataFrame, width: str = "1 hour", late: str = "2 hours") ->
 
 def drained(stream: DataFrame, folder: str, mode: str = "append", each: Callable[[DataFrame], DataFrame] | None = None) -> DataFrame:
     """Run a stream over all that is there now and read what it wrote. Each micro-batch goes to a
-    folder named by its id, so a batch that is run again replaces itself."""
+    folder named by its id, so a batch that is run again replaces itself; in complete mode, where a batch
+    holds the whole result so far, each replaces the one before it."""
     spark = stream.sparkSession
     at = f"{folder}/stream-{uuid.uuid4().hex[:12]}"
 
     def put(batch: DataFrame, number: int) -> None:
-        (each(batch) if each else batch).write.mode("overwrite").parquet(f"{at}/out/batch={number}")
+        (each(batch) if each else batch).write.mode("overwrite").parquet(f"{at}/out/{'last' if mode == 'complete' else f'part{number}'}")
 
     stream.writeStream.outputMode(mode).option("checkpointLocation", f"{at}/state").trigger(availableNow=True).foreachBatch(put).start().awaitTermination()
-    return spark.read.parquet(f"{at}/out").select(*stream.columns)
+    return spark.read.option("recursiveFileLookup", "true").parquet(f"{at}/out").select(*stream.columns)
 
 
 def replay(log: DataFrame, since: int) -> DataFrame:
