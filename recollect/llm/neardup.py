@@ -34,7 +34,9 @@ from .components import components
 
 K = 192
 FIRST = 64
-CELL = 1024
+CELL = 512
+#: Ids up to this many are sent to all tasks to pick rows; beyond, rows and ids are joined by a shuffle.
+SENT = 1_000_000
 
 
 def shingle_sets(column: pa.Array, words: int, chunk: int = 4_000_000) -> Iterator[tuple[int, list[np.ndarray]]]:
@@ -103,7 +105,8 @@ def least_shared(k: int) -> int:
 def candidate_lists(reps: DataFrame, k: int) -> DataFrame:
     """v, rep, n, central: the retained values under which a class representative is listed, by its
     ``k`` lowest values. Values that no other class retains take up the first places of the order, so
-    a class with many of its own isn't listed at all."""
+    a class with many of its own isn't listed at all. Each is listed by its size too, so that only sets
+    of sizes that allow a link meet."""
     low = F.slice("sketch", 1, k)
     each = reps.select("rep", F.explode(low).alias("v"))
     shared = each.groupBy("v").agg(F.count("*").alias("df")).where(F.col("df") > 1)
@@ -113,8 +116,10 @@ def candidate_lists(reps: DataFrame, k: int) -> DataFrame:
     need = F.when(whole, F.ceil(F.col("n") * F.lit(4) / F.lit(5))).otherwise(F.lit(least_shared(k)))
     has = F.least(F.col("n"), F.lit(k))
     keys = (F.size("vs") - need + 1).cast("int")  # what is left of the first has - need + 1 places behind its own values
+    # Sets whose sizes lie at most a quarter apart are in one step of size, or in two that follow each other.
+    step = F.floor(F.log(F.col("n")) / F.log(F.lit(1.26)))
     central = F.struct(F.size("vs").alias("shared"), F.aggregate("vs", F.lit(0).cast("long"), lambda a, x: a + x["df"]).alias("mass"))
-    return held.where((has > 0) & (keys > 0)).select("rep", "n", central.alias("central"), F.explode(F.slice("vs", F.lit(1), keys)).alias("x")).select(F.col("x.v").alias("v"), "rep", "n", "central")
+    return held.where((has > 0) & (keys > 0)).select("rep", "n", central.alias("central"), F.explode(F.slice("vs", F.lit(1), keys)).alias("x")).select(F.explode(F.array(*[F.xxhash64("x.v", step + d) for d in (0, 1)])).alias("v"), "rep", "n", "central")
 
 
 def _sizes(a: str, b: str) -> Column:
@@ -136,8 +141,14 @@ def _may_link(a: str, b: str, na: str, nb: str) -> Column:
     return F.when(_known(na, nb), 9 * F.size(F.array_intersect(a, b)) >= 4 * (F.col(na) + F.col(nb))).otherwise(both >= F.floor(0.8 * F.size(union) - stray))
 
 
-def links(rows: DataFrame, reps: DataFrame, words: int) -> DataFrame:
+def picked(rows: DataFrame, ids: DataFrame, key: str, how: str = "left_semi") -> DataFrame:
+    """``rows`` joined with the written table ``ids`` on ``key``; few ids travel, not the rows."""
+    return rows.join(F.broadcast(ids) if ids.count() <= SENT else ids, key, how)
+
+
+def links(rows: DataFrame, reps: DataFrame, words: int, used: tuple[DataFrame, ...] = ()) -> DataFrame:
     """rep, component of the classes among ``reps`` (rep, doc_id, th, n, sketch) that have a near copy.
+    ``used`` are tables behind ``reps``, deleted once they are read.
 
     Every list offers a star: its most central member (that with most shared values) and each other
     member. Lists with one hub then make up a block, and members of a block that are still in
@@ -146,13 +157,16 @@ def links(rows: DataFrame, reps: DataFrame, words: int) -> DataFrame:
     """
     scratch = tables.Scratch()
     lists = scratch.written(candidate_lists(reps, FIRST), "dup-lists")
-    listed = scratch.written(reps.join(lists.select("rep").distinct(), "rep"), "dup-listed")
+    listed = scratch.written(picked(reps, scratch.written(lists.select("rep").distinct(), "dup-ids"), "rep"), "dup-listed")
+    tables.discard(*used)
     hubs = lists.groupBy("v").agg(F.max(F.struct("central", (-F.col("rep")).alias("tie"), "rep", "n")).alias("h")).select("v", F.col("h.rep").alias("hub"), F.col("h.n").alias("hub_n"))
     starred = scratch.written(lists.select("v", "rep", "n").join(hubs, "v"), "dup-stars")
     spokes = starred.where((F.col("rep") != F.col("hub")) & _sizes("n", "hub_n")).select(F.least("rep", "hub").alias("a"), F.greatest("rep", "hub").alias("b"), "hub")
     pairs = spokes.groupBy("a", "b").agg(F.max("hub").alias("hub")).select("hub", F.when(F.col("hub") == F.col("a"), F.col("b")).otherwise(F.col("a")).alias("member"))
-    near = pairs.join(listed.select(F.col("rep").alias("member"), F.col("n").alias("na"), F.col("sketch").alias("sa")), "member")
-    near = near.join(listed.select(F.col("rep").alias("hub"), F.col("n").alias("nb"), F.col("sketch").alias("sb")), "hub").where(_may_link("sa", "sb", "na", "nb"))
+    pairs = scratch.written(pairs, "dup-pairs")
+    near = picked(listed.select(F.col("rep").alias("member"), F.col("n").alias("na"), F.col("sketch").alias("sa")), pairs, "member", "inner")
+    centres = picked(listed, scratch.written(pairs.select(F.col("hub").alias("rep")).distinct(), "dup-ids"), "rep")
+    near = near.join(centres.select(F.col("rep").alias("hub"), F.col("n").alias("nb"), F.col("sketch").alias("sb")), "hub").where(_may_link("sa", "sb", "na", "nb"))
     found = scratch.written(confirmed(rows, listed, near.select("hub", "member", _known("na", "nb").alias("known")), words), "dup-links")
     where = components(found.select(F.col("hub").alias("a"), F.col("member").alias("b")))
     more = scratch.written(confirmed(rows, listed, _across(starred, where, listed, scratch), words), "dup-links")
@@ -173,7 +187,8 @@ def _across(starred: DataFrame, where: DataFrame, listed: DataFrame, scratch: ta
     rows = scratch.written(own.join(still.select("v"), "v").select(F.col("hub").alias("block"), "rep", "component").distinct(), "dup-blocks")
     cells = rows.groupBy("block").agg(F.ceil(F.count("*") / CELL).cast("int").alias("cells"))
     blocks = rows.groupBy("rep").agg(F.collect_list("block").alias("blocks"))
-    members = rows.join(cells, "block").join(blocks, "rep").join(listed.select("rep", "n", "sketch"), "rep").withColumn("own", F.pmod(F.xxhash64("rep"), F.col("cells")).cast("int"))
+    places = scratch.written(rows.join(cells, "block").join(blocks, "rep"), "dup-places")
+    members = picked(listed.select("rep", "n", "sketch"), places, "rep", "inner").withColumn("own", F.pmod(F.xxhash64("rep"), F.col("cells")).cast("int"))
 
     def dealt(side: str) -> DataFrame:
         other = F.explode(F.sequence(F.lit(0), F.col("cells") - 1))
@@ -188,17 +203,16 @@ def _across(starred: DataFrame, where: DataFrame, listed: DataFrame, scratch: ta
     return met.select(F.col("x.rep").alias("hub"), F.col("y.rep").alias("member"), _known("x.n", "y.n").alias("known"))
 
 
-def confirmed(rows: DataFrame, listed: DataFrame, pairs: DataFrame, words: int, most_broadcast: int = 1_000_000) -> DataFrame:
+def confirmed(rows: DataFrame, listed: DataFrame, pairs: DataFrame, words: int) -> DataFrame:
     """The ``pairs`` (hub, member, known) that are links: known ones are, others when their full sets
-    have a Jaccard similarity of 0.8 or more. Texts for that are picked by a broadcast of their keys
-    where these are ``most_broadcast`` at most, else by a join. A member's set is put to its pair,
+    have a Jaccard similarity of 0.8 or more. A member's set is put to its pair,
     a hub's set only joined in at the end, so that it isn't moved once per pair."""
     scratch = tables.Scratch()
     pairs = scratch.written(pairs, "dup-checked")
     open_pairs = pairs.where(~F.col("known")).select("hub", "member")
     ids = open_pairs.select(F.col("hub").alias("rep")).unionByName(open_pairs.select(F.col("member").alias("rep"))).distinct()
-    ids = scratch.written(listed.join(ids, "rep").select(F.col("rep").alias("uid"), F.col("doc_id").alias("id"), F.col("th").alias("h")), "dup-ids")
-    wanted = F.broadcast(ids) if ids.count() <= most_broadcast else ids
+    ids = scratch.written(picked(listed, scratch.written(ids, "dup-ids"), "rep").select(F.col("rep").alias("uid"), F.col("doc_id").alias("id"), F.col("th").alias("h")), "dup-ids")
+    wanted = F.broadcast(ids) if ids.count() <= SENT else ids
     sets = scratch.written(full_sets(rows.join(wanted, (F.col("doc_id") == F.col("id")) & (F.col("th") == F.col("h"))), words), "dup-sets")
     both = open_pairs.join(sets.select(F.col("uid").alias("member"), F.col("shingles").alias("sa")), "member").join(sets.select(F.col("uid").alias("hub"), F.col("shingles").alias("sb")), "hub")
     linked = both.where(9 * F.size(F.array_intersect("sa", "sb")) >= 4 * (F.size("sa") + F.size("sb"))).select("hub", "member")
@@ -215,9 +229,10 @@ def placed(docs: DataFrame, words: int) -> DataFrame:
     slim = tables.written(held.drop("sketch"), "dup-rows")
     some = slim.where((F.col("n") > 0) & F.col("doc_id").isNotNull())
     classes = tables.written(some.groupBy("s1", "s2", "n").agg(F.min(F.struct("doc_id", "uid")).alias("least")).select("s1", "s2", "n", F.col("least.doc_id").alias("lo"), F.col("least.uid").alias("rep")), "dup-classes")
-    reps = held.join(classes.select("rep"), F.col("uid") == F.col("rep"), "left_semi").select(F.col("uid").alias("rep"), "doc_id", "th", "n", "sketch")
-    where = links(rows, reps, words)
-    tables.discard(held)
+    copies = tables.written(some.join(classes.select("rep"), F.col("uid") == F.col("rep"), "left_anti").select("uid"), "dup-copies")
+    whole = held.where((F.col("n") > 0) & F.col("doc_id").isNotNull())
+    reps = picked(whole, copies, "uid", "left_anti").select(F.col("uid").alias("rep"), "doc_id", "th", "n", "sketch")
+    where = links(rows, reps, words, (held, copies))
     linked = classes.join(where, "rep", "left").withColumn("component", F.coalesce("component", "rep"))
     heads = linked.groupBy("component").agg(F.min(F.struct("lo", "rep")).alias("head"))
     of_class = linked.join(heads, "component").select("s1", "s2", "n", F.col("head.lo").alias("least_id"), F.col("head.rep").alias("head"))
