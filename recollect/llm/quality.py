@@ -68,6 +68,13 @@ def term_counts(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
     return out
 
 
+def counted(column: pa.Array, most_bytes: int = 2_000_000, most_rows: int = 512) -> Iterator[tuple[int, np.ndarray]]:
+    """(first row, term counts) of runs of texts that hold about ``most_bytes`` and ``most_rows``."""
+    for first in range(0, len(column), most_rows):
+        for row, data, offsets in arrays.chunks(column.slice(first, most_rows), most_bytes):
+            yield first + row, np.minimum(term_counts(data, offsets), 60000)
+
+
 def weighted(counts: np.ndarray, idf: np.ndarray) -> np.ndarray:
     x = np.log1p(counts[:, :TERMS]) * idf
     norm = np.linalg.norm(x, axis=1, keepdims=True)
@@ -79,21 +86,42 @@ def unit(x: np.ndarray) -> np.ndarray:
     return x / np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-9)
 
 
+def nearest(cos: np.ndarray, k: int) -> np.ndarray:
+    """Columns of the k largest of each row; of equal ones at the end, those with the lowest place."""
+    if k >= cos.shape[1]:
+        return np.tile(np.arange(cos.shape[1]), (len(cos), 1))
+    out = np.argpartition(-cos, k - 1, axis=1)[:, :k]
+    last = np.take_along_axis(cos, out, 1).min(1)
+    tied = np.flatnonzero((cos >= last[:, None]).sum(1) > k)
+    for i in tied.tolist():
+        out[i] = np.argsort(-cos[i], kind="stable")[:k]
+    return out
+
+
 class Voters:
-    """Latent axes, and labelled vectors with their labels."""
+    """Latent axes, and labelled vectors with their labels. ``rows`` hold the labelled texts' counts as
+    (places, values); they are made dense a block at a time."""
 
-    def __init__(self, counts: np.ndarray, labels: np.ndarray, axes: int, k: int, seed: int = 11) -> None:
+    def __init__(self, rows: list[tuple[np.ndarray, np.ndarray]], labels: np.ndarray, axes: int, k: int, seed: int = 11, block: int = 256) -> None:
         self.labels, self.k = labels.astype(np.float32), k
-        seen = (counts[:, :TERMS] > 0).sum(0)
-        self.idf = np.log((1 + len(counts)) / (1 + seen)).astype(np.float32) + np.float32(0.1)
-        x = weighted(counts, self.idf)
-        rng = np.random.default_rng(seed)
-        probe = rng.standard_normal((x.shape[1], min(axes + 8, max(len(x), 1)))).astype(np.float32)
+        seen = np.zeros(TERMS)
+        for at, _ in rows:
+            seen[at[at < TERMS]] += 1
+        self.idf = np.log((1 + len(rows)) / (1 + seen)).astype(np.float32) + np.float32(0.1)
+
+        def blocks() -> Iterator[np.ndarray]:
+            for a in range(0, len(rows), block):
+                counts = np.zeros((min(block, len(rows) - a), TERMS + STYLE), np.float32)
+                for i, (at, value) in enumerate(rows[a : a + block]):
+                    counts[i, at] = value
+                yield weighted(counts, self.idf)
+
+        probe = np.random.default_rng(seed).standard_normal((TERMS + STYLE, min(axes + 8, max(len(rows), 1)))).astype(np.float32)
         for _ in range(4):
-            probe, _ = np.linalg.qr(x.T @ (x @ probe))
-        _, _, right = np.linalg.svd(x @ probe, full_matrices=False)
+            probe, _ = np.linalg.qr(sum(x.T @ (x @ probe) for x in blocks()))
+        _, _, right = np.linalg.svd(np.concatenate([x @ probe for x in blocks()]), full_matrices=False)
         self.axes = (probe @ right.T)[:, :axes].astype(np.float32)
-        self.vectors = unit(x @ self.axes)
+        self.vectors = unit(np.concatenate([x @ self.axes for x in blocks()]))
 
     def score(self, counts: np.ndarray, block: int = 256) -> np.ndarray:
         z = unit(weighted(counts, self.idf) @ self.axes)
@@ -101,7 +129,7 @@ class Voters:
         k, prior = min(self.k, len(self.labels)), float(self.labels.mean())
         for a in range(0, len(z), block):
             cos = z[a : a + block] @ self.vectors.T
-            near = np.argpartition(-cos, k - 1, axis=1)[:, :k] if k < cos.shape[1] else np.tile(np.arange(k), (len(cos), 1))
+            near = nearest(cos, k)
             weight = np.maximum(np.take_along_axis(cos, near, 1), 0).astype(float) ** 8
             total = weight.sum(1)
             out[a : a + block] = np.where(total > 1e-9, (weight * self.labels[near]).sum(1) / np.maximum(total, 1e-9), prior)
@@ -115,17 +143,19 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = 4000, axes: int = 48,
 
     def terms(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for row, data, offsets in arrays.chunks(batch.column(1), 2_000_000):
-                counts = term_counts(data, offsets).astype(np.float16)
+            for row, counts in counted(batch.column(1)):
+                at = [np.flatnonzero(x) for x in counts]
+                value = [np.minimum(x[i], 60000).astype("<f2").tobytes() for x, i in zip(counts, at, strict=True)]
                 n = len(counts)
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(row, n), batch.column(2).slice(row, n), pa.array([x.tobytes() for x in counts], pa.binary())], ["doc_id", "quality", "terms"])
+                yield pa.RecordBatch.from_arrays([*(batch.column(c).slice(row, n) for c in (0, 2, 3)), pa.array([i.astype("<u2").tobytes() for i in at], pa.binary()), pa.array(value, pa.binary())], ["doc_id", "quality", "tie", "at", "value"])
 
-    texts = docs.join(F.broadcast(learn), "doc_id").select("doc_id", "text", "quality")
-    rows = sorted((r["doc_id"], r["terms"], r["quality"]) for r in texts.mapInArrow(terms, "doc_id long, quality int, terms binary").collect())[: 2 * sample]
+    texts = docs.join(F.broadcast(learn), "doc_id").select("doc_id", "text", "quality", F.xxhash64("text").alias("tie"))
+    found = texts.mapInArrow(terms, "doc_id long, quality int, tie long, at binary, value binary")
+    rows = found.orderBy(F.xxhash64("doc_id"), "doc_id", "tie", "quality").limit(sample).collect()
     if not rows:
         return None
-    counts = np.stack([np.frombuffer(r[1], np.float16) for r in rows]).astype(np.float32)
-    return Voters(np.minimum(counts, 60000), np.array([r[2] for r in rows]), axes, k)
+    counts = [(np.frombuffer(r["at"], "<u2").astype(np.int64), np.frombuffer(r["value"], "<f2").astype(np.float32)) for r in rows]
+    return Voters(counts, np.array([r["quality"] for r in rows]), axes, k)
 
 
 def score_documents(docs: DataFrame, labels: DataFrame, **options: int) -> DataFrame:
@@ -137,9 +167,9 @@ def score_documents(docs: DataFrame, labels: DataFrame, **options: int) -> DataF
     def vote(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         voters = shared.value
         for batch in batches:
-            for row, data, offsets in arrays.chunks(batch.column(1), 2_000_000):
-                n = len(offsets) - 1
-                score = np.full(n, 0.5) if voters is None else voters.score(np.minimum(term_counts(data, offsets), 60000))
+            for row, counts in counted(batch.column(1)):
+                n = len(counts)
+                score = np.full(n, 0.5) if voters is None else voters.score(counts)
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(row, n), batch.column(2).slice(row, n), pa.array(score), pa.array((score >= 0.5).astype(np.int32))], ["doc_id", "held_out", "score", "predicted"])
 
     return rows.select("doc_id", "text", "held_out").mapInArrow(vote, "doc_id long, held_out boolean, score double, predicted int")
@@ -158,8 +188,8 @@ def keep_good(docs: DataFrame, labels: DataFrame, threshold: float = 0.5, **opti
             if voters is None:
                 yield batch
                 continue
-            for row, data, offsets in arrays.chunks(batch.column(place), 2_000_000):
-                score = voters.score(np.minimum(term_counts(data, offsets), 60000))
+            for row, counts in counted(batch.column(place)):
+                score = voters.score(counts)
                 part = pa.Table.from_batches([batch.slice(row, len(score))]).filter(pa.array(score >= threshold))
                 yield from part.to_batches()
 

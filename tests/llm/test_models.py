@@ -64,7 +64,7 @@ def test_quality_on_held_out_labels(spark, duck):
 def test_votes_against_plain_cosines():
     rng = np.random.default_rng(0)
     counts = rng.poisson(1.0, (40, quality.TERMS + quality.STYLE)).astype(np.float32)
-    voters = quality.Voters(counts[:30], rng.integers(0, 2, 30), 8, 5)
+    voters = quality.Voters([(np.flatnonzero(x), x[np.flatnonzero(x)]) for x in counts[:30]], rng.integers(0, 2, 30), 8, 5)
     z = quality.unit(quality.weighted(counts, voters.idf) @ voters.axes)
     for i, got in enumerate(voters.score(counts, block=7)):
         cos = z[i] @ voters.vectors.T
