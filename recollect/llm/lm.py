@@ -5,8 +5,9 @@ and the shares of rarer words. The model's symbols are the most frequent words,
 and 32 groups of rarer words by their last two bytes; the output softmax is factored into classes of
 symbols and symbols within a class. A rarer word has its group's probability times its smoothed share
 of that group, so probabilities sum to one over all words. Every task trains on its own training
-texts from a common start, by truncated backpropagation over windows with the state carried along;
-the weights are averaged over the tasks by tokens. Scoring carries the state through whole texts.
+texts from a common start, by truncated backpropagation over windows with the state carried through
+the whole text; the weights are averaged over the tasks by tokens, so they depend a little on how rows
+lie in tasks, as any parallel training does. Scoring carries the state through whole texts.
 
 Rare words' counts are joined by word hash, not broadcast: what is broadcast is the ``head`` most
 frequent words and the model, both of fixed size.
@@ -230,9 +231,10 @@ class Adam:
         self.m = {k: np.zeros_like(v) for k, v in model.p.items()}
         self.v = {k: np.zeros_like(v) for k, v in model.p.items()}
 
-    def step(self, grad: dict[str, np.ndarray], scale: float) -> None:
+    def step(self, grad: dict[str, np.ndarray], scale: float, share: float = 1.0) -> None:
+        """``share`` is how large a step to take, of a full one."""
         self.t += 1
-        fix = self.rate * np.sqrt(1 - 0.99**self.t) / (1 - 0.9**self.t)
+        fix = share * self.rate * np.sqrt(1 - 0.99**self.t) / (1 - 0.9**self.t)
         for k, g in grad.items():
             g = g * np.float32(scale)
             self.m[k] += np.float32(0.1) * (g - self.m[k])
@@ -240,45 +242,58 @@ class Adam:
             self.model.p[k] -= np.float32(fix) * self.m[k] / (np.sqrt(self.v[k]) + np.float32(1e-6))
 
 
-def padded(flat: np.ndarray, sizes: np.ndarray, end: int) -> tuple[np.ndarray, np.ndarray]:
-    """Rows of symbols as (inputs, targets) [step, row], rows ordered by falling length: each row
-    begins with the end symbol as input and has it as its last target."""
-    steps, rows = int(sizes.max()) + 1, len(sizes)
-    targets = np.full((steps, rows), end, dtype=np.int32)
-    row = np.repeat(np.arange(rows), sizes)
-    targets[arrays.spread(np.zeros(rows, np.int64), sizes), row] = flat
-    return np.concatenate((np.full((1, rows), end, dtype=np.int32), targets[:-1])), targets
+def padded(flat: np.ndarray, sizes: np.ndarray, before: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Rows of symbols, ordered by falling length, as (inputs, targets) [step, row]: each row's first
+    input is the symbol ``before`` it."""
+    steps, rows = int(sizes.max()), len(sizes)
+    targets = np.zeros((steps, rows), dtype=np.int32)
+    targets[arrays.spread(np.zeros(rows, np.int64), sizes), np.repeat(np.arange(rows), sizes)] = flat
+    return np.concatenate((before[None, :].astype(np.int32), targets[:-1])), targets
 
 
-def train(model: Model, chunks: Iterator[tuple[np.ndarray, np.ndarray]], end: int, rate: float, cut: int = 512, rows_at_once: int = 640) -> int:
-    """One pass over chunks of (flat symbols, sizes); texts over ``cut`` symbols go on in further rows."""
+def train(model: Model, chunks: Iterator[tuple[np.ndarray, np.ndarray]], end: int, rate: float, cut: int = 2048, rows_at_once: int = 640) -> int:
+    """One pass over chunks of (flat symbols, sizes) by truncated backpropagation over windows. Texts
+    are read ``cut`` symbols at a time; those that go on wait until there are enough of them, and go
+    on with the state and the symbol they stopped at. The end is a target where the text ends."""
     adam, seen = Adam(model, rate), 0
+    waiting: list[tuple[np.ndarray, int, np.ndarray]] = []  # symbols with the end, place, state there
+
+    def learn(texts: list[tuple[np.ndarray, int, np.ndarray]]) -> None:
+        nonlocal seen
+        texts = sorted(texts, key=lambda x: -min(len(x[0]) - x[1], cut))
+        n = np.array([min(len(x) - a, cut) for x, a, _ in texts])
+        before = np.array([x[a - 1] if a else end for x, a, _ in texts], np.int32)
+        inputs, targets = padded(np.concatenate([x[a : a + cut] for x, a, _ in texts]), n, before)
+        h = np.stack([state for _, _, state in texts])
+        live = len(n) - np.searchsorted(n[::-1], np.arange(inputs.shape[0]), "right")
+        for t in range(0, inputs.shape[0], WINDOW):
+            size = live[t : t + WINDOW].tolist()
+            x, y = inputs[t : t + len(size), : size[0]], targets[t : t + len(size), : size[0]]
+            h, out, saved = model.run(h[: size[0]], x, size, True)
+            on = np.arange(size[0])[None, :] < np.array(size)[:, None]
+            grad: dict[str, np.ndarray] = {}
+            _, d = model.losses(out[on], y[on], grad)
+            dout = np.zeros_like(out)
+            dout[on] = d
+            model.backward(x, size, saved, dout, grad)
+            count = int(on.sum())
+            adam.step(grad, 1 / count, min(1.0, count / 4096))  # a few rows don't move the net far
+            seen += count
+        # Those that go on filled all steps, so they stand first.
+        waiting.extend((x, a + cut, h[i].copy()) for i, (x, a, _) in enumerate(texts) if len(x) > a + cut)
+
+    empty = np.zeros(model.hidden, np.float32)
     for flat, sizes in chunks:
-        if not len(sizes):
-            continue
-        pieces = np.maximum(1, -(-sizes // cut))
-        at = np.repeat(np.cumsum(sizes) - sizes, pieces) + arrays.spread(np.zeros(len(sizes), np.int64), pieces) * cut
-        part = np.minimum(cut, np.repeat(np.cumsum(sizes), pieces) - at)
-        order = np.argsort(-part, kind="stable")
+        ends = np.cumsum(sizes)
+        order = np.argsort(-sizes, kind="stable").tolist()
         for k in range(0, len(order), rows_at_once):
-            rows = order[k : k + rows_at_once]
-            n = part[rows]
-            inputs, targets = padded(flat[arrays.spread(at[rows], n)], n, end)
-            h = np.zeros((len(rows), model.hidden), np.float32)
-            live = len(rows) - np.searchsorted(n[::-1], np.arange(inputs.shape[0]), "left")
-            for t in range(0, inputs.shape[0], WINDOW):
-                size = live[t : t + WINDOW].tolist()
-                x, y = inputs[t : t + len(size), : size[0]], targets[t : t + len(size), : size[0]]
-                h, out, saved = model.run(h[: size[0]], x, size, True)
-                on = np.arange(size[0])[None, :] < np.array(size)[:, None]
-                grad: dict[str, np.ndarray] = {}
-                _, d = model.losses(out[on], y[on], grad)
-                dout = np.zeros_like(out)
-                dout[on] = d
-                model.backward(x, size, saved, dout, grad)
-                count = int(on.sum())
-                adam.step(grad, 1 / count)
-                seen += count
+            learn([(np.append(flat[ends[i] - sizes[i] : ends[i]], np.int32(end)), 0, empty) for i in order[k : k + rows_at_once]])
+        while len(waiting) >= rows_at_once:
+            some, waiting[:] = waiting[:rows_at_once], waiting[rows_at_once:]
+            learn(some)
+    while waiting:
+        some, waiting[:] = waiting[:rows_at_once], waiting[rows_at_once:]
+        learn(some)
     return seen
 
 

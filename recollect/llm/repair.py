@@ -1,7 +1,7 @@
 """Token ids in binary files: shards compressed by a Re-Pair grammar, read back at random positions.
 
 A shard holds the ids of whole documents, one after another. Re-Pair replaces frequent pairs of
-neighbouring symbols by nonterminals, round after round; the shard keeps the rules, what each expands
+neighbouring symbols by nonterminals until no pair pays for a rule; the shard keeps the rules, what each expands
 to in length, the remaining sequence, and the position of every 1024th symbol, so that any range of
 ids is decoded without the rest. Shards are cells of a Parquet table, which Spark commits atomically.
 
@@ -12,6 +12,7 @@ separate documents, ordered by a hash of their texts. An empty table gives no sh
 from __future__ import annotations
 
 import os
+import re
 import struct
 import zlib
 from collections.abc import Callable, Iterator
@@ -28,51 +29,86 @@ from . import arrays, tables
 MAGIC = b"RPG1"
 HEAD = struct.Struct("<4sIIIIIQ")
 STEP = 1024
+SIMPLE = re.compile("[a-zß-öø-ÿ]+").fullmatch
+#: The characters by which byte-level models show bytes that Latin-1 doesn't print.
+SHOWN = {b: 256 + i for i, b in enumerate([*range(0x21), *range(0x7F, 0xA1), 0xAD])}
+LETTER = np.zeros(256, dtype=bool)
+LETTER[[*range(65, 91), *range(97, 123)]] = True
 SHARDS = "part int, shard int, first_doc long, docs long, before long, n_ids long, payload binary"
 
 
-def compress(ids: np.ndarray, least: int = 24, rounds: int = 6, per_round: int = 4096) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """(sequence, left, right, expansion length). In each round the pairs that occur ``least`` times
-    or more become rules, the most frequent first; where occurrences overlap, every other one from
-    the left is replaced. Ends when no pair is frequent, when a round takes away less than a hundredth of the
-    sequence, or after ``rounds``."""
-    seq = ids.astype(np.uint32)
+def compress(ids: np.ndarray, least: int = 4) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(sequence, left, right, expansion length). A rule takes three words and each of its uses saves
+    one, so pairs that occur ``least`` times or more without overlap pay. In a round each occurrence
+    whose pair is more frequent than the pairs it overlaps with is replaced (every other one of a run
+    of equal symbols), as long as ``least`` of its pair are; rounds go on until no pair pays. Only
+    places whose pair may still become frequent are looked at again."""
+    seq = ids.astype(np.int64)
     base = int(seq.max(initial=0)) + 1
-    lefts, rights, lengths = np.zeros(0, np.uint32), np.zeros(0, np.uint32), np.zeros(0, np.uint32)
-    bins = 1 << 20
-    for _ in range(rounds):
-        if len(seq) < 2 * least:
+    size = np.ones(len(seq), np.int64)
+    lefts, rights, lengths = [], [], []
+    rules = 0
+    live = np.ones(len(seq), bool)  # places whose pair is to be counted
+    while True:
+        at = np.flatnonzero(live[:-1]) if len(seq) > 1 else np.zeros(0, np.int64)
+        if len(at) < least:
             break
-        key = (seq[:-1].astype(np.uint64) << np.uint64(32)) | seq[1:]
-        slot = ((key * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(44)).astype(np.int32)
-        full = np.bincount(slot, minlength=bins) >= least
-        hot = np.flatnonzero(full[slot])
-        pairs, back, count = np.unique(key[hot], return_inverse=True, return_counts=True)
-        often = np.flatnonzero(count >= least)
-        if not len(often):
+        # Of a run of equal pairs (a a a) every other one can be replaced.
+        same = np.zeros(len(at), bool)
+        same[1:] = (seq[at[1:]] == seq[at[1:] + 1]) & (seq[at[1:]] == seq[at[1:] - 1]) & (at[1:] == at[:-1] + 1)
+        spot = np.arange(len(at))
+        odd = (spot - np.maximum.accumulate(np.where(same, 0, spot))) % 2 == 1
+        take = np.flatnonzero(~odd)
+        key = seq[at[take]] << np.int64(26) | seq[at[take] + 1]
+        order, first = grouped(key)
+        count = np.diff(np.append(first, len(order)))
+        pays = count >= least
+        if not pays.any():
             break
-        often = often[np.argsort(-count[often], kind="stable")[:per_round]]
-        number = np.full(len(pairs), -1, dtype=np.int64)
-        number[often] = np.arange(len(often))
-        took = number[back]
-        at, took = hot[took >= 0], took[took >= 0]
-        run = np.arange(len(at)) - np.maximum.accumulate(np.where(np.diff(at, prepend=-2) == 1, 0, np.arange(len(at))))
-        at, took = at[run % 2 == 0], took[run % 2 == 0]
-        used = np.bincount(took, minlength=len(often))
-        rename = np.cumsum(used > 0) - 1
-        left, right = (pairs[often] >> np.uint64(32)).astype(np.uint32)[used > 0], pairs[often].astype(np.uint32)[used > 0]
-        size = lambda s: np.where(s < base, 1, lengths[np.minimum(np.maximum(s.astype(np.int64) - base, 0), max(len(lengths) - 1, 0))] if len(lengths) else 1)
-        first = base + len(lefts)
-        more = (size(left) + size(right)).astype(np.uint32)
-        lefts, rights, lengths = np.concatenate((lefts, left)), np.concatenate((rights, right)), np.concatenate((lengths, more))
-        seq = seq.copy()
-        seq[at] = (first + rename[took]).astype(np.uint32)
-        keep = np.ones(len(seq), dtype=bool)
-        keep[at + 1] = False
-        seq = seq[keep]
-        if len(at) * 100 < len(keep):
-            break
-    return seq, lefts, rights, lengths
+        rank_of = np.full(len(first), -1, np.int64)  # by frequency, then by key
+        paying = np.flatnonzero(pays)
+        rank_of[paying[np.argsort(count[paying], kind="stable")]] = np.arange(len(paying))
+        rank = np.full(len(seq), -1, np.int64)
+        rank[at[take[order]]] = np.repeat(rank_of, count)
+        spots = np.flatnonzero(rank >= 0)
+        live[:] = False
+        live[spots] = True
+        live[at[odd]] = rank[at[odd] - 1] >= 0
+        mine = rank[spots]
+        before, after = rank[spots - 1], rank[np.minimum(spots + 1, len(seq) - 1)]
+        before[spots == 0] = -1
+        chosen = spots[(mine > before) & (mine > after)]
+        used = np.bincount(rank[chosen], minlength=len(paying))
+        chosen = chosen[used[rank[chosen]] >= least]
+        number = np.cumsum(used >= least) - 1
+        new = number[rank[chosen]]
+        some = np.flatnonzero(np.diff(np.sort(new), prepend=-1))
+        one = np.zeros(len(some), np.int64)
+        one[new] = chosen  # any occurrence shows what the rule says
+        lefts.append(seq[one]), rights.append(seq[one + 1]), lengths.append(size[one] + size[one + 1])
+        seq[chosen] = base + rules + new
+        size[chosen] += size[chosen + 1]
+        rules += len(one)
+        keep = np.ones(len(seq), bool)
+        keep[chosen + 1] = False
+        live[chosen] = True
+        live[chosen[chosen > 0] - 1] = True
+        seq, size, live = seq[keep], size[keep], live[keep]
+    join = lambda parts: np.concatenate(parts).astype(np.uint32) if parts else np.zeros(0, np.uint32)
+    return seq.astype(np.uint32), join(lefts), join(rights), join(lengths)
+
+
+def grouped(key: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(order, first of each group) of equal keys below 2**52, in one sort of key and place together
+    where they fit a word."""
+    bits = max(1, int(len(key)).bit_length())
+    if len(key) and int(key.max()).bit_length() + bits <= 63:
+        packed = np.sort(key << np.int64(bits) | np.arange(len(key)))
+        order, sorted_key = packed & np.int64((1 << bits) - 1), packed >> np.int64(bits)
+    else:
+        order = np.argsort(key, kind="stable")
+        sorted_key = key[order]
+    return order, np.flatnonzero(np.diff(sorted_key, prepend=-1))
 
 
 def pack(ids: np.ndarray, doc_ids: np.ndarray, doc_sizes: np.ndarray, **options: int) -> bytes:
@@ -108,15 +144,24 @@ class Shard:
         self.seq, self.doc_ids, self.doc_ends, self.marks = part("<u4", seq), part("<i8", docs), part("<u8", docs), part("<u8", marks)
 
     def expand(self, seq: np.ndarray) -> np.ndarray:
-        while len(seq) and (inner := seq >= self.base).any():
-            rule = seq[inner] - self.base
-            at = np.arange(len(seq)) + np.cumsum(inner) - inner
-            out = np.empty(len(seq) + len(rule), dtype=np.uint32)
-            out[at] = seq
-            out[at[inner]] = self.left[rule]
-            out[at[inner] + 1] = self.right[rule]
-            seq = out
-        return seq
+        """All symbols at once from the place where each begins; a nonterminal leaves its two parts."""
+        size = self.sizes(seq)
+        at = np.cumsum(size) - size
+        out = np.empty(int(size.sum()), dtype=np.uint32)
+        while len(seq):
+            inner = seq >= self.base
+            out[at[~inner]] = seq[~inner]
+            rule, at = seq[inner].astype(np.int64) - self.base, at[inner]
+            left = self.left[rule]
+            seq, at = np.concatenate((left, self.right[rule])), np.concatenate((at, at + self.sizes(left)))
+        return out
+
+    def sizes(self, seq: np.ndarray) -> np.ndarray:
+        """How many ids each symbol expands to."""
+        out = np.ones(len(seq), np.int64)
+        inner = np.flatnonzero(seq >= self.base)
+        out[inner] = self.length[seq[inner].astype(np.int64) - self.base]
+        return out
 
     def ids(self) -> np.ndarray:
         return self.expand(self.seq)
@@ -129,7 +174,7 @@ class Shard:
         block = int(np.searchsorted(self.marks, start, "right")) - 1
         last = int(np.searchsorted(self.marks, start + n, "left"))
         seq = self.seq[block * STEP : last * STEP]
-        size = np.where(seq < self.base, 1, self.length[np.maximum(seq.astype(np.int64) - self.base, 0)] if len(self.length) else 1).astype(np.int64)
+        size = self.sizes(seq)
         ends = int(self.marks[block]) + np.cumsum(size)
         a, b = int(np.searchsorted(ends, start, "right")), int(np.searchsorted(ends, start + n, "left")) + 1
         skipped = start - int(ends[a] - size[a])
@@ -139,6 +184,29 @@ class Shard:
 _CACHE: dict[str, arrays.SegmentCache] = {}
 
 
+def units(data: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(bytes, starts, ends, whole) of what is encoded by itself: words, cut where an ASCII letter is
+    followed by another ASCII character that is none, over which no match of the tokenizer's pattern
+    goes; A-Z in lower case, but for letters that a mark might be put to. Words that may hold a
+    special token, or the character that parts words, stay as they are (``whole``)."""
+    starts, ends = arrays.word_bounds(data, size)
+    odd = np.flatnonzero((data[:size] == 60) & (data[1 : size + 1] == 124) | (data[:size] == 1))
+    held = np.unique(np.searchsorted(starts, odd, "right") - 1)
+    letter = LETTER[data[: size + 1]]
+    cut = letter[:-1] & ~letter[1:] & (data[1 : size + 1] > 32) & (data[1 : size + 1] < 127)
+    upper = (data[:size] >= 65) & (data[:size] <= 90) & (data[1 : size + 1] < 128)
+    inside = arrays.spread(starts[held], (ends - starts)[held])
+    cut[inside], upper[inside] = False, False
+    low = data.copy()
+    low[:size][upper] += 32
+    at = np.flatnonzero(cut) + 1
+    whole = np.zeros(len(starts) + len(at), bool)
+    first = starts[held]
+    starts, ends = np.sort(np.concatenate((starts, at))), np.sort(np.concatenate((ends, at)))
+    whole[np.searchsorted(starts, first)] = True
+    return low, starts, ends, whole
+
+
 def word_encoder(path: str) -> Callable[[pa.Array], Iterator[tuple[int, np.ndarray, np.ndarray]]]:
     """Encodes with the tokenizers library, each distinct word between ASCII white space once: this
     tokenizer drops white space and merges nothing across it."""
@@ -146,30 +214,38 @@ def word_encoder(path: str) -> Callable[[pa.Array], Iterator[tuple[int, np.ndarr
     from tokenizers import Tokenizer
 
     tokenizer, cache = Tokenizer.from_file(path), _CACHE.setdefault(path, arrays.SegmentCache(1_200_000))
-    # Words go to the library many at a time, with a special token between them to part their ids.
-    mark = next(t for t in tokenizer.get_added_tokens_decoder().values() if t.special).content
-    mark_id = tokenizer.token_to_id(mark)
+    # Words go to the library many at a time, with a control character between them to part their ids.
+    mark = "\x01"
+    model = tokenizer.model
+    (mark_id,) = tokenizer.encode(mark, add_special_tokens=False).ids
 
     def encode(column: pa.Array) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
         for row, data, offsets in arrays.chunks(column, 2_000_000):
-            starts, ends = arrays.word_bounds(data, int(offsets[-1]))
-            whole = data.tobytes()
-
-            def new(first: np.ndarray, starts=starts, ends=ends, whole=whole) -> tuple[np.ndarray, np.ndarray]:
-                words = [whole[a:b].decode() for a, b in zip(starts[first].tolist(), ends[first].tolist(), strict=True)]
-                flat, size = [], []
-                for k in range(0, len(words), 128):
-                    some = words[k : k + 128]
-                    if any("<|" in w for w in some):  # may hold a special token itself
-                        each = [np.array(e.ids, dtype=np.int32) for e in tokenizer.encode_batch_fast(some, add_special_tokens=False)]
-                        flat += each
-                        size.append(np.array([len(x) for x in each]))
-                    else:
-                        ids = np.array(tokenizer.encode_batch_fast([mark.join(some)], add_special_tokens=False)[0].ids, dtype=np.int32)
-                        cuts = np.flatnonzero(ids == mark_id)
-                        flat.append(ids[ids != mark_id])
-                        size.append(np.diff(np.concatenate(([-1], cuts, [len(ids)]))) - 1)
-                return np.concatenate(flat), np.concatenate(size).astype(np.int64)
+            data, starts, ends, whole = units(data, int(offsets[-1]))
+            raw = data.tobytes()
+
+            def new(first: np.ndarray, starts=starts, ends=ends, whole=whole, raw=raw) -> tuple[np.ndarray, np.ndarray]:
+                flat, size = [], np.zeros(len(first), np.int64)
+                words = [raw[a:b].decode() for a, b in zip(starts[first].tolist(), ends[first].tolist(), strict=True)]
+                plain = np.array([SIMPLE(w) is not None for w in words], bool)
+                alone = whole[first] & ~plain
+                many, few, direct = np.flatnonzero(~alone & ~plain), np.flatnonzero(alone), np.flatnonzero(plain)
+                for k in range(0, len(many), 512):
+                    some = many[k : k + 512]
+                    ids = np.array(tokenizer.encode_batch_fast([f" {mark} ".join([words[i] for i in some.tolist()])], add_special_tokens=False)[0].ids, dtype=np.int32)
+                    cuts = np.flatnonzero(ids == mark_id)
+                    flat.append(ids[ids != mark_id])
+                    size[some] = np.diff(np.concatenate(([-1], cuts, [len(ids)]))) - 1
+                each = [np.array(e.ids, dtype=np.int32) for e in tokenizer.encode_batch_fast([words[i] for i in few.tolist()], add_special_tokens=False)] if len(few) else []
+                size[few] = [len(x) for x in each]
+                # Lower-case letters alone are one piece as they are, which goes to the model at once.
+                pieces = [[t.id for t in model.tokenize(words[i] if words[i].isascii() else words[i].encode().decode("latin-1").translate(SHOWN))] for i in direct.tolist()]
+                size[direct] = [len(x) for x in pieces]
+                done = np.concatenate([*flat, *each, np.array([i for x in pieces for i in x], np.int32)])
+                order = np.concatenate((many, few, direct))
+                at = np.empty(len(order), np.int64)
+                at[order] = np.cumsum(size[order]) - size[order]
+                return done[arrays.spread(at, size)], size
 
             at, size, flat = cache.rows(arrays.hash_segments(data, starts, ends), new) if len(starts) else (np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.int32))
             ids = flat[arrays.spread(at, size.astype(np.int64))]
@@ -217,16 +293,35 @@ def write_shards(docs: DataFrame, tokenizer: str, end_id: int = 2, shard_ids: in
     return tables.written(ordered.mapInArrow(shards, SHARDS), "token-shards")
 
 
-def documents_of(shards: DataFrame) -> DataFrame:
-    """Read written shards: doc_id, start, n_tokens, ids_crc32 per document. What comes before a part
-    is summed over the parts, of which there are as many as the writing job had tasks."""
-    spark = shards.sparkSession
-    totals, before = sorted((r["part"], r["n"]) for r in shards.groupBy("part").agg(F.sum("n_ids").alias("n")).collect()), []
-    upto = 0
-    for part, n in totals:
-        before.append((part, upto))
+def read_ids(shards: DataFrame, start: int, n: int) -> DataFrame:
+    """at, ids: the ids ``start`` .. ``start + n - 1`` of the whole corpus, in pieces by shard, from the
+    shards that hold them alone."""
+    begins = _part_starts(shards)
+    placed = shards.join(F.broadcast(begins), "part").withColumn("at", F.col("part_start") + F.col("before"))
+
+    def take(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for at, payload in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+                first = max(start - at, 0)
+                ids = Shard(payload.as_buffer().to_pybytes()).read(first, start + n - at - first)
+                yield pa.RecordBatch.from_pydict({"at": [at + first], "ids": [ids.astype(np.int32)]}, schema=pa.schema([("at", pa.int64()), ("ids", pa.list_(pa.int32()))]))
+
+    return placed.where((F.col("at") < start + n) & (F.col("at") + F.col("n_ids") > start)).select("at", "payload").mapInArrow(take, "at long, ids array<int>")
+
+
+def _part_starts(shards: DataFrame) -> DataFrame:
+    """part, part_start: how many ids come before each part, of which there are as many as the writing
+    job had tasks."""
+    upto, rows = 0, []
+    for part, n in sorted((r["part"], r["n"]) for r in shards.groupBy("part").agg(F.sum("n_ids").alias("n")).collect()):
+        rows.append((part, upto))
         upto += n
-    starts = spark.createDataFrame(before, "part int, part_start long")
+    return shards.sparkSession.createDataFrame(rows, "part int, part_start long")
+
+
+def documents_of(shards: DataFrame) -> DataFrame:
+    """Read written shards: doc_id, start, n_tokens, ids_crc32 per document."""
+    starts = _part_starts(shards)
 
     def decode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
