@@ -115,3 +115,68 @@ def test_empty_inputs(spark):
     assert search.vector_search(none, [1.0, 2.0], 5).count() == 0
     lists = spark.createDataFrame([], "id long, score double")
     assert search.reciprocal_rank_fusion(lists, lists).count() == 0
+
+
+def test_rejected_writes_dont_count(spark):
+    from recollect.operators import lifecycle
+
+    rows = spark.createDataFrame([(i, "a", s) for i, s in enumerate([0, 1, 2, 3, 59, 60, 61, 62])] + [(20, "b", 1), (21, None, 1)], "id int, k string, s long").repartition(3)
+    got = {r.id for r in lifecycle.rate_limited(rows, "k", "s", 3).collect() if r.accepted}
+    assert got == {0, 1, 2, 5, 6, 7, 20, 21}  # 3 and 59 were turned away, so 60 finds two younger than a minute
+    rows = spark.createDataFrame([(1, "a", 60), (2, "a", 50), (3, "a", 40), (4, "a", 1)], "id int, k string, n long")
+    assert {r.id for r in lifecycle.token_budgeted(rows, "k", ["id"], "n", 100).collect() if r.accepted} == {1, 3}
+    assert lifecycle.rate_limited(rows.limit(0), "k", "n").count() == 0
+
+
+def test_ranks_settle_as_a_plain_loop_does(spark):
+    from recollect.operators import graph
+
+    for edges in ([(1, 2, 1.0), (2, 1, 2.0), (2, 3, 1.0), (3, 1, 1.0), (9, 1, 1.0)], [(1, 2, 1.0), (2, 3, 1.0), (1, 4, 3.0), (5, 5, 1.0)]):
+        seeds, total = [1, 5], {}
+        for a, _, w in edges:
+            total[a] = total.get(a, 0) + w
+        rank = {1: 0.5, 5: 0.5}
+        for _ in range(300):
+            new, lost = {}, sum(v for k, v in rank.items() if k not in total)
+            for a, b, w in edges:
+                new[b] = new.get(b, 0) + 0.85 * rank.get(a, 0) * w / total[a]
+            for s in seeds:
+                new[s] = new.get(s, 0) + (0.15 + 0.85 * lost) / 2
+            rank = new
+        got = {r.node: r["rank"] for r in graph.personalised_rank(spark.createDataFrame(edges, "source long, target long, weight double"), spark.createDataFrame([(s,) for s in seeds], "node long")).collect()}
+        assert all(abs(got.get(k, 0) - v) < 1e-4 for k, v in rank.items()) and abs(sum(got.values()) - 1) < 1e-6
+
+
+def test_a_stream_drained_in_two_batches_isnt_doubled(spark, tmp_path):
+    from recollect.streaming import events
+
+    for k in range(2):
+        spark.createDataFrame([(k, f"2024-01-0{k + 1} 00:00:00", "x", 1.0)], "event_id long, t string, event_type string, value double").selectExpr("event_id", "cast(t as timestamp) ts", "event_type", "value").coalesce(1).write.mode("append").parquet(f"file://{tmp_path}/in")
+    schema = spark.read.parquet(f"file://{tmp_path}/in").schema
+    stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(f"file://{tmp_path}/in")
+    assert sorted(r.n for r in events.drained(events.windowed(stream, "1 day"), f"file://{tmp_path}/out", "complete").collect()) == [1, 1]
+    assert events.drained(stream.select("event_id"), f"file://{tmp_path}/out2").count() == 2
+
+
+def test_rounds_of_search_add_terms_of_what_they_found(spark):
+    from recollect.operators import recall
+
+    rows = spark.createDataFrame([(1, "alpha bridge"), (2, "bridge castle"), (3, "nothing here"), (4, None), (5, "")], "id long, text string")
+    got = {r.id: r.round for r in recall.iterative(rows, ["alpha"], 10).collect()}
+    assert got == {1: 1, 2: 2}
+
+
+def test_phrases_topics_and_revisions(spark):
+    from pyspark.sql import functions as F
+
+    from recollect.operators import recall, revisions
+
+    day = 86_400_000
+    assert recall.window_of("seen Yesterday", 10 * day) == (8 * day, 9 * day) and recall.window_of("never", 1) is None
+    rows, topics = spark.createDataFrame([(1,), (2,)], "id long"), spark.createDataFrame([(1, "t")], "id long, topic string")
+    assert recall.on_topic(rows, topics, "t").count() == 1 and recall.on_topic(rows, topics, "none").count() == 2
+    revs = spark.createDataFrame([(1, 1, "Active", 5, None, 7.0), (None, 1, "Active", 5, None, 8.0)], "chain long, version long, state string, valid_from long, valid_until long, value double")
+    out = {tuple(r) for r in revisions.successor(revs, spark.createDataFrame([(1, 9.0), (2, 1.0)], "chain long, value double"), F.lit(6).cast("long")).collect()}
+    assert out == {(1, 1, "Superseded", 5, 6, 7.0), (1, 2, "Active", 6, None, 9.0), (None, 1, "Active", 5, None, 8.0)}
+    again = revisions.retract(revisions.retract(revs, spark.createDataFrame([(1,)], "chain long"), F.lit(6).cast("long")), spark.createDataFrame([(1,)], "chain long"), F.lit(7).cast("long"))
+    assert again.count() == 3  # a retracted chain has no live head to retract
