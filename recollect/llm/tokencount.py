@@ -15,7 +15,6 @@ library takes them by default. An empty table gives no rows.
 from __future__ import annotations
 
 import json
-import unicodedata
 from collections.abc import Iterator
 from functools import cache
 
@@ -55,19 +54,26 @@ def transducer() -> tuple[np.ndarray, np.ndarray]:
 
 
 STEP, MARK = transducer()
-WHITE = [*range(0x09, 0x0E), 0x20, 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000]
+#: Beyond these code points, and outside the tags, Unicode has no letters, numbers or white space.
+LAST, TAGS = 0x34000, range(0xE0000, 0xE1000)
 
 
 @cache
-def char_classes() -> np.ndarray:
+def char_classes(path: str) -> np.ndarray:
+    """The class of each code point as the tokenizer's own pattern has it: a letter goes on after a
+    letter, a number after a number, another after a mark, and white space after none of them."""
+    from tokenizers import Tokenizer
+
+    pre = Tokenizer.from_file(path).pre_tokenizer
     kinds = np.full(0x110000, OTHER, dtype=np.uint8)
-    for c in range(0x110000):
-        k = unicodedata.category(chr(c))[0]
-        if k == "L":
-            kinds[c] = LETTER
-        elif k == "N":
-            kinds[c] = NUMBER
-    kinds[WHITE] = SPACE
+    points = np.array([c for c in (*range(LAST), *TAGS) if not 0xD800 <= c < 0xE000])
+    for some in np.array_split(points, len(points) // 8192):
+        chars = [chr(c) for c in some.tolist()]
+        text = "".join(f"a{c}\n1{c}\n!{c}\n" for c in chars)
+        opens = np.zeros(len(text) + 1, bool)
+        opens[[span[0] for _, span in pre.pre_tokenize_str(text)]] = True
+        breaks = opens[:-1].reshape(len(chars), 9)[:, [1, 4, 7]]
+        kinds[some] = np.where(~breaks[:, 0], LETTER, np.where(~breaks[:, 1], NUMBER, np.where(~breaks[:, 2], OTHER, SPACE)))
     return kinds
 
 
@@ -94,9 +100,9 @@ def scan(kinds: np.ndarray, width: int = 256) -> np.ndarray:
     return marks.T.ravel()[: len(kinds)]
 
 
-def classify(points: np.ndarray, ends: np.ndarray) -> np.ndarray:
+def classify(points: np.ndarray, ends: np.ndarray, classes: np.ndarray) -> np.ndarray:
     """Classes of code points; ``ends`` are the places of the segments' terminators."""
-    kinds = char_classes()[points]
+    kinds = classes[points]
     kinds[ends] = END
     after = np.append(kinds[1:], END)
     last = (kinds == SPACE) & (after != SPACE) & (after != END)
@@ -127,25 +133,27 @@ class Compiled:
         self.merges = arrays.Merges(np.array([vocab[a] for a, _ in pairs]), np.array([vocab[b] for _, b in pairs]), np.arange(len(pairs)), np.array([vocab[a + b] for a, b in pairs]))
         self.special = [x["content"] for x in spec["added_tokens"]]
         self.cache = arrays.SegmentCache()
+        self.classes = char_classes(path)
 
     def counts(self, rows: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """(bytes, tokens) of each text."""
-        special = np.zeros(len(rows), dtype=np.int64)
+        special, cut_out = np.zeros(len(rows), dtype=np.int64), np.zeros(len(rows), dtype=np.int64)
         parts, owner = rows, np.arange(len(rows))
         for token in self.special:
             if any(token in x for x in parts):
                 cut = [x.split(token) for x in parts]
                 more = np.array([len(x) for x in cut])
                 np.add.at(special, owner, more - 1)
+                np.add.at(cut_out, owner, (more - 1) * len(token.encode()))
                 owner, parts = np.repeat(owner, more), [y for x in cut for y in x]
         raw = [x.encode("utf-8", "surrogatepass") for x in parts]
-        n_bytes = np.bincount(owner, [len(x) for x in raw], len(rows)).astype(np.int64) + special * sum(len(t) for t in self.special[:1])
+        n_bytes = np.bincount(owner, [len(x) for x in raw], len(rows)).astype(np.int64) + cut_out
         data = np.frombuffer(b"\n".join([*raw, b"\0" * 8]), dtype=np.uint8)
         size = len(data) - 8
         head = np.flatnonzero((data[:size] & 0xC0) != 0x80)  # byte at which each character begins
         points = np.frombuffer("\n".join([*parts, ""]).encode("utf-32-le", "surrogatepass"), dtype=np.uint32)
         ends = np.cumsum([len(x) + 1 for x in parts]) - 1
-        opens = np.flatnonzero(scan(classify(points, ends)))
+        opens = np.flatnonzero(scan(classify(points, ends, self.classes)))
         starts = head[opens]
         stops = np.append(starts[1:], size)
         real = np.ones(len(points), dtype=bool)

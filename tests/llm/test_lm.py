@@ -75,3 +75,21 @@ def test_odd_rows(odd, empty):
     assert len(rows) == odd.count() and all(math.isfinite(r.score) and math.isfinite(r.base_score) for r in rows)
     assert {r.n_tokens for r in rows if r.doc_id in (1, 2, 6)} == {1}
     assert lm.score_documents(empty).count() == 0
+
+
+def test_training_has_one_end_a_text_and_carries_its_state():
+    rng = np.random.default_rng(4)
+    sizes = np.array([0, 3, 50, 7, 0, 20])
+    flat = rng.integers(1, 16, sizes.sum()).astype(np.int32)
+    seen = []
+    for cut in (5, 2048):
+        model = lm.Model.fresh(4, 4, 8, np.ones(16))
+        kept = lm.Model.run
+        heard = []
+        lm.Model.run = lambda self, h, x, live, keep, kept=kept, heard=heard: (heard.append([x[t, :n].tolist() for t, n in enumerate(live)]), kept(self, h, x, live, keep))[1]
+        try:
+            assert lm.train(model, iter([(flat, sizes)]), 0, 0.0, cut=cut) == sizes.sum() + len(sizes)
+        finally:
+            lm.Model.run = kept
+        seen.append(sorted(i for w in heard for step in w for i in step))
+    assert seen[0] == seen[1] and seen[0].count(0) == len(sizes)  # the end is an input where texts begin, nowhere else

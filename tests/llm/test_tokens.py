@@ -102,3 +102,33 @@ def test_odd_rows(odd, empty):
     assert {r.n_tokens for r in tokencount.token_counts(odd).collect() if r.doc_id in (1, 2)} == {0}
     assert {r.n_tokens for r in repair.token_files(odd).collect() if r.doc_id in (1, 2)} == {1}
     assert all(r.lossless for r in pieces.encode(odd).collect())
+
+
+def test_no_pair_that_pays_is_left_and_ranges_of_the_corpus_read_back(spark):
+    rng = np.random.default_rng(2)
+    for t in range(30):
+        ids = np.minimum(rng.zipf(1.5, int(rng.integers(0, 2000))), [3, 20, 1000][t % 3]).astype(np.int32)
+        ids = np.tile(ids[:40], 20) if t % 5 == 0 else ids
+        shard = repair.Shard(repair.pack(ids, np.zeros(1, np.int64), np.array([len(ids)])))
+        assert (shard.ids() == ids).all()
+        places = {}
+        for i, pair in enumerate(zip(shard.seq[:-1].tolist(), shard.seq[1:].tolist(), strict=True)):
+            have = places.setdefault(pair, [])
+            if not have or have[-1] < i - 1:
+                have.append(i)
+        assert max(map(len, places.values()), default=0) < 4
+    docs = spark.createDataFrame([(i, f"some words {i} " * (i % 7)) for i in range(60)], "doc_id long, text string").repartition(4)
+    shards = repair.write_shards(docs, public_tokenizers.path("word_bpe_49k.json"), shard_ids=100)
+    whole = [i for r in sorted(repair.read_ids(shards, 0, 10**9).collect()) for i in r.ids]
+    assert whole.count(2) >= 60
+    got = [i for r in sorted(repair.read_ids(shards, 137, 300).collect()) for i in r.ids]
+    assert got == whole[137:437]
+
+
+def test_characters_of_every_kind_count_as_the_library_counts_them():
+    from tokenizers import Tokenizer
+
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    texts = [f"x{chr(c)} {chr(c)}a 1{chr(c)}" for c in (*range(0, 0xD800, 3), 0x1C89, 0xA7CB, 0x105C0, *range(0x10000, 0x34000, 17), 0x10FFFF)]
+    want = [len(e.ids) for e in Tokenizer.from_file(path).encode_batch_fast(texts, add_special_tokens=False)]
+    assert tokencount.compiled(path).counts(texts)[1].tolist() == want
