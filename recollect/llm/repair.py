@@ -43,57 +43,60 @@ def compress(ids: np.ndarray, least: int = 4) -> tuple[np.ndarray, np.ndarray, n
     whose pair is more frequent than the pairs it overlaps with is replaced (every other one of a run
     of equal symbols), as long as ``least`` of its pair are; rounds go on until no pair pays. Only
     places whose pair may still become frequent are looked at again."""
-    seq = ids.astype(np.int64)
-    base = int(seq.max(initial=0)) + 1
-    size = np.ones(len(seq), np.int64)
+    n, base = len(ids), int(ids.max(initial=0)) + 1
+    seq, size = np.append(ids.astype(np.int64), -1), np.ones(n + 1, np.int64)
+    # Symbols keep their places, so that a round costs what it looks at; the place after the last ends both chains.
+    after, before = np.append(np.arange(1, n + 1), n), np.append(np.arange(-1, n - 1), n)
+    before[0] = n
+    rank, gone, marked = np.full(n + 1, -1, np.int64), np.zeros(n + 1, bool), np.zeros(n + 1, bool)
     lefts, rights, lengths = [], [], []
-    rules = 0
-    live = np.ones(len(seq), bool)  # places whose pair is to be counted
+    rules, at = 0, np.arange(n)
     while True:
-        at = np.flatnonzero(live[:-1]) if len(seq) > 1 else np.zeros(0, np.int64)
+        at = at[after[at] < n]
         if len(at) < least:
             break
+        right = after[at]
+        a, b = seq[at], seq[right]
         # Of a run of equal pairs (a a a) every other one can be replaced.
-        same = np.zeros(len(at), bool)
-        same[1:] = (seq[at[1:]] == seq[at[1:] + 1]) & (seq[at[1:]] == seq[at[1:] - 1]) & (at[1:] == at[:-1] + 1)
+        same = np.append(False, (a[1:] == b[1:]) & (a[:-1] == a[1:]) & (right[:-1] == at[1:]))
         spot = np.arange(len(at))
-        odd = (spot - np.maximum.accumulate(np.where(same, 0, spot))) % 2 == 1
-        take = np.flatnonzero(~odd)
-        key = seq[at[take]] << np.int64(26) | seq[at[take] + 1]
-        order, first = grouped(key)
+        odd = np.flatnonzero((spot - np.maximum.accumulate(np.where(same, 0, spot))) % 2)
+        even = np.delete(spot, odd) if len(odd) else spot
+        order, first = grouped(a[even] << np.int64(26) | b[even])
         count = np.diff(np.append(first, len(order)))
-        pays = count >= least
-        if not pays.any():
+        paying = np.flatnonzero(count >= least)
+        if not len(paying):
             break
         rank_of = np.full(len(first), -1, np.int64)  # by frequency, then by key
-        paying = np.flatnonzero(pays)
         rank_of[paying[np.argsort(count[paying], kind="stable")]] = np.arange(len(paying))
-        rank = np.full(len(seq), -1, np.int64)
-        rank[at[take[order]]] = np.repeat(rank_of, count)
-        spots = np.flatnonzero(rank >= 0)
-        live[:] = False
-        live[spots] = True
-        live[at[odd]] = rank[at[odd] - 1] >= 0
-        mine = rank[spots]
-        before, after = rank[spots - 1], rank[np.minimum(spots + 1, len(seq) - 1)]
-        before[spots == 0] = -1
-        chosen = spots[(mine > before) & (mine > after)]
-        used = np.bincount(rank[chosen], minlength=len(paying))
-        chosen = chosen[used[rank[chosen]] >= least]
-        number = np.cumsum(used >= least) - 1
-        new = number[rank[chosen]]
-        some = np.flatnonzero(np.diff(np.sort(new), prepend=-1))
-        one = np.zeros(len(some), np.int64)
-        one[new] = chosen  # any occurrence shows what the rule says
-        lefts.append(seq[one]), rights.append(seq[one + 1]), lengths.append(size[one] + size[one + 1])
-        seq[chosen] = base + rules + new
-        size[chosen] += size[chosen + 1]
+        rank[at[even[order]]] = np.repeat(rank_of, count)
+        mine = rank[at[even]]
+        spots, mine = at[even[mine >= 0]], mine[mine >= 0]
+        chosen = (mine > rank[before[spots]]) & (mine > rank[after[spots]])
+        mine, took = mine[chosen], spots[chosen]
+        used = np.bincount(mine, minlength=len(paying))
+        enough = used[mine] >= least
+        mine, took = mine[enough], took[enough]
+        new = (np.cumsum(used >= least) - 1)[mine]
+        one = np.zeros(int((used >= least).sum()), np.int64)
+        one[new] = took  # any occurrence shows what the rule says
+        lefts.append(seq[one]), rights.append(seq[after[one]]), lengths.append(size[one] + size[after[one]])
+        runs = at[odd[rank[at[odd - 1]] >= 0]] if len(odd) else odd
+        rank[at] = -1
+        out = after[took]
+        seq[took] = base + rules + new
+        size[took] += size[out]
         rules += len(one)
-        keep = np.ones(len(seq), bool)
-        keep[chosen + 1] = False
-        live[chosen] = True
-        live[chosen[chosen > 0] - 1] = True
-        seq, size, live = seq[keep], size[keep], live[keep]
+        gone[out] = True
+        after[took] = after[out]
+        before[after[took]] = took
+        before[n] = n
+        for places in (spots, runs, took, before[took]):
+            marked[places] = True
+        marked[out], marked[n] = False, False
+        at = np.flatnonzero(marked)
+        marked[at] = False
+    seq = seq[:n][~gone[:n]]
     join = lambda parts: np.concatenate(parts).astype(np.uint32) if parts else np.zeros(0, np.uint32)
     return seq.astype(np.uint32), join(lefts), join(rights), join(lengths)
 
