@@ -114,6 +114,23 @@ class HashIndex:
         return out
 
 
+def distinct(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """What np.unique gives with return_index and return_inverse, for hashes: one sort of the top bits
+    and the place together; where two different hashes share these bits, np.unique itself."""
+    bits = max(1, len(keys).bit_length())
+    low = U((1 << bits) - 1)
+    packed = np.sort((keys & ~low) | np.arange(len(keys), dtype=U))
+    order = (packed & low).astype(np.int64)
+    sorted_keys = keys[order]
+    new = np.ones(len(keys), bool)
+    new[1:] = sorted_keys[1:] != sorted_keys[:-1]
+    if (new[1:] & ((packed[1:] ^ packed[:-1]) <= low)).any():
+        return np.unique(keys, return_index=True, return_inverse=True)
+    back = np.empty(len(keys), np.int64)
+    back[order] = np.cumsum(new) - 1
+    return sorted_keys[new], order[new], back
+
+
 class SegmentCache:
     """What was computed for each distinct segment, by hash: a ragged row of ids. When it holds
     ``most`` segments, those not met again since they were put in or kept are dropped, so a worker's
@@ -142,7 +159,7 @@ class SegmentCache:
     def rows(self, keys: np.ndarray, compute: Callable[[np.ndarray], tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """(at, size, flat) of each key; ``compute(first)`` gives (flat ids, sizes) of the new
         segments, by the index at which each first occurs."""
-        found, first, back = np.unique(keys, return_index=True, return_inverse=True)
+        found, first, back = distinct(keys)
         if len(self.keys) + len(found) > self.most:
             self.shrink()
         pos = np.searchsorted(self.keys, found)

@@ -132,3 +132,12 @@ def test_characters_of_every_kind_count_as_the_library_counts_them():
     texts = [f"x{chr(c)} {chr(c)}a 1{chr(c)}" for c in (*range(0, 0xD800, 3), 0x1C89, 0xA7CB, 0x105C0, *range(0x10000, 0x34000, 17), 0x10FFFF)]
     want = [len(e.ids) for e in Tokenizer.from_file(path).encode_batch_fast(texts, add_special_tokens=False)]
     assert tokencount.compiled(path).counts(texts)[1].tolist() == want
+
+
+def test_distinct_hashes_as_numpy_finds_them():
+    from recollect.llm import arrays
+
+    rng = np.random.default_rng(0)
+    for keys in (rng.integers(0, 50, 1000).astype(np.uint64), arrays.mix(rng.integers(0, 500, 3000).astype(np.uint64)), np.zeros(0, np.uint64)):
+        for a, b in zip(arrays.distinct(keys), np.unique(keys, return_index=True, return_inverse=True), strict=True):
+            assert a.tolist() == b.tolist()
