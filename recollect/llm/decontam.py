@@ -265,7 +265,8 @@ def _against(docs: DataFrame, shared, edits: float) -> DataFrame:
 def drop_contaminated(docs: DataFrame, items: DataFrame, **options: float) -> DataFrame:
     """The rows of ``docs``, all columns, that hold no item. Rows are matched by id; rows without an
     id by their text."""
-    keyed = docs.select("*", F.coalesce(F.col("doc_id"), F.xxhash64("text")).alias("_key"))
-    found = matches(keyed.select(F.col("_key").alias("doc_id"), "text"), items, **options)
+    key = F.coalesce(F.col("doc_id").cast("long"), F.xxhash64("text"))
+    whole = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), key.alias("key"))
+    found = matches(docs.select(key.alias("doc_id"), "text"), items, **options)
     hit = tables.written(found.select("doc_id").distinct(), "leaks")
-    return keyed.join(hit.withColumnRenamed("doc_id", "_leak"), F.col("_key") == F.col("_leak"), "left_anti").drop("_key")
+    return whole.join(hit, F.col("key") == F.col("doc_id"), "left_anti").select("row.*")

@@ -37,3 +37,12 @@ def test_stages(spark, documents, sf_dir):
             continue
         assert out.columns == columns
         docs = out
+
+
+def test_leaks_go_whatever_the_columns_are_called(spark):
+    from recollect.llm import decontam
+
+    item = " ".join(f"w{i}" for i in range(30))
+    docs = spark.createDataFrame([(1, f"before {item} after", 7, 8), (2, "clean words", 7, 8), (None, None, 7, 8)], "doc_id long, text string, _key int, row int")
+    kept = decontam.drop_contaminated(docs, spark.createDataFrame([(1, item)], "item_id long, text string"))
+    assert kept.columns == docs.columns and sorted(r.doc_id or 0 for r in kept.collect()) == [0, 2]
