@@ -231,7 +231,8 @@ class Merges:
 
     def many(self, flat: np.ndarray, sizes: np.ndarray, skip: Callable | None = None, longest: int = 128) -> tuple[np.ndarray, np.ndarray]:
         """Words as a ragged array of symbols -> ragged merged symbols. ``skip(row, position, left,
-        right)`` takes arrays; words over ``longest`` symbols take the agenda one by one."""
+        right)`` takes arrays and drops candidates when they come up, so it sees the merges that are done
+        and those it stops; words over ``longest`` symbols take the agenda one by one."""
         ends = np.cumsum(sizes)
         offs = ends - sizes
         order = np.argsort(sizes, kind="stable")
@@ -278,7 +279,7 @@ class Merges:
         rank = np.full(ids.shape, self.NONE, dtype=np.int32)
         if wide > 1:
             r, c = np.nonzero(ids[:, 1:wide] >= 0)
-            rank[r, c] = self._ranked(rows[r], spot[r, c], ids[r, c], ids[r, c + 1], skip)
+            rank[r, c] = self.look(ids[r, c], ids[r, c + 1])[0]
         live = np.arange(len(rows))
         while wide > 1 and len(live):
             sub = rank[live]
@@ -287,27 +288,27 @@ class Merges:
             live, c = live[on], c[on]
             if not len(live):
                 break
-            _, merged = self.look(ids[live, c], ids[live, c + 1])
+            go = live
+            if skip is not None:
+                out = skip(rows[go], spot[go, c], ids[go, c], ids[go, c + 1])
+                rank[go[out], c[out]] = self.NONE
+                go, c = go[~out], c[~out]
+                if not len(go):
+                    continue
+            _, merged = self.look(ids[go, c], ids[go, c + 1])
             src = np.arange(wide + 1)[None, :] + (np.arange(wide + 1)[None, :] > c[:, None])
             src = np.minimum(src, wide)
-            ids[live] = np.take_along_axis(ids[live], src, 1)
-            spot[live] = np.take_along_axis(spot[live], src, 1)
-            rank[live] = np.take_along_axis(rank[live], src, 1)
-            ids[live, c] = merged
+            ids[go] = np.take_along_axis(ids[go], src, 1)
+            spot[go] = np.take_along_axis(spot[go], src, 1)
+            rank[go] = np.take_along_axis(rank[go], src, 1)
+            ids[go, c] = merged
             for left in (c - 1, c):
                 ok = left >= 0
-                rr, cc = live[ok], left[ok]
+                rr, cc = go[ok], left[ok]
                 right = ids[rr, cc + 1]
                 new = np.full(len(rr), self.NONE, dtype=np.int32)
                 has = right >= 0
-                new[has] = self._ranked(rows[rr[has]], spot[rr[has], cc[has]], ids[rr[has], cc[has]], right[has], skip)
+                new[has] = self.look(ids[rr[has], cc[has]], right[has])[0]
                 rank[rr, cc] = new
         keep = ids >= 0
         return ids[keep], keep.sum(axis=1)
-
-    def _ranked(self, rows, spot, left, right, skip):
-        rank, _ = self.look(left, right)
-        if skip is not None:
-            hit = np.flatnonzero(rank != self.NONE)
-            rank[hit[skip(rows[hit], spot[hit], left[hit], right[hit])]] = self.NONE
-        return rank

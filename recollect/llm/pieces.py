@@ -1,12 +1,12 @@
 """SentencePiece encoding with seeded merge-dropout, and lossless decoding.
 
 Merges of a byte-pair model come up by score, then from the left, from an agenda of candidate pairs;
-a candidate is skipped when the keyed hash of (seed, variant, unit, position, left, right) falls below
-``dropout``. Texts are cut into units that no piece crosses (a run of blanks and what follows it; line
-ends and tabs alone); a unit's variant is drawn by the keyed hash of the document and the unit's
-number, so that repeats of a word are segmented in ``variants`` ways, each computed once per worker.
-Short units go through the agenda many at a time, long ones one by one on a heap; both give the same
-pieces, and with ``dropout`` 0 the same as the library.
+a candidate is skipped when the keyed hash of (seed, document, unit's number, position, left, right)
+falls below ``dropout``, so every occurrence of a word has a draw of its own. Texts are cut into units
+that no piece crosses (a run of blanks and what follows it; line ends and tabs alone). Short units go
+through the agenda many at a time, long ones one by one on a heap; both give the same pieces. With
+``dropout`` 0 they are those of the library. A worker keeps these, with their merges, for the units it
+met: an occurrence whose draw skips none of them has the same pieces and needs no agenda of its own.
 
 Characters that the model lacks, and the sign that it keeps for blanks, are spelled in bytes, so every
 text decodes to itself.
@@ -35,6 +35,12 @@ LONE = np.zeros(256, dtype=bool)
 LONE[[0x09, 0x0A, 0x0D]] = True
 
 
+def mark_of(spots: np.ndarray, left: np.ndarray, right: np.ndarray) -> np.ndarray:
+    """A hash of a candidate merge within its unit."""
+    pair = (left.astype(np.int64).astype(np.uint64) << np.uint64(32)) | right.astype(np.int64).astype(np.uint64)
+    return arrays.mix(pair + spots.astype(np.int64).astype(np.uint64) * np.uint64(0xA0761D6478BD642F))
+
+
 class PieceModel:
     """The pieces of a model file as lookup tables."""
 
@@ -79,8 +85,9 @@ class PieceModel:
             return out, np.bincount(unit, size, len(chars)).astype(np.int64)
         return ids, chars
 
-    def encode(self, texts: list[bytes], keys: np.ndarray, dropout: float, seed: int, variants: int) -> tuple[np.ndarray, np.ndarray]:
-        """(ids, pieces per text); ``keys`` are the documents' hashes."""
+    def encode(self, texts: list[bytes], keys: np.ndarray, dropout: float, seed: int, block: int = 100_000) -> tuple[np.ndarray, np.ndarray]:
+        """(ids, pieces per text); ``keys`` are the documents' hashes; ``block`` units are
+        segmented at a time."""
         data = np.frombuffer(b"".join([*((b" " + x + b"\n") if x else b"\n" for x in texts), b"\0" * 8]), dtype=np.uint8)
         sizes = np.array([len(x) + 1 + (len(x) > 0) for x in texts])
         ends_of = np.cumsum(sizes)
@@ -99,24 +106,51 @@ class PieceModel:
         if not len(starts):
             return np.zeros(0, np.int32), np.zeros(len(texts), np.int64)
         unit = arrays.hash_segments(data, starts, ends)
-        if dropout > 0:
-            first = np.searchsorted(owner, np.arange(len(texts)))
-            number = np.arange(len(owner)) - first[owner]
-            variant = arrays.mix(keys[owner] ^ arrays.mix(number.astype(np.uint64) + np.uint64(seed))) % np.uint64(variants)
-            unit = arrays.mix(unit + variant * np.uint64(0xD6E8FEB86659FD93) + np.uint64(seed))
+        first = np.searchsorted(owner, np.arange(len(texts)))
+        number = np.arange(len(owner)) - first[owner]
+        draw = arrays.mix(keys[owner] ^ arrays.mix(number.astype(np.uint64) + np.uint64(seed)))
         bar = np.uint64(min(max(dropout, 0.0), 1.0) * float(2**64 - 2049))
-
-        def segment(new: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-            own = unit[new]
-
-            def skip(rows, spots, left, right):
-                pair = (left.astype(np.int64).astype(np.uint64) << np.uint64(32)) | right.astype(np.int64).astype(np.uint64)
-                return arrays.mix(own[rows] ^ arrays.mix(pair + spots.astype(np.int64).astype(np.uint64) * np.uint64(0xA0761D6478BD642F))) < bar
-
-            return self.merges.many(*self.symbols(data, starts[new], ends[new]), skip if dropout > 0 else None)
-
-        at, size, flat = self.cache.rows(unit, segment)
-        return flat[arrays.spread(at, size.astype(np.int64))], np.bincount(owner, size, len(texts)).astype(np.int64)
+        parts = [self.segmented(data, starts[a : a + block], ends[a : a + block], unit[a : a + block], draw[a : a + block], bar) for a in range(0, len(starts), block)]
+        return np.concatenate([p[0] for p in parts]), np.bincount(owner, np.concatenate([p[1] for p in parts]), len(texts)).astype(np.int64)
+
+    def segmented(self, data: np.ndarray, starts: np.ndarray, ends: np.ndarray, unit: np.ndarray, draw: np.ndarray, bar: np.uint64) -> tuple[np.ndarray, np.ndarray]:
+        """(ids, pieces per unit). A unit none of whose own merges are skipped by its draw has the pieces
+        it would have without dropout, which are kept with these merges; others go through the agenda."""
+
+        def plain(new: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+            """For each unit the number of its pieces, the pieces, and the marks of its merges."""
+            rows, marks = [np.zeros(0, np.int64)], [np.zeros(0, np.uint64)]
+
+            def note(row, spots, left, right):
+                rows.append(np.asarray(row))
+                marks.append(mark_of(spots, left, right))
+                return np.zeros(len(spots), dtype=bool)
+
+            ids, n = self.merges.many(*self.symbols(data, starts[new], ends[new]), note)
+            row = np.concatenate(rows)
+            merges = np.bincount(row, minlength=len(n))
+            width = 1 + n + 2 * merges
+            at = np.cumsum(width) - width
+            out = np.empty(int(width.sum()), dtype=np.int32)
+            out[at] = n
+            out[arrays.spread(at + 1, n)] = ids
+            out[arrays.spread(at + 1 + n, 2 * merges)] = np.concatenate(marks)[np.argsort(row, kind="stable")].view(np.int32)
+            return out, width
+
+        at, width, flat = self.cache.rows(unit, plain)
+        size = flat[at].astype(np.int64)
+        merges = (width - 1 - size) // 2
+        of = np.repeat(np.arange(len(unit)), merges)
+        hit = arrays.mix(draw[of] ^ flat[arrays.spread(at + 1 + size, 2 * merges)].view(np.uint64)) < bar
+        again = np.flatnonzero(np.bincount(of[hit], minlength=len(unit)))
+        if not len(again):
+            return flat[arrays.spread(at + 1, size)], size
+        own = draw[again]
+        ids, n = self.merges.many(*self.symbols(data, starts[again], ends[again]), lambda row, spots, left, right: arrays.mix(own[row] ^ mark_of(spots, left, right)) < bar)
+        begin = at + 1
+        begin[again] = len(flat) + np.cumsum(n) - n
+        size[again] = n
+        return np.concatenate((flat, ids))[arrays.spread(begin, size)], size
 
     def decode(self, ids: np.ndarray, sizes: np.ndarray) -> list[bytes]:
         """Texts of rows of ids; the blank put before a text is taken off again."""
@@ -127,18 +161,17 @@ class PieceModel:
 
 
 @cache
-def model_of(path: str, dropout: float, seed: int, variants: int) -> PieceModel:
-    """One model, and so one cache of units, for each setting."""
+def model_of(path: str) -> PieceModel:
     return PieceModel(path)
 
 
-def encode(docs: DataFrame, model: str | None = None, dropout: float = 0.1, seed: int = 17, variants: int = 4, chunk_bytes: int = 1_000_000) -> DataFrame:
+def encode(docs: DataFrame, model: str | None = None, dropout: float = 0.1, seed: int = 17, chunk_bytes: int = 1_000_000) -> DataFrame:
     """doc_id, n_pieces, ids, ids_crc32 (of the ids as little-endian 32-bit integers), lossless
     (whether the ids decode to the text) of each document."""
     path = model or public_tokenizers.path("piece_bpe_32k.model")
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        pieces = model_of(path, dropout, seed, variants)
+        pieces = model_of(path)
         for batch in batches:
             keys = arrays.mix(np.asarray(batch.column(0).fill_null(0)).astype(np.int64).view(np.uint64) + np.uint64(seed))
             column = batch.column(1).cast(pa.large_binary())
@@ -148,7 +181,7 @@ def encode(docs: DataFrame, model: str | None = None, dropout: float = 0.1, seed
                 if b <= a:
                     continue
                 texts = column.slice(a, b - a).to_pylist()
-                ids, sizes = pieces.encode(texts, keys[a:b], dropout, seed, variants)
+                ids, sizes = pieces.encode(texts, keys[a:b], dropout, seed)
                 ends = np.concatenate(([0], np.cumsum(sizes)))
                 raw = memoryview(ids.astype("<i4").tobytes())
                 crc = [zlib.crc32(raw[4 * x : 4 * y]) for x, y in zip(ends[:-1].tolist(), ends[1:].tolist(), strict=True)]
@@ -164,7 +197,7 @@ def decode(rows: DataFrame, model: str | None = None) -> DataFrame:
     path = model or public_tokenizers.path("piece_bpe_32k.model")
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        pieces = model_of(path, 0.0, 0, 1)
+        pieces = model_of(path)
         for batch in batches:
             for k in range(0, batch.num_rows, 512):
                 lists = batch.column(1).slice(k, 512)

@@ -85,6 +85,36 @@ def test_dropout_varies_and_loses_nothing(spark, rng):
     assert {(r.doc_id, r.text) for r in pieces.decode(pieces.encode(docs, dropout=0.3)).collect()} == set(rows)
 
 
+def test_dropout_against_a_plain_loop(rng):
+    model = pieces.PieceModel(public_tokenizers.path("piece_bpe_32k.model"))
+    words = [f" {w}" for w in "the segmentation of words varies between all their occurrences é日😀".split()] * 3
+    text = "".join(rng.choice(words) for _ in range(400)).encode()
+    keys = np.array([12345], dtype=np.uint64)
+    bar = np.uint64(0.3 * float(2**64 - 2049))
+    want = []
+    for number, word in enumerate(text.decode().split(" ")[1:]):
+        unit = (("  " if number == 0 else " ") + word).encode()
+        ids, _ = model.symbols(np.frombuffer(unit, dtype=np.uint8), np.array([0]), np.array([len(unit)]))
+        row, spots = ids.tolist(), list(range(len(ids)))
+        draw = pieces.arrays.mix(keys ^ pieces.arrays.mix(np.array([number + 17], dtype=np.uint64)))
+        while True:
+            open_pairs = []
+            for i in range(len(row) - 1):
+                found = model.merges.one(row[i], row[i + 1])
+                mark = pieces.mark_of(*(np.array([x]) for x in (spots[i], row[i], row[i + 1])))
+                if found and not (pieces.arrays.mix(draw ^ mark) < bar)[0]:
+                    open_pairs.append((found[0], i, found[1]))
+            if not open_pairs:
+                break
+            _, i, merged = min(open_pairs)
+            row[i : i + 2] = [merged]
+            del spots[i + 1]
+        want += row
+    for block in (100_000, 7):
+        got, size = model.encode([text], keys, 0.3, 17, block)
+        assert got.tolist() == want and size.tolist() == [len(want)]
+
+
 def test_agenda_and_blocks_agree():
     model = pieces.PieceModel(public_tokenizers.path("piece_bpe_32k.model"))
     word = "▁internationalisation".replace("▁", " ").encode()
