@@ -1,12 +1,13 @@
 """Personal data: found by form, and by what the corpus shows to reveal it.
 
-Emails, IP addresses, card and phone numbers are found by form. Terms that stand next to such a
-protected value are judged by information theory: with n texts, a value v in n_v of them and a term
-t in n_t, the pointwise mutual information log2(n * n_vt / (n_v * n_t)) says how many of the
-log2(n / n_v) bits of v the term gives away. From ``generalise`` of those bits on, a term is
-generalised, from ``remove`` on it is removed, in all texts that hold the value. A term needs
-``support`` different surroundings with the value to be judged at all, so that one passage copied
-many times reveals nothing about its words.
+Emails, IP addresses, card and phone numbers are found by form. All terms of the texts that hold such
+a protected value are judged by information theory: with n texts, a value v in n_v of them, a term t
+in n_t and both in n_vt, the pointwise mutual information log2(n * n_vt / (n_v * n_t)) says how many
+of the log2(n / n_v) bits of v the term gives away. From ``generalise`` of those bits on, a term is
+generalised, from ``remove`` on it is removed, in all texts that hold the value. A term is a run of
+letters and digits with a letter in it, of any length. It is judged when the texts that hold it show
+the value in ``support`` different surroundings (the words around the value), so that one passage
+copied many times reveals nothing about its words.
 
 Only DataFrame functions run here. Patterns are written so that the regular-expression engine
 neither backtracks over long runs nor recurses, whatever the length of a text.
@@ -31,9 +32,13 @@ IP = r"(?:\G|(?<![0-9]))[0-9]++\.[0-9]++\.[0-9]++\.[0-9]++"
 JOINT = ""  # stands for a blank or dash between two digits
 CARD = f"[0-9][0-9{JOINT}]++"
 PHONE = r"\+[0-9][ ().0-9-]+[0-9]"
-TERM = r"[\p{L}]{4,40}"
+TERM = r"(?<![\p{L}\p{N}@.])(?=\p{N}*+\p{L})[\p{L}\p{N}]++(?!@)"
+#: What tells two surroundings of a value apart: the nearest words, up to six a side of 80 characters.
+WORD = r"(?<![\p{L}\p{N}@.])\p{L}{4,40}(?![\p{L}\p{N}@])"
 AROUND = 80
 NEAR = 6
+#: Values or terms up to this many are sent to all tasks; beyond, they are joined by a shuffle.
+SENT = 500_000
 FOUND = "array<struct<kind:int,start:int,end:int,value:string>>"
 
 
@@ -84,37 +89,57 @@ def base_spans(text: Column) -> Column:
     return F.concat(email, ip, card, phone)
 
 
+def terms(text: Column) -> Column:
+    """The distinct terms of a text, in lower case; parts of emails are none."""
+    return F.array_distinct(F.regexp_extract_all(F.lower(text), F.lit(TERM), F.lit(0)))
+
+
 def _surroundings(rows: DataFrame) -> DataFrame:
-    """A row for each protected value in a text: key, value, and the terms next to it."""
+    """key, value, scene: a row for each protected value in a text; scenes tell its surroundings apart."""
     each = rows.select("key", "text", F.explode("base").alias("s"))
     value = F.when(F.col("s.kind") == 0, F.lower("s.value")).otherwise(F.when(F.col("s.kind") == 1, F.col("s.value")).otherwise(_digits(F.col("s.value"))))
     left = F.substring(F.col("text"), F.greatest(F.col("s.start") - AROUND + 1, F.lit(1)), F.least(F.col("s.start"), F.lit(AROUND)))
     right = F.substring(F.col("text"), F.col("s.end") + 1, F.lit(AROUND))
-    terms = lambda part: F.regexp_extract_all(F.lower(part), F.lit(rf"(?<![\p{{L}}\p{{N}}@.]){TERM}(?![\p{{L}}\p{{N}}@])"), F.lit(0))
-    before = F.slice(F.reverse(terms(left)), 1, NEAR)
-    return each.select(
-        "key", F.xxhash64("s.kind", value).alias("value"), F.array_distinct(F.concat(before, F.slice(terms(right), 1, NEAR))).alias("terms")
-    ).withColumn("scene", F.xxhash64(F.array_sort("terms")))
-
-
-def revealing(near: DataFrame, docs: DataFrame, support: int, generalise: float, remove: float) -> DataFrame:
-    """value, term, removed: the terms whose disclosure reaches the thresholds."""
-    n = docs.count()
-    pairs = near.select("key", "value", "scene", F.explode("terms").alias("term"))
-    scenes = pairs.select("value", "term", "scene").distinct().groupBy("value", "term").agg(F.count("*").alias("scenes")).where(F.col("scenes") >= support)
-    together = pairs.select("value", "term", "key").distinct().groupBy("value", "term").agg(F.count("*").alias("n_vt"))
-    n_v = near.select("value", "key").distinct().groupBy("value").agg(F.count("*").alias("n_v"))
-    # A term is in as many texts at least as it is seen in next to any value: what that bound rules
-    # out (common words above all) needs no counting over the corpus.
-    least = pairs.select("term", "key").distinct().groupBy("term").agg(F.count("*").alias("n_t"))
+    near = lambda part: F.regexp_extract_all(F.lower(part), F.lit(WORD), F.lit(0))
+    around = F.array_distinct(F.concat(F.slice(F.reverse(near(left)), 1, NEAR), F.slice(near(right), 1, NEAR)))
+    return each.select("key", F.xxhash64("s.kind", value).alias("value"), F.xxhash64(F.array_sort(around)).alias("scene"))
+
+
+def _small(table: DataFrame) -> DataFrame:
+    """A written table, broadcast where its counted rows allow it."""
+    return F.broadcast(table) if table.count() <= SENT else table
+
+
+def revealing(near: DataFrame, rows: DataFrame, support: int, generalise: float, remove: float) -> DataFrame:
+    """value, term, removed: the terms whose disclosure reaches the thresholds, from the surroundings
+    ``near`` (key, value, scene) and all texts ``rows`` (key, text, base)."""
+    none = near.select("value", F.lit("").alias("term"), F.lit(False).alias("removed")).limit(0)
+    n = rows.count()
+    scenes = near.select("value", "scene").distinct()
+    often = tables.written(scenes.groupBy("value").agg(F.count("*").alias("scenes")).where(F.col("scenes") >= support).select("value"), "pii-values")
+    if often.isEmpty():
+        return none
+    met = near.join(_small(often), "value").groupBy("key").agg(F.collect_set(F.struct("value", "scene")).alias("met"))
+    texts = tables.written(rows.where(F.size("base") > 0).select("key", terms(F.col("text")).alias("terms")).join(met, "key").select("met", "terms"), "pii-texts")
+    values = F.array_distinct(F.transform("met", lambda m: m["value"]))
+    n_v = tables.written(texts.select(F.explode(values).alias("value")).groupBy("value").agg(F.count("*").alias("n_v")), "pii-held")
+    each = texts.select("met", "terms", F.explode(values).alias("value"))
+    shown = F.size(F.filter("met", lambda m: m["value"] == F.col("value")))
+    # Counted on the way into the shuffle; more surroundings than a text shows each time there can't be.
+    together = each.select("value", shown.alias("shown"), F.explode("terms").alias("term")).groupBy("value", "term").agg(F.count("*").alias("n_vt"), F.sum("shown").alias("most")).where(F.col("most") >= support).drop("most")
+    # A term is in as many texts at least as it is seen in with any value: what that bound rules out
+    # (common words above all) needs no counting over the corpus.
+    least = texts.select(F.explode("terms").alias("term")).groupBy("term").agg(F.count("*").alias("n_t"))
     bits = F.log2(F.lit(float(n)) / F.col("n_v"))
     told = F.log2(F.lit(float(n)) * F.col("n_vt") / (F.col("n_v") * F.col("n_t")))
     share = F.when(bits > 0, told / bits).otherwise(0.0)
-    may = scenes.join(together, ["value", "term"]).join(n_v, "value").join(least, "term").where(share >= generalise)
-    held = tables.written(may.drop("n_t"), "pii-terms")
+    may = tables.written(together.join(_small(n_v), "value").join(least, "term").where(share >= generalise).drop("n_t"), "pii-terms")
+    seen = texts.select("terms", F.explode("met").alias("m")).select("m.value", "m.scene", F.explode("terms").alias("term"))
+    apart = seen.join(_small(may.select("value", "term")), ["value", "term"]).distinct().groupBy("value", "term").agg(F.count("*").alias("scenes"))
+    held = tables.written(may.join(apart.where(F.col("scenes") >= support).select("value", "term"), ["value", "term"]), "pii-judged")
     if held.isEmpty():
-        return held.select("value", "term", F.lit(False).alias("removed"))
-    words = docs.select(F.explode(F.array_distinct(F.regexp_extract_all(F.lower("text"), F.lit(rf"(?<![\p{{L}}\p{{N}}@.]){TERM}(?![\p{{L}}\p{{N}}@])"), F.lit(0)))).alias("term"))
+        return none
+    words = rows.select(F.explode(terms(F.col("text"))).alias("term"))
     n_t = words.groupBy("term").agg(F.count("*").alias("n_t"))  # counted before the shuffle, joined after
     return held.join(n_t, "term").withColumn("share", share).where(F.col("share") >= generalise).select("value", "term", (F.col("share") >= remove).alias("removed"))
 
@@ -125,11 +150,12 @@ def find(docs: DataFrame, support: int = 3, generalise: float = 0.75, remove: fl
     none = F.expr(f"cast(array() as {FOUND})")
     rows = docs.withColumn("key", F.xxhash64(*[c for c in ("doc_id", "text") if c in docs.columns])).withColumn("base", base_spans(F.col("text")))
     near = tables.written(_surroundings(rows.select("key", "text", "base")), "pii-near")
-    told = tables.written(revealing(near, docs.select("text"), support, generalise, remove), "pii-revealing")
+    told = tables.written(revealing(near, rows.select("key", "text", "base"), support, generalise, remove), "pii-revealing")
     if told.isEmpty():
         return rows.drop("key").withColumn("added", none)
-    by_text = near.select("key", "value").distinct().join(told, "value").groupBy("key").agg(F.collect_set(F.when(~F.col("removed"), F.col("term"))).alias("vague"), F.collect_set(F.when(F.col("removed"), F.col("term"))).alias("gone"))
+    by_text = near.select("key", "value").distinct().join(_small(told), "value").groupBy("key").agg(F.collect_set(F.when(~F.col("removed"), F.col("term"))).alias("vague"), F.collect_set(F.when(F.col("removed"), F.col("term"))).alias("gone"))
     some = rows.where(F.size("base") > 0).join(by_text, "key", "left")
+    some = some.withColumn("gone", F.array_intersect("gone", terms(F.col("text")))).withColumn("vague", F.array_intersect("vague", terms(F.col("text"))))
 
     def at(words: str, kind: int) -> Column:
         pattern = F.concat(F.lit(r"(?iu)(?<![\p{L}\p{N}@.])(?:"), F.array_join(F.array_sort(words), "|"), F.lit(r")(?![\p{L}\p{N}@])"))

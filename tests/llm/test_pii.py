@@ -1,4 +1,5 @@
 import hashlib
+import math
 import re
 
 from recollect.llm import pii
@@ -54,6 +55,26 @@ def test_terms_that_reveal_a_value(spark):
     assert clean[100] == dict(rows)[100]
 
 
+def test_terms_anywhere_in_the_text_against_plain_counts(spark, rng):
+    filler = ["some", "plain", "words", "that", "say", "nothing", "much", "at", "all", "é9"]
+    far = lambda n: " ".join(rng.choice(filler) for _ in range(n))
+    rows = [(i, f"Bo K9x {far(60)} near{i} box{i} at{i}x by{i}y mail jo@corp.example {far(60)} {'Zed' if i % 2 else 'ab'}") for i in range(8)]
+    rows += [(50 + i, far(80) + (" zed" if i < 3 else "")) for i in range(120)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    term = re.compile(r"(?<![^\W_@.])(?=[0-9]*[^\W\d_])[^\W_]+(?!@)")
+    kinds = {}
+    own = [set(t for t in term.findall(text.lower()) if t not in ("jo", "corp", "example")) for _, text in rows]
+    for t in set().union(*own[:8]):
+        n, n_v, n_vt, n_t = len(rows), 8, sum(t in o for o in own[:8]), sum(t in o for o in own)
+        if n_vt >= 3 and math.log2(n * n_vt / (n_v * n_t)) / math.log2(n / n_v) >= 0.75:
+            kinds[t] = "" if math.log2(n * n_vt / (n_v * n_t)) / math.log2(n / n_v) >= 0.95 else "[TERM]"
+    assert {"bo", "k9x"} <= set(kinds) and not set(filler) & set(kinds)
+    clean = {r.doc_id: r.text for r in pii.sanitise(docs).collect()}
+    for k, text in rows:
+        want = re.sub(r"[^\W_]+", lambda m: kinds.get(m[0].lower(), m[0]), text.replace("jo@corp.example", "[EMAIL]")) if k < 50 else text
+        assert clean[k] == want
+
+
 def test_overlapping_spans_go_as_one(spark):
     r = pii.sanitise(spark.createDataFrame([(1, "call +4111 1111 1111 1111 now", 9)], "doc_id long, text string, row long")).first()
     assert r.text in ("call [PHONE] now", "call +[CARD] now") and r.row == 9
