@@ -11,19 +11,15 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from recollect.functions import scoring
+from recollect.operators.closest import closest
 
 
 def nearest(candidates: DataFrame, stored: DataFrame, block: int = 10_000) -> DataFrame:
     """``candidates`` (id, embedding, ...) with nearest_id and distance (1 - cosine) of the closest
     stored row of another id; null where there is none."""
-    asked = candidates.where(F.col("embedding").isNotNull()).select(F.col("id").alias("cid"), F.col("embedding").alias("query"))
-    blocks, best = max(1, -(-asked.count() // block)), None
-    for b in range(blocks):
-        some = asked if blocks == 1 else asked.where(F.pmod(F.xxhash64("cid"), F.lit(blocks)) == b)
-        met = stored.where(F.col("embedding").isNotNull()).join(F.broadcast(some)).where(F.col("id") != F.col("cid"))
-        got = met.groupBy("cid").agg(F.min(F.struct((1 - scoring.cosine(F.col("query"), F.col("embedding"))).alias("distance"), "id")).alias("m"))
-        best = got if best is None else best.unionByName(got)
-    return candidates.join(best.select(F.col("cid").alias("id"), F.col("m.id").alias("nearest_id"), F.col("m.distance").alias("distance")), "id", "left")
+    near = closest(stored, candidates.select(F.col("id").alias("query_id"), F.col("embedding").alias("query")), 1, block=block)
+    best = near.groupBy("query_id").agg(F.min(F.struct((1 - F.col("score")).alias("distance"), "id")).alias("m"))
+    return candidates.join(best.select(F.col("query_id").alias("id"), F.col("m.id").alias("nearest_id"), F.col("m.distance").alias("distance")), "id", "left")
 
 
 def duplicate_gate(distance: Column, likeness: float = 0.95, action: str = "reject") -> Column:

@@ -14,6 +14,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from recollect.functions import scoring
+from recollect.operators.closest import closest
 from recollect.sources.settled import settled
 
 
@@ -37,14 +38,12 @@ def vector_search(rows: DataFrame, query: list[float], k: int, metric: str = "co
 
 def vector_search_many(rows: DataFrame, queries: DataFrame, k: int, metric: str = "cosine", block: int = 10_000) -> DataFrame:
     """query_id, id, score, rank: the k nearest other rows of each query. Queries (query_id, query) are
-    a stated set; they are broadcast against all rows in blocks of about ``block``."""
-    blocks = max(1, -(-queries.count() // block))
-    kept, found = rows.where(F.col("embedding").isNotNull()), None
-    for b in range(blocks):
-        some = queries if blocks == 1 else queries.where(F.pmod(F.xxhash64("query_id"), F.lit(blocks)) == b)
-        near = kept.join(F.broadcast(some)).where(F.col("id") != F.col("query_id")).select("query_id", "id", similarity(F.col("embedding"), F.col("query"), metric).alias("score"))
-        found = top_per(near, "query_id", k) if found is None else found.unionByName(top_per(near, "query_id", k))
-    return found
+    a stated set; they are broadcast against all rows in blocks of about ``block``, and each task sends
+    on ``k`` rows a query at most."""
+    if metric not in ("cosine", "dot", "l2"):
+        raise ValueError(metric)
+    near = closest(rows, queries, k, metric, True, block)
+    return top_per(near.withColumn("score", 1 / (1 + F.col("score"))) if metric == "l2" else near, "query_id", k)
 
 
 def top_per(scored: DataFrame, key: str, k: int) -> DataFrame:
