@@ -189,7 +189,9 @@ def prediction_error(spark: SparkSession, sf_dir: str) -> DataFrame:
     new = v.where(F.col("id") % 20 == 0).select("id", "embedding")
     best = settled(admission.nearest(new, v).where("distance IS NOT NULL").select("id", (1 - F.col("distance")).alias("m")))
     stats = best.agg(F.avg(1 - F.col("m")).alias("mean"), F.stddev_samp(1 - F.col("m")).alias("dev"))
-    z = (1 - F.col("m") - F.col("mean")) / F.col("dev")
+    above = 1 - F.col("m") - F.col("mean")
+    without = F.when(above == 0, float("nan")).otherwise(F.signum(above) * float("inf"))  # as SQL divides by no deviation
+    z = F.when(F.col("dev") == 0, without).otherwise(above / F.nullif(F.col("dev"), F.lit(0.0)))
     return best.join(F.broadcast(stats)).select("id", F.round("m", 6).alias("max_similarity"), F.round(scoring.prediction_error(scoring.clamp(F.col("m")), z), 6).alias("rpe"))
 
 

@@ -76,3 +76,15 @@ def test_nearest_of_nulls_and_other_lengths(spark):
     got = {r.id: (r.nearest_id, r.distance and round(r.distance, 6)) for r in admission.nearest(v.where("id % 5 = 0"), v).collect()}
     assert got == {0: (1, 0.292893), 5: (None, None), 10: (None, None), 15: (1, 1.707107)}
     assert [r.distance for r in admission.nearest(v.where("id = 0"), v.limit(0)).collect()] == [None]
+
+
+def test_prediction_error_of_copies_alone(spark, tmp_path):
+    import duckdb
+
+    from recollect.plans.search_queries import ORACLE, QUERIES
+
+    spark.createDataFrame([(i, [1.0, float(i % 20)], 0) for i in range(80)], "vec_id long, embedding array<float>, label int").write.parquet(f"{tmp_path}/embeddings.parquet")
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW embeddings AS SELECT * FROM '{tmp_path}/embeddings.parquet/*.parquet'")
+    got = sorted((r.id, r.max_similarity, r.rpe) for r in QUERIES["prediction_error"](spark, str(tmp_path)).collect())
+    assert got == sorted(con.execute(ORACLE["prediction_error"]).fetchall()) and len(got) == 4
