@@ -23,11 +23,13 @@ def trust(origin: Column, evidence: Column, sources: Column, unsupported: Column
     return scoring.clamp(base + bonus - F.least(unsupported * 0.05, F.lit(0.3)) - F.least(contradictions * 0.1, F.lit(0.3)))
 
 
-def orphans(edges: DataFrame, nodes: DataFrame) -> DataFrame:
-    """source, target of edges with an end that isn't a node."""
-    n = nodes.select("node").distinct()
-    a = edges.join(n.withColumnRenamed("node", "source"), "source", "left_anti").select("source", "target")
-    b = edges.join(n.withColumnRenamed("node", "target"), "target", "left_anti").select("source", "target")
+def orphans(edges: DataFrame, nodes: DataFrame, targets: DataFrame | None = None) -> DataFrame:
+    """source, target of edges with an end that isn't a node; with ``targets``, for two kinds of nodes
+    whose ids may coincide, sources are looked up in ``nodes`` and targets in those."""
+    s = nodes.select(F.col("node").alias("source"))
+    t = (nodes if targets is None else targets).select(F.col("node").alias("target"))
+    a = edges.join(s, "source", "left_anti").select("source", "target")
+    b = edges.join(t, "target", "left_anti").select("source", "target")
     return a.unionByName(b).distinct()
 
 

@@ -34,7 +34,7 @@ def integrity_orphans(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Edges with an end among parts that were taken out (over size 45)."""
     parts = table(spark, sf_dir, "part").where("p_size <= 45").select(C("p_partkey").alias("node"))
     suppliers = table(spark, sf_dir, "supplier").select((C("s_suppkey") + 1_000_000).alias("node"))
-    return knowledge.orphans(supply_edges(spark, sf_dir).select("source", "target"), parts.unionByName(suppliers))
+    return knowledge.orphans(supply_edges(spark, sf_dir).select("source", "target"), parts, suppliers)
 
 
 @query("SELECT l_orderkey AS chain, count(*) AS n FROM lineitem GROUP BY 1 HAVING min(l_linenumber) <> 1 OR max(l_linenumber) <> count(*) OR count(DISTINCT l_linenumber) <> count(*)")
