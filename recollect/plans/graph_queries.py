@@ -23,14 +23,15 @@ chains AS (SELECT [cause, effect] AS path, effect, 1 AS depth, strength*confiden
  UNION ALL SELECT list_append(c.path, e.effect), e.effect, c.depth + 1, c.total + e.strength*e.confidence*ln(1+e.evidence), c.prob*e.strength*e.confidence FROM chains c JOIN edges e ON e.cause = c.effect WHERE c.depth < 3 AND e.confidence >= 0.3 AND NOT list_contains(c.path, e.effect))"""
 
 
-def _both(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Supply edges in both directions, computed once."""
+def _both(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """Supply edges, computed once, and these in both directions."""
     e = settled(supply_edges(spark, sf_dir).select("source", "target", "weight"), "edges")
-    return e.unionByName(e.select(C("target").alias("source"), C("source").alias("target"), "weight"))
+    return e, e.unionByName(e.select(C("target").alias("source"), C("source").alias("target"), "weight"))
 
 
-def _seeds(edges: DataFrame, every: int) -> DataFrame:
-    return edges.where((C("source") < 1_000_000) & (C("source") % every == 0)).select(C("source").alias("node")).distinct()
+def _seeds(supplies: DataFrame, every: int) -> DataFrame:
+    """Every so many parts. ``supplies`` holds edges from parts only: past a million parts a node's id doesn't tell its kind."""
+    return supplies.where(C("source") % every == 0).select(C("source").alias("node")).distinct()
 
 
 @query(SUPPLY + """, seeds AS (SELECT DISTINCT source AS node FROM edges WHERE source % 50 = 0),
@@ -49,8 +50,8 @@ l2 AS (SELECT target AS node, least(sum(give), 1.0) AS more FROM (SELECT target,
 s2 AS (SELECT coalesce(s1.node, l2.node) AS node, least(coalesce(score, 0) + coalesce(more, 0), 1.0) AS score, coalesce(depth, 2) AS depth FROM s1 FULL JOIN l2 ON s1.node = l2.node)
 SELECT node, depth, round(score, 6) AS score FROM s2 WHERE score >= 0.01""")
 def spreading_activation(spark: SparkSession, sf_dir: str) -> DataFrame:
-    b = _both(spark, sf_dir)
-    return graph.spread(b, _seeds(b, 200), depth=2).select("node", "depth", F.round("score", 6).alias("score"))
+    e, b = _both(spark, sf_dir)
+    return graph.spread(b, _seeds(e, 200), depth=2).select("node", "depth", F.round("score", 6).alias("score"))
 
 
 @query(SUPPLY + """, b AS (SELECT source, target FROM edges WHERE weight >= 0.3 UNION ALL SELECT target, source FROM edges WHERE weight >= 0.3),
@@ -60,15 +61,15 @@ d2 AS (SELECT DISTINCT target AS node FROM d1 JOIN b ON node = source WHERE targ
 d3 AS (SELECT DISTINCT target AS node FROM d2 JOIN b ON node = source WHERE target NOT IN (SELECT node FROM s) AND target NOT IN (SELECT node FROM d1) AND target NOT IN (SELECT node FROM d2))
 SELECT node, 1 AS depth FROM d1 UNION ALL SELECT node, 2 FROM d2 UNION ALL SELECT node, 3 FROM d3""")
 def traverse(spark: SparkSession, sf_dir: str) -> DataFrame:
-    b = _both(spark, sf_dir)
-    return graph.traverse(b, _seeds(b, 100), 3, 0.3)
+    e, b = _both(spark, sf_dir)
+    return graph.traverse(b, _seeds(e, 100), 3, 0.3)
 
 
 @query()
 def personalised_rank(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Ranks from every fiftieth part, until they settle; tested against a plain loop."""
-    b = _both(spark, sf_dir)
-    return graph.personalised_rank(b, _seeds(b, 50)).select("node", F.round("rank", 8).alias("rank"))
+    e, b = _both(spark, sf_dir)
+    return graph.personalised_rank(b, _seeds(e, 50)).select("node", F.round("rank", 8).alias("rank"))
 
 
 @query(CAUSAL + " SELECT array_to_string(path, '>') AS path, depth, round(total/depth, 6) AS score, round(prob, 6) AS probability FROM chains")
