@@ -117,10 +117,12 @@ def shortest_paths(edges: DataFrame, seeds: DataFrame, depth: int) -> DataFrame:
     return traverse(edges, seeds, depth).withColumnRenamed("depth", "hops")
 
 
-def subgraph(edges: DataFrame, nodes: DataFrame) -> DataFrame:
-    """The edges both of whose ends are among ``nodes``."""
-    n = nodes.select("node").distinct()
-    return edges.join(n.withColumnRenamed("node", "source"), "source", "left_semi").join(n.withColumnRenamed("node", "target"), "target", "left_semi").select(*edges.columns)
+def subgraph(edges: DataFrame, nodes: DataFrame, targets: DataFrame | None = None) -> DataFrame:
+    """The edges both of whose ends are among ``nodes``; with ``targets``, for two kinds of nodes whose
+    ids may coincide, the sources among ``nodes`` and the targets among those."""
+    s = nodes.select(F.col("node").alias("source"))
+    t = (nodes if targets is None else targets).select(F.col("node").alias("target"))
+    return edges.join(s, "source", "left_semi").join(t, "target", "left_semi").select(*edges.columns)
 
 
 def provenance(found: DataFrame, edges: DataFrame, depth: int, most: int | None = None) -> DataFrame:

@@ -40,10 +40,13 @@ def retract(revisions: DataFrame, chains: DataFrame, at: Column) -> DataFrame:
     return successor(revisions, chains.select("chain"), at, state=RETRACTED)
 
 
-def without_nodes(edges: DataFrame, gone: DataFrame) -> DataFrame:
-    """``edges`` (source, target, ...) that don't touch a node of ``gone`` (node)."""
-    n = gone.select("node").distinct()
-    return edges.join(n.withColumnRenamed("node", "source"), "source", "left_anti").join(n.withColumnRenamed("node", "target"), "target", "left_anti").select(*edges.columns)
+def without_nodes(edges: DataFrame, gone: DataFrame, ends: tuple[str, ...] = ("source", "target")) -> DataFrame:
+    """``edges`` (source, target, ...) that don't touch a node of ``gone`` (node) with one of ``ends``:
+    where only sources are of the kind of ``gone``, a target may have the id of one and yet be another node."""
+    left = edges
+    for end in ends:
+        left = left.join(gone.select(F.col("node").alias(end)), end, "left_anti")
+    return left.select(*edges.columns)
 
 
 def merge(revisions: DataFrame, pairs: DataFrame, at: Column) -> tuple[DataFrame, DataFrame]:
@@ -77,7 +80,7 @@ def connect(edges: DataFrame, new: DataFrame, most: int = 512) -> DataFrame:
     return edges.select(*keys, "weight").unionByName(room.select(*keys, "weight"))
 
 
-def purge_agent(rows: DataFrame, edges: DataFrame, agent: Column, id: str) -> tuple[DataFrame, DataFrame]:
-    """(rows, edges) without what an agent wrote and the edges at it; a null agent stays."""
+def purge_agent(rows: DataFrame, edges: DataFrame, agent: Column, id: str, ends: tuple[str, ...] = ("source", "target")) -> tuple[DataFrame, DataFrame]:
+    """(rows, edges) without what an agent wrote and the edges that have it at one of ``ends``; a null agent stays."""
     gone = rows.where(F.coalesce(agent, F.lit(False))).select(F.col(id).alias("node"))
-    return rows.where(~F.coalesce(agent, F.lit(False))), without_nodes(edges, gone)
+    return rows.where(~F.coalesce(agent, F.lit(False))), without_nodes(edges, gone, ends)

@@ -100,7 +100,7 @@ def connect_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
 def purge_agent(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The edges left when an agent (parts of every fifth size) is purged."""
     p = table(spark, sf_dir, "part")
-    return revisions.purge_agent(p, supply_edges(spark, sf_dir).select("source", "target"), C("p_size") % 5 == 0, "p_partkey")[1]
+    return revisions.purge_agent(p, supply_edges(spark, sf_dir).select("source", "target"), C("p_size") % 5 == 0, "p_partkey", ("source",))[1]
 
 
 @query("""WITH s AS (SELECT q.vec_id AS id, min(1 - list_cosine_similarity(CAST(q.embedding AS DOUBLE[]), CAST(x.embedding AS DOUBLE[]))) AS d FROM embeddings q JOIN embeddings x ON q.vec_id % 20 = 0 AND x.vec_id <> q.vec_id GROUP BY 1)
@@ -226,8 +226,8 @@ def graph_activation(spark: SparkSession, sf_dir: str) -> DataFrame:
 def induced_subgraph(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Edges between small parts and every third supplier."""
     parts = table(spark, sf_dir, "part").where("p_size < 20").select(C("p_partkey").alias("node"))
-    suppliers = table(spark, sf_dir, "supplier").select((C("s_suppkey") + 1_000_000).alias("node")).where("node % 3 = 0")
-    return graph.subgraph(supply_edges(spark, sf_dir).select("source", "target"), parts.unionByName(suppliers))
+    suppliers = table(spark, sf_dir, "lineitem").select((C("l_suppkey") + 1_000_000).alias("node")).where("node % 3 = 0").distinct()
+    return graph.subgraph(supply_edges(spark, sf_dir).select("source", "target"), parts, suppliers)
 
 
 @query("""WITH e AS (SELECT DISTINCT l_partkey AS a, l_suppkey + 1000000 AS b FROM lineitem), k AS (SELECT a, b FROM e UNION ALL SELECT b, a FROM e), f AS (SELECT p_partkey AS node, (p_partkey % 50 + 1)/100.0 AS score FROM part WHERE p_partkey % 40 = 7),
