@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
@@ -57,21 +58,37 @@ def clauses(rows: DataFrame, id: str, content: str, least_confidence: float = 0.
     """id, sentence (from 0), subject, verb, object, time, confidence of each sentence of three words
     or more that has all of the first three: the first word that may be a subject, the first that is
     or ends as a verb, and what follows it; ``time`` is a date or time word of the sentence, or null."""
-    trim = lambda w, kept="": F.regexp_replace(w, rf"^[^\p{{L}}\p{{N}}{kept}]+|[^\p{{L}}\p{{N}}{kept}]+$", "")
-    sentences = rows.select(id, F.posexplode(F.split(content, "[.!?]")).alias("sentence", "s")).withColumn("w", text.split_words(F.col("s"))).where(F.size("w") >= 3)
-    bare = sentences.withColumn("bare", F.transform("w", trim)).withColumn("low", F.transform("w", lambda w: trim(F.lower(w))))
+    # Everything is computed once for a sentence: fields of a struct in an array, which filters can't be
+    # moved below, and words are trimmed together, joined by blanks, so that they keep their places.
+    bare = lambda words, kept="": F.split(F.regexp_replace(words, rf"(?<![^ ])[^\p{{L}}\p{{N}} {kept}]++|(?<=[\p{{L}}\p{{N}}{kept}])[^\p{{L}}\p{{N}} {kept}]++(?![^ ])", ""), " ", -1)
     ends = lambda w: reduce(lambda x, y: x | y, [F.endswith(w, F.lit(e)) & (F.octet_length(w) > len(e) + 1) for e in text.VERB_ENDS])
-    subject = F.get(F.filter("bare", lambda b: (b != "") & (b.rlike(r"^\p{Lu}") | ~F.lower(b).isin(*text.NO_SUBJECT))), F.lit(0))
-    at = F.array_position(F.transform("low", lambda w: w.isin(*text.VERBS) | ends(w)), True).cast("int")
-    found = bare.withColumn("subject", subject).withColumn("at", at).where(F.col("subject").isNotNull() & (F.col("at") > 0))
-    rest = F.filter(F.transform(F.slice("w", F.col("at") + 1, F.size("w")), lambda w: trim(w, ".-")), lambda w: w != "")
-    low = F.lower("s")
-    month = F.coalesce(*[F.when(F.contains(low, F.lit(m)), F.trim(F.substring(F.col("s"), F.instr(low, m), F.lit(len(m) + 15)))) for m in text.MONTHS])
-    date = F.get(F.filter(F.transform("w", F.lower), lambda w: w.rlike(r"^[0-9]{4}-[^-]*-[^-]*$") & (F.octet_length(w) >= 8)), F.lit(0))
-    relative = F.coalesce(*[F.when(F.contains(low, F.lit(r)), F.lit(r)) for r in text.RELATIVE])
-    made = found.select(id, "sentence", "subject", F.element_at("low", F.col("at")).alias("verb"), rest.alias("rest"), F.coalesce(month, date, relative).alias("time")).where(F.size("rest") > 0)
-    confidence = 0.6 + F.when(F.col("subject").rlike(r"^\p{Lu}"), 0.1).otherwise(0.0) + F.when(F.octet_length("verb") > 2, 0.1).otherwise(0.0) + F.when(F.size("rest") >= 2, 0.1).otherwise(0.0)
-    return made.select(id, "sentence", "subject", "verb", F.array_join("rest", " ").alias("object"), "time", confidence.alias("confidence")).where(F.col("confidence") >= least_confidence)
+    subjects = lambda words: F.get(F.filter(words, lambda b: (b != "") & (b.rlike(r"^\p{Lu}") | ~F.lower(b).isin(*text.NO_SUBJECT))), F.lit(0))
+
+    def more(found: Column, **fields: Callable[[Column], Column]) -> Column:
+        """The structs of an array with fields added."""
+        return F.transform(found, lambda x: reduce(lambda made, f: made.withField(f[0], f[1](x)), fields.items(), x))
+
+    def time(x: Column) -> Column:
+        month = F.coalesce(*[F.when(F.contains(x["small"], F.lit(m)), F.trim(F.substring(x["s"], F.instr(x["small"], m), F.lit(len(m) + 15)))) for m in text.MONTHS])
+        dates = F.filter(F.transform(x["w"], F.lower), lambda w: w.rlike(r"^[0-9]{4}-[^-]*-[^-]*$") & (F.octet_length(w) >= 8))
+        relative = F.coalesce(*[F.when(F.contains(x["small"], F.lit(r)), F.lit(r)) for r in text.RELATIVE])
+        return F.coalesce(month, F.when(x["s"].rlike("[0-9]{4}-"), F.get(dates, F.lit(0))), relative)
+
+    each = rows.select(id, F.posexplode(F.split(content, "[.!?]")).alias("sentence", "s"))
+    found = F.filter(F.transform(F.array("s"), lambda s: F.struct(s.alias("s"), text.split_words(s).alias("w"))), lambda x: F.size(x["w"]) >= 3)
+    found = more(found, j=lambda x: F.array_join(x["w"], " "))
+    found = more(found, low=lambda x: bare(F.lower(x["j"])))
+    found = F.filter(more(found, at=lambda x: F.array_position(F.transform(x["low"], lambda w: w.isin(*text.VERBS) | ends(w)), True).cast("int")), lambda x: x["at"] > 0)
+    found = more(found, bare=lambda x: bare(x["j"]))
+    # The subject is mostly one of the first words; only where it isn't are all words looked at.
+    found = F.filter(more(found, subject=lambda x: F.coalesce(subjects(F.slice(x["bare"], 1, 3)), subjects(x["bare"]))), lambda x: x["subject"].isNotNull())
+    found = F.filter(more(found, rest=lambda x: F.filter(bare(F.array_join(F.slice(x["w"], x["at"] + 1, F.size(x["w"])), " "), ".-"), lambda w: w != "")), lambda x: F.size(x["rest"]) > 0)
+    found = more(found, small=lambda x: F.lower(x["s"]))
+    found = F.transform(found, lambda x: F.struct(x["subject"].alias("subject"), F.element_at(x["low"], x["at"]).alias("verb"), F.array_join(x["rest"], " ").alias("object"), time(x).alias("time"), (F.size(x["rest"]) >= 2).alias("long")))
+    # The outer form: for a plain explode the optimiser adds a filter that computes the array again.
+    made = each.select(id, "sentence", F.explode_outer(found).alias("c")).where(F.col("c").isNotNull()).select(id, "sentence", "c.*")
+    confidence = 0.6 + F.when(F.col("subject").rlike(r"^\p{Lu}"), 0.1).otherwise(0.0) + F.when(F.octet_length("verb") > 2, 0.1).otherwise(0.0) + F.when(F.col("long"), 0.1).otherwise(0.0)
+    return made.select(id, "sentence", "subject", "verb", "object", "time", confidence.alias("confidence")).where(F.col("confidence") >= least_confidence)
 
 
 def explained(rows: DataFrame, terms: dict[str, Column]) -> DataFrame:

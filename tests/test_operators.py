@@ -180,3 +180,16 @@ def test_phrases_topics_and_revisions(spark):
     assert out == {(1, 1, "Superseded", 5, 6, 7.0), (1, 2, "Active", 6, None, 9.0), (None, 1, "Active", 5, None, 8.0)}
     again = revisions.retract(revisions.retract(revs, spark.createDataFrame([(1,)], "chain long"), F.lit(6).cast("long")), spark.createDataFrame([(1,)], "chain long"), F.lit(7).cast("long"))
     assert again.count() == 3  # a retracted chain has no live head to retract
+
+
+def test_clauses_are_computed_once_and_keep_places(spark):
+    from recollect.operators import knowledge
+
+    rows = spark.createDataFrame(
+        [(1, 'the -- "Big" dog (never) jumped -- over .it? a b. On 2024-01-02x the ΑΣ was, -- "new"- thing'), (2, None), (3, ""), (4, "However the a in was not seen"), (5, "... -- -- -- is -- x -y-")],
+        "id long, t string",
+    )
+    out = knowledge.clauses(rows, "id", "t")
+    assert [tuple(r)[:6] for r in out.orderBy("id", "sentence").collect()] == [(1, 0, "Big", "jumped", "-- over", None), (1, 3, "On", "was", '-- new"- thing', "2024-01-02x"), (4, 0, "was", "was", "not seen", None), (5, 3, "is", "is", "-- x -y-", None)]
+    plan = out._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("array_position") == 1
