@@ -259,7 +259,7 @@ def _against(docs: DataFrame, shared, edits: float) -> DataFrame:
                     values = np.array([best[k] for k in keys])
                     yield pa.RecordBatch.from_arrays([ids, pa.array([items.ids[i] for _, i in keys], pa.int64()), pa.array(values[:, 0]), pa.array([len(items.words[i]) for _, i in keys], pa.int64()), pa.array(values[:, 1]), pa.array(values[:, 2])], ["doc_id", "item_id", "edits", "item_words", "start", "n_words"])
 
-    return tables.texts(docs).mapInArrow(work, "doc_id long, item_id long, edits long, item_words long, start long, n_words long")
+    return tables.texts(docs).mapInArrow(tables.lean(work), "doc_id long, item_id long, edits long, item_words long, start long, n_words long")
 
 
 def drop_contaminated(docs: DataFrame, items: DataFrame, **options: float) -> DataFrame:

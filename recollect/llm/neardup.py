@@ -80,7 +80,7 @@ def sketches(docs: DataFrame, words: int) -> DataFrame:
                 uid += len(sets)
                 yield pa.RecordBatch.from_arrays([*ids, pa.array(n), digest(1), digest(2), pa.ListArray.from_arrays(pa.array(cuts), pa.array(flat))], ["uid", "doc_id", "th", "n", "s1", "s2", "sketch"])
 
-    return docs.select("doc_id", "th", "text").mapInArrow(work, "uid long, doc_id long, th long, n long, s1 long, s2 long, sketch array<long>")
+    return docs.select("doc_id", "th", "text").mapInArrow(tables.lean(work), "uid long, doc_id long, th long, n long, s1 long, s2 long, sketch array<long>")
 
 
 def full_sets(docs: DataFrame, words: int) -> DataFrame:
@@ -92,7 +92,7 @@ def full_sets(docs: DataFrame, words: int) -> DataFrame:
                 cuts = np.concatenate(([0], np.cumsum([len(s) for s in sets]))).astype(np.int32)
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(row, len(sets)), pa.ListArray.from_arrays(pa.array(cuts), pa.array(np.concatenate(sets).view(np.int64)))], ["uid", "shingles"])
 
-    return docs.select("uid", "text").mapInArrow(work, "uid long, shingles array<long>")
+    return docs.select("uid", "text").mapInArrow(tables.lean(work), "uid long, shingles array<long>")
 
 
 def least_shared(k: int) -> int:

@@ -189,7 +189,7 @@ def encode(docs: DataFrame, model: str | None = None, dropout: float = 0.1, seed
                 lists = pa.ListArray.from_arrays(pa.array(ends.astype(np.int32)), pa.array(ids.astype(np.int32)))
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), pa.array(sizes), lists, pa.array(crc, pa.int64()), pa.array(same)], ["doc_id", "n_pieces", "ids", "ids_crc32", "lossless"])
 
-    return tables.texts(docs).mapInArrow(work, "doc_id long, n_pieces long, ids array<int>, ids_crc32 long, lossless boolean")
+    return tables.texts(docs).mapInArrow(tables.lean(work, model_of.cache_clear), "doc_id long, n_pieces long, ids array<int>, ids_crc32 long, lossless boolean")
 
 
 def decode(rows: DataFrame, model: str | None = None) -> DataFrame:
@@ -205,4 +205,4 @@ def decode(rows: DataFrame, model: str | None = None) -> DataFrame:
                 texts = pieces.decode(np.asarray(lists.flatten()).astype(np.int64), sizes)
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(k, 512), pa.array(texts, pa.binary()).cast(pa.string())], ["doc_id", "text"])
 
-    return rows.select("doc_id", "ids").mapInArrow(work, "doc_id long, text string")
+    return rows.select("doc_id", "ids").mapInArrow(tables.lean(work, model_of.cache_clear), "doc_id long, text string")

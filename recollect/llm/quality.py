@@ -150,7 +150,7 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = 4000, axes: int = 48,
                 yield pa.RecordBatch.from_arrays([*(batch.column(c).slice(row, n) for c in (0, 2, 3)), pa.array([i.astype("<u2").tobytes() for i in at], pa.binary()), pa.array(value, pa.binary())], ["doc_id", "quality", "tie", "at", "value"])
 
     texts = docs.join(F.broadcast(learn), "doc_id").select("doc_id", "text", "quality", F.xxhash64("text").alias("tie"))
-    found = texts.mapInArrow(terms, "doc_id long, quality int, tie long, at binary, value binary")
+    found = texts.mapInArrow(tables.lean(terms), "doc_id long, quality int, tie long, at binary, value binary")
     rows = found.orderBy(F.xxhash64("doc_id"), "doc_id", "tie", "quality").limit(sample).collect()
     if not rows:
         return None
@@ -172,7 +172,7 @@ def score_documents(docs: DataFrame, labels: DataFrame, **options: int) -> DataF
                 score = np.full(n, 0.5) if voters is None else voters.score(counts)
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(row, n), batch.column(2).slice(row, n), pa.array(score), pa.array((score >= 0.5).astype(np.int32))], ["doc_id", "held_out", "score", "predicted"])
 
-    return rows.select("doc_id", "text", "held_out").mapInArrow(vote, "doc_id long, held_out boolean, score double, predicted int")
+    return rows.select("doc_id", "text", "held_out").mapInArrow(tables.lean(vote), "doc_id long, held_out boolean, score double, predicted int")
 
 
 def keep_good(docs: DataFrame, labels: DataFrame, threshold: float = 0.5, **options: int) -> DataFrame:
@@ -193,4 +193,4 @@ def keep_good(docs: DataFrame, labels: DataFrame, threshold: float = 0.5, **opti
                 part = pa.Table.from_batches([batch.slice(row, len(score))]).filter(pa.array(score >= threshold))
                 yield from part.to_batches()
 
-    return docs.mapInArrow(keep, docs.schema)
+    return docs.mapInArrow(tables.lean(keep), docs.schema)

@@ -1,5 +1,8 @@
 """Each stage of the pipeline on its own input, against a plain version."""
 
+import pyarrow as pa
+import pytest
+
 import corpus_pipeline
 from recollect.llm import decontam, pieces, quality, tables
 
@@ -46,3 +49,33 @@ def test_leaks_go_whatever_the_columns_are_called(spark):
     docs = spark.createDataFrame([(1, f"before {item} after", 7, 8), (2, "clean words", 7, 8), (None, None, 7, 8)], "doc_id long, text string, _key int, row int")
     kept = decontam.drop_contaminated(docs, spark.createDataFrame([(1, item)], "item_id long, text string"))
     assert kept.columns == docs.columns and sorted(r.doc_id or 0 for r in kept.collect()) == [0, 2]
+
+
+def test_workers_drop_what_a_task_held():
+    from recollect.llm import tables
+
+    dropped = []
+
+    def work(batches):
+        for x in batches:
+            if x < 0:
+                raise ValueError(x)
+            yield x + 1
+
+    assert list(tables.lean(work, lambda: dropped.append(1))([1, 2])) == [2, 3] and dropped == [1]
+    with pytest.raises(ValueError):
+        list(tables.lean(work, lambda: dropped.append(2))([1, -1]))
+    assert dropped == [1, 2]
+
+
+def test_no_piece_model_stays_in_a_worker(spark):
+    from recollect.llm import pieces
+
+    docs = spark.createDataFrame([(1, "some words")], "doc_id long, text string").coalesce(1)
+    pieces.encode(docs).collect()
+
+    def held(batches):
+        for _ in batches:
+            yield pa.RecordBatch.from_arrays([pa.array([pieces.model_of.cache_info().currsize])], ["n"])
+
+    assert {r.n for r in spark.range(8).mapInArrow(held, "n long").collect()} == {0}
