@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from recollect.functions import scoring, text
-from recollect.sources.settled import discard
+from recollect.operators.ranks import personalised_rank as personalised_rank
 from recollect.sources.settled import settled as _settled
 
 
@@ -44,40 +44,6 @@ def traverse(edges: DataFrame, seeds: DataFrame, depth: int, least_weight: float
     return seen.where(F.col("depth") > 0)
 
 
-def personalised_rank(edges: DataFrame, seeds: DataFrame, teleport: float = 0.15, settle: float = 1e-6, most_rounds: int = 100, least: float = 1e-10, at_once: int = 8) -> DataFrame:
-    """node, rank by personalised PageRank from uniform seeds over what they reach: weights are shares
-    of a node's out-edges, what dangling nodes hold goes back to the seeds. Rounds go on until no rank
-    changes by ``settle``. Ranks are written every ``at_once`` rounds, or every round where there are
-    dangling nodes, whose sum the next round needs. Ranks of ``least`` or less are left out. Without
-    seeds: no rows."""
-    seeds = seeds.select("node").distinct()
-    n = seeds.count()
-    total = edges.groupBy("source").agg(F.sum("weight").alias("total"))
-    shares = _settled(edges.join(total, "source").select("source", "target", (F.col("weight") / F.col("total")).alias("share")))
-    sources = shares.select(F.col("source").alias("node"))
-    dangling = not (shares.select(F.col("target").alias("node")).unionByName(seeds).join(sources, "node", "left_anti").isEmpty())
-    one = F.lit(1.0 / max(n, 1))
-    rank = _settled(seeds.select("node", one.alias("seed"), one.alias("rank"), F.lit(0.0).alias("was")))
-    home = _settled(seeds.select("node", one.alias("seed"), F.lit(0.0).alias("got"), F.lit(0.0).alias("was")))
-    for done in range(0, most_rounds, 1 if dangling else at_once):
-        lost = rank.join(sources, "node", "left_anti").agg(F.sum("rank")).first()[0] or 0.0 if dangling else 0.0
-        before = rank
-        for step in range(1 if dangling else min(at_once, most_rounds - done)):
-            last = step == (1 if dangling else min(at_once, most_rounds - done)) - 1
-            sent = rank.join(shares, F.col("node") == F.col("source")).select(F.col("target").alias("node"), F.lit(0.0).alias("seed"), (F.col("rank") * F.col("share")).alias("got"), F.lit(0.0).alias("was"))
-            parts = sent.unionByName(home)
-            if last:  # what the ranks were, to see what this round changes
-                parts = parts.unionByName(rank.select("node", F.lit(0.0).alias("seed"), F.lit(0.0).alias("got"), F.col("rank").alias("was")))
-            sums = parts.groupBy("node").agg(F.max("seed").alias("seed"), F.sum("got").alias("got"), F.max("was").alias("was"))
-            rank = sums.select("node", "seed", (F.col("seed") * (teleport + (1 - teleport) * lost) + (1 - teleport) * F.col("got")).alias("rank"), "was")
-        rank = _settled(rank)
-        discard(before)
-        if (rank.agg(F.max(F.abs(F.col("rank") - F.col("was")))).first()[0] or 0.0) < settle:
-            break
-    discard(shares, home)
-    return rank.select("node", "rank").where(F.col("rank") > least)
-
-
 def causal_chains(edges: DataFrame, seeds: DataFrame, depth: int = 3, least_confidence: float = 0.3) -> DataFrame:
     """path, effect, depth, score, probability: simple paths from the seeds along causal edges (cause,
     effect, strength, confidence, evidence). score averages strength * confidence * ln(1 + evidence),
