@@ -12,7 +12,6 @@ separate documents, ordered by a hash of their texts. An empty table gives no sh
 from __future__ import annotations
 
 import os
-import re
 import struct
 import zlib
 from collections.abc import Callable, Iterator
@@ -29,9 +28,12 @@ from . import arrays, tables
 MAGIC = b"RPG1"
 HEAD = struct.Struct("<4sIIIIIQ")
 STEP = 1024
-SIMPLE = re.compile("[a-zß-öø-ÿ]+").fullmatch
 #: The characters by which byte-level models show bytes that Latin-1 doesn't print.
-SHOWN = {b: 256 + i for i, b in enumerate([*range(0x21), *range(0x7F, 0xA1), 0xAD])}
+SHOWN = np.arange(256, dtype="<u2")
+SHOWN[[*range(0x21), *range(0x7F, 0xA1), 0xAD]] = 256 + np.arange(68)
+#: Second bytes of ß-ö and ø-ÿ, whose first is 0xC3.
+SECOND = np.zeros(256, dtype=bool)
+SECOND[[*range(0x9F, 0xB7), *range(0xB8, 0xC0)]] = True
 LETTER = np.zeros(256, dtype=bool)
 LETTER[[*range(65, 91), *range(97, 123)]] = True
 SHARDS = "part int, shard int, first_doc long, docs long, before long, n_ids long, payload binary"
@@ -44,11 +46,11 @@ def compress(ids: np.ndarray, least: int = 4) -> tuple[np.ndarray, np.ndarray, n
     of equal symbols), as long as ``least`` of its pair are; rounds go on until no pair pays. Only
     places whose pair may still become frequent are looked at again."""
     n, base = len(ids), int(ids.max(initial=0)) + 1
-    seq, size = np.append(ids.astype(np.int64), -1), np.ones(n + 1, np.int64)
+    seq, size = np.append(ids.astype(np.int32), np.int32(-1)), np.ones(n + 1, np.int32)
     # Symbols keep their places, so that a round costs what it looks at; the place after the last ends both chains.
     after, before = np.append(np.arange(1, n + 1), n), np.append(np.arange(-1, n - 1), n)
     before[0] = n
-    rank, gone, marked = np.full(n + 1, -1, np.int64), np.zeros(n + 1, bool), np.zeros(n + 1, bool)
+    rank, gone, marked = np.full(n + 1, -1, np.int32), np.zeros(n + 1, bool), np.zeros(n + 1, bool)
     lefts, rights, lengths = [], [], []
     rules, at = 0, np.arange(n)
     while True:
@@ -59,19 +61,25 @@ def compress(ids: np.ndarray, least: int = 4) -> tuple[np.ndarray, np.ndarray, n
         a, b = seq[at], seq[right]
         # Of a run of equal pairs (a a a) every other one can be replaced.
         same = np.append(False, (a[1:] == b[1:]) & (a[:-1] == a[1:]) & (right[:-1] == at[1:]))
-        spot = np.arange(len(at))
-        odd = np.flatnonzero((spot - np.maximum.accumulate(np.where(same, 0, spot))) % 2)
-        even = np.delete(spot, odd) if len(odd) else spot
-        order, first = grouped(a[even] << np.int64(26) | b[even])
+        odd = np.flatnonzero(same)
+        run = np.maximum.accumulate(np.where(np.diff(odd, prepend=-2) > 1, odd, 0))
+        odd = odd[(odd - run) % 2 == 0]
+        even = at
+        if len(odd):
+            keep = np.ones(len(at), bool)
+            keep[odd] = False
+            even, a, b = at[keep], a[keep], b[keep]
+        order, first = grouped(a.astype(np.int64) << np.int64(26) | b)
         count = np.diff(np.append(first, len(order)))
         paying = np.flatnonzero(count >= least)
         if not len(paying):
             break
-        rank_of = np.full(len(first), -1, np.int64)  # by frequency, then by key
+        rank_of = np.full(len(first), -1, np.int32)  # by frequency, then by key
         rank_of[paying[np.argsort(count[paying], kind="stable")]] = np.arange(len(paying))
-        rank[at[even[order]]] = np.repeat(rank_of, count)
-        mine = rank[at[even]]
-        spots, mine = at[even[mine >= 0]], mine[mine >= 0]
+        rank[even[order]] = np.repeat(rank_of, count)
+        mine = rank[even]
+        paid = np.flatnonzero(mine >= 0)
+        spots, mine = even[paid], mine[paid]
         chosen = (mine > rank[before[spots]]) & (mine > rank[after[spots]])
         mine, took = mine[chosen], spots[chosen]
         used = np.bincount(mine, minlength=len(paying))
@@ -210,6 +218,15 @@ def units(data: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray, np.ndarr
     return low, starts, ends, whole
 
 
+def plain_letters(data: np.ndarray, size: int) -> np.ndarray:
+    """How many bytes before each place belong to anything but lower-case letters of Latin-1."""
+    here = data[:size]
+    first = (here == 0xC3) & SECOND[data[1 : size + 1]]
+    good = (here >= 97) & (here <= 122) | first
+    good[1:] |= first[:-1]
+    return np.concatenate(([0], np.cumsum(~good)))
+
+
 def word_encoder(path: str) -> Callable[[pa.Array], Iterator[tuple[int, np.ndarray, np.ndarray]]]:
     """Encodes with the tokenizers library, each distinct word between ASCII white space once: this
     tokenizer drops white space and merges nothing across it."""
@@ -219,19 +236,20 @@ def word_encoder(path: str) -> Callable[[pa.Array], Iterator[tuple[int, np.ndarr
     tokenizer, cache = Tokenizer.from_file(path), _CACHE.setdefault(path, arrays.SegmentCache(1_200_000))
     # Words go to the library many at a time, with a control character between them to part their ids.
     mark = "\x01"
-    model = tokenizer.model
+    tokenize = tokenizer.model.tokenize
     (mark_id,) = tokenizer.encode(mark, add_special_tokens=False).ids
 
     def encode(column: pa.Array) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
         for row, data, offsets in arrays.chunks(column, 2_000_000):
             data, starts, ends, whole = units(data, int(offsets[-1]))
-            raw = data.tobytes()
+            raw, shown, strange = data.tobytes(), SHOWN[data].tobytes().decode("utf-16-le"), plain_letters(data, int(offsets[-1]))
 
-            def new(first: np.ndarray, starts=starts, ends=ends, whole=whole, raw=raw) -> tuple[np.ndarray, np.ndarray]:
+            def new(first: np.ndarray, starts=starts, ends=ends, whole=whole, raw=raw, shown=shown, strange=strange) -> tuple[np.ndarray, np.ndarray]:
                 flat, size = [], np.zeros(len(first), np.int64)
-                words = [raw[a:b].decode() for a, b in zip(starts[first].tolist(), ends[first].tolist(), strict=True)]
-                plain = np.array([SIMPLE(w) is not None for w in words], bool)
+                begin, end = starts[first], ends[first]
+                plain = strange[begin] == strange[end]
                 alone = whole[first] & ~plain
+                words = {i: raw[begin[i] : end[i]].decode() for i in np.flatnonzero(~plain).tolist()}
                 many, few, direct = np.flatnonzero(~alone & ~plain), np.flatnonzero(alone), np.flatnonzero(plain)
                 for k in range(0, len(many), 512):
                     some = many[k : k + 512]
@@ -242,7 +260,7 @@ def word_encoder(path: str) -> Callable[[pa.Array], Iterator[tuple[int, np.ndarr
                 each = [np.array(e.ids, dtype=np.int32) for e in tokenizer.encode_batch_fast([words[i] for i in few.tolist()], add_special_tokens=False)] if len(few) else []
                 size[few] = [len(x) for x in each]
                 # Lower-case letters alone are one piece as they are, which goes to the model at once.
-                pieces = [[t.id for t in model.tokenize(words[i] if words[i].isascii() else words[i].encode().decode("latin-1").translate(SHOWN))] for i in direct.tolist()]
+                pieces = [[t.id for t in tokenize(shown[a:b])] for a, b in zip(begin[direct].tolist(), end[direct].tolist(), strict=True)]
                 size[direct] = [len(x) for x in pieces]
                 done = np.concatenate([*flat, *each, np.array([i for x in pieces for i in x], np.int32)])
                 order = np.concatenate((many, few, direct))

@@ -171,3 +171,31 @@ def test_distinct_hashes_as_numpy_finds_them():
     for keys in (rng.integers(0, 50, 1000).astype(np.uint64), arrays.mix(rng.integers(0, 500, 3000).astype(np.uint64)), np.zeros(0, np.uint64)):
         for a, b in zip(arrays.distinct(keys), np.unique(keys, return_index=True, return_inverse=True), strict=True):
             assert a.tolist() == b.tolist()
+
+
+def test_letters_alone_go_to_the_model_as_bytes_are_shown():
+    """Words of a-z, ß-ö, ø-ÿ alone are told by their bytes, and stretches of equal ids are halved."""
+    import re
+
+    import numpy as np
+    import public_tokenizers
+    import pyarrow as pa
+    from tokenizers import Tokenizer
+
+    from recollect.llm import repair
+
+    texts = ["straße größe ÷ø ÷ à÷à þÿ ÞÀ éééx x́ naïve Ã ß÷ ǽ ā 東京 ab1c ÿ", "", "ÿ", "ß", "Ã\u009f aÂb ñandú"]
+    words = " ".join(texts).split(" ")
+    data = np.frombuffer("\n".join(words).encode() + b"\n" + b"\0" * 8, dtype=np.uint8)
+    upto, at = repair.plain_letters(data, len(data) - 8), 0
+    for word in words:
+        end = at + len(word.encode())
+        assert (upto[at] == upto[end]) == (re.fullmatch("[a-zß-öø-ÿ]*", word) is not None), word
+        at = end + 1
+    path = public_tokenizers.path("word_bpe_49k.json")
+    library, mine = Tokenizer.from_file(path), repair.word_encoder(path)
+    for _, ids, size in mine(pa.array(texts)):
+        assert ids.tolist() == [i for t in texts for i in library.encode(t, add_special_tokens=False).ids] and len(size) == len(texts)
+    for ids in (np.full(1001, 7), np.array([1, 1, 1, 2] * 50 + [3, 3] * 31 + [5] * 9)):
+        payload = repair.pack(ids.astype(np.int32), np.array([1]), np.array([len(ids)]))
+        assert np.array_equal(repair.Shard(payload).ids(), ids)
