@@ -34,7 +34,14 @@ from .components import components
 
 K = 192
 FIRST = 64
-CELL = 512
+#: A cell holds twice so many members, and values of members, at most.
+CELL = 1024
+VALUES = 500_000
+#: Values that so many sketches of a cell hold at most are counted pair by pair.
+FEW = 16
+#: A cell offers all pairs that may be links up to so many for each member, a forest beyond.
+SPARE = 4
+PAIR = "hub long, member long, known boolean"
 #: Ids up to this many are sent to all tasks to pick rows; beyond, rows and ids are joined by a shuffle.
 SENT = 1_000_000
 
@@ -126,19 +133,153 @@ def _sizes(a: str, b: str) -> Column:
     return (F.col(a) * 5 >= F.col(b) * 4) & (F.col(b) * 5 >= F.col(a) * 4)
 
 
-def _known(na: str, nb: str) -> Column:
-    """Whether both sketches are the sets themselves."""
-    return (F.col(na) <= K) & (F.col(nb) <= K)
+def _padded(flat: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """A row of ``K`` places for each sketch of a ragged array, filled up with the largest value."""
+    out = np.full((len(sizes), K), np.iinfo(np.int64).max)
+    out[np.arange(K) < sizes[:, None]] = flat
+    return out
 
 
-def _may_link(a: str, b: str, na: str, nb: str) -> Column:
-    """Whether the sketch of the union leaves the similarity at the threshold. At the threshold the
-    union has (na + nb) / 1.8 values; the nearer the sketch comes to all of them, the less the share
-    in it can stray (4.7 deviations are allowed). Of sets that the sketches hold whole it is exact."""
-    union = F.slice(F.sort_array(F.array_union(a, b)), 1, K)
-    both = F.size(F.array_intersect(union, F.array_intersect(a, b)))
-    stray = F.lit(4.7) * F.sqrt(0.16 * F.size(union) * F.greatest(F.lit(0.0), 1 - F.size(union) * 1.8 / (F.col(na) + F.col(nb))))
-    return F.when(_known(na, nb), 9 * F.size(F.array_intersect(a, b)) >= 4 * (F.col(na) + F.col(nb))).otherwise(both >= F.floor(0.8 * F.size(union) - stray))
+def _enough(both: np.ndarray, shared: np.ndarray, union: np.ndarray, na: np.ndarray, nb: np.ndarray) -> np.ndarray:
+    """Whether ``both`` values of a union's sketch of ``union`` values leave the similarity at the
+    threshold. At the threshold the union has (na + nb) / 1.8 values; the nearer the sketch comes to all
+    of them, the less the share in it can stray (4.7 deviations are allowed). Of sets that the sketches
+    hold whole it is exact, by the ``shared`` values."""
+    stray = 4.7 * np.sqrt(0.16 * union * np.maximum(0.0, 1 - union * 1.8 / (na + nb)))
+    return np.where((na <= K) & (nb <= K), 9 * shared >= 4 * (na + nb), both >= np.floor(0.8 * union - stray))
+
+
+def may_link(a: np.ndarray, b: np.ndarray, na: np.ndarray, nb: np.ndarray) -> np.ndarray:
+    """Whether the sketch of the union of each row of ``a`` and ``b`` (padded sketches of sets of ``na``
+    and ``nb`` values) leaves the similarity at the threshold."""
+    held = np.minimum(na, K) + np.minimum(nb, K)
+    values = np.sort(np.concatenate((a, b), axis=1), axis=1)
+    again = (values[:, 1:] == values[:, :-1]) & (np.arange(1, 2 * K) < held[:, None])
+    place = np.arange(2, 2 * K + 1) - np.cumsum(again, axis=1)  # in the union, of the value that comes again
+    shared = again.sum(axis=1)
+    return _enough((again & (place <= K)).sum(axis=1), shared, np.minimum(K, held - shared), na, nb)
+
+
+def _ragged(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """Values and sizes of an array of lists."""
+    return column.flatten().to_numpy(zero_copy_only=False), np.diff(column.offsets.to_numpy()).astype(np.int64)
+
+
+def _compared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The rows (hub, member, na, nb, sa, sb) that may be links: hub, member, known."""
+    for whole in batches:
+        for at in range(0, whole.num_rows, 4096):
+            batch = whole.slice(at, 4096)
+            na, nb = (batch.column(c).to_numpy() for c in ("na", "nb"))
+            on = may_link(*(_padded(*_ragged(batch.column(c))) for c in ("sa", "sb")), na, nb)
+            yield pa.RecordBatch.from_arrays([*(batch.column(c).filter(pa.array(on)) for c in ("hub", "member")), pa.array(((na <= K) & (nb <= K))[on])], ["hub", "member", "known"])
+
+
+def _shared(flat: np.ndarray, sizes: np.ndarray, left: np.ndarray, right: np.ndarray) -> np.ndarray:
+    """How many values each of ``left`` has in common with each of ``right`` (places of sketches in a
+    ragged array). Values that few sketches hold are counted pair by pair, others by a product of matrices."""
+    m = len(sizes)
+    order = np.argsort(flat, kind="stable")
+    value, who = flat[order], np.repeat(np.arange(m), sizes)[order]
+    run = np.cumsum(np.diff(value, prepend=value[:1]) != 0)
+    held = np.bincount(run)[run]
+    few, a, b = held <= FEW, [], []
+    v, w = run[few], who[few]
+    for step in range(1, min(FEW, len(v))):
+        same = v[step:] == v[:-step]
+        a.append(w[:-step][same])
+        b.append(w[step:][same])
+    row, col = np.full(m, -1), np.full(m, -1)
+    row[left], col[right] = np.arange(len(left)), np.arange(len(right))
+    a, b = (np.concatenate(x) if x else np.zeros(0, np.int64) for x in (a + b, b + a))
+    on = (row[a] >= 0) & (col[b] >= 0)
+    out = np.bincount(row[a[on]] * len(right) + col[b[on]], minlength=len(left) * len(right)).reshape(len(left), len(right)).astype(np.float32)
+    number, w = np.unique(run[~few], return_inverse=True)[1], who[~few]
+    for first in range(0, int(number.max(initial=-1)) + 1, 4096):
+        part = (number >= first) & (number < first + 4096)
+        holds = np.zeros((m, int(number[part].max()) - first + 1), np.float32)
+        holds[w[part], number[part] - first] = 1
+        out += holds[left] @ holds[right].T
+    return out.astype(np.int64)
+
+
+def forest(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Of edges between nodes ``a`` and ``b``, the preferred ones first, those of a spanning forest that
+    prefers the same way."""
+    nodes, ends = np.unique(np.concatenate((a, b)), return_inverse=True)
+    label, alive, chosen = np.arange(len(nodes)), np.arange(len(a)), []
+    a, b = ends[: len(a)], ends[len(a) :]
+    while True:
+        alive = alive[label[a[alive]] != label[b[alive]]]
+        if not len(alive):
+            return np.sort(np.concatenate(chosen)) if chosen else alive
+        x, y, best = label[a[alive]], label[b[alive]], np.full((2, len(nodes)), len(alive))
+        best[0, x[::-1]] = best[1, y[::-1]] = np.arange(len(alive))[::-1]  # the first edge of each tree is written last
+        best = best.min(axis=0)
+        pick = np.unique(best[best < len(alive)])
+        chosen.append(alive[pick])
+        x, y, to = x[pick], y[pick], np.arange(len(nodes))
+        while (to[x] != to[y]).any():
+            low = np.minimum(to[x], to[y])
+            np.minimum.at(to, x, low)
+            np.minimum.at(to, y, low)
+            to = to[to]
+        label = to[label]
+
+
+def _met(cell: pa.RecordBatch, every: bool) -> Iterator[pa.RecordBatch]:
+    """hub, member, known of the pairs of one cell that are apart and may be links, by sketches. Where
+    there are many, a spanning forest of its components by the shared values and a row of the block
+    alone, which says so. With ``every``, ``held`` is the full set, and a forest of the links comes out."""
+    block, i, j, rep, component, n, own = (cell.column(c).to_numpy() for c in ("block", "i", "j", "rep", "component", "n", "own"))
+    if (component == component[0]).all():
+        return
+    flat, sizes = _ragged(cell.column("held"))
+    left, right = np.flatnonzero(own == i), np.flatnonzero(own == j)
+    shared = _shared(flat, sizes, left, right)
+    x, y = np.nonzero(shared)
+    shared, x, y = shared[x, y], left[x], right[y]
+    # The union's sketch has no more values of both than the two sketches share.
+    enough = (lambda: 9 * shared >= 4 * (n[x] + n[y])) if every else (lambda: _enough(shared, shared, np.minimum(K, sizes[x] + sizes[y] - shared), n[x], n[y]))
+    for test in (lambda: (component[x] != component[y]) & ((i[0] != j[0]) | (x < y)), lambda: (n[x] * 5 >= n[y] * 4) & (n[y] * 5 >= n[x] * 4), enough):
+        on = test()
+        shared, x, y = shared[on], x[on], y[on]
+    if every or len(x) > SPARE * len(rep):
+        order = np.argsort(-shared / (sizes[x] + sizes[y] - shared), kind="stable")
+        x, y = x[order], y[order]
+        pick = forest(component[x], component[y])
+        x, y = x[pick], y[pick]
+        if not every:
+            yield pa.RecordBatch.from_arrays([pa.array(block[:1]), pa.nulls(1, pa.int64()), pa.nulls(1, pa.bool_())], ["hub", "member", "known"])
+    start = np.cumsum(sizes) - sizes
+    for at in range(0, len(x), 4096):
+        p, q = x[at : at + 4096], y[at : at + 4096]
+        if not every:
+            on = may_link(*(_padded(flat[arrays.spread(start[s], sizes[s])], sizes[s]) for s in (p, q)), n[p], n[q])
+            p, q = p[on], q[on]
+        a, b = rep[p], rep[q]
+        yield pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b)), pa.array((n[p] <= K) & (n[q] <= K) | every)], ["hub", "member", "known"])
+
+
+def _runs(batches: Iterator[pa.RecordBatch], keys: list[str]) -> Iterator[pa.RecordBatch]:
+    """The runs of rows with equal ``keys``."""
+    held: list[pa.RecordBatch] = []
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        cols = [batch.column(c).to_numpy() for c in keys]
+        cuts = np.flatnonzero(np.any([c[1:] != c[:-1] for c in cols], axis=0)) + 1
+        cuts = [0, *cuts.tolist(), batch.num_rows]
+        if held and any(held[-1].column(c)[-1].as_py() != x[0] for c, x in zip(keys, cols, strict=True)):
+            yield pa.concat_batches(held)
+            held = []
+        for first, last in zip(cuts[:-1], cuts[1:], strict=True):
+            held.append(batch.slice(first, last - first))
+            if last < batch.num_rows:
+                yield pa.concat_batches(held)
+                held = []
+    if held:
+        yield pa.concat_batches(held)
 
 
 def picked(rows: DataFrame, ids: DataFrame, key: str, how: str = "left_semi") -> DataFrame:
@@ -152,68 +293,92 @@ def links(rows: DataFrame, reps: DataFrame, words: int, used: tuple[DataFrame, .
 
     Every list offers a star: its most central member (that with most shared values) and each other
     member. Lists with one hub then make up a block, and members of a block that are still in
-    different components are compared inside a join, sketch against sketch, so that only what may be
-    a link comes out; blocks above ``CELL`` members are dealt out to cells, each pair to one.
+    different components are compared, sketch against sketch, so that only what may be a link comes
+    out; blocks above ``CELL`` members are dealt out to cells, each pair to one. A cell that has many such
+    pairs offers a forest of them first, since most texts of a large group are joined by a few links; what
+    that leaves apart is looked at again, by full sets once most of what forests offer is no link.
     """
     scratch = tables.Scratch()
     lists = scratch.written(candidate_lists(reps, FIRST), "dup-lists")
-    listed = scratch.written(picked(reps, scratch.written(lists.select("rep").distinct(), "dup-ids"), "rep"), "dup-listed")
-    tables.discard(*used)
-    hubs = lists.groupBy("v").agg(F.max(F.struct("central", (-F.col("rep")).alias("tie"), "rep", "n")).alias("h")).select("v", F.col("h.rep").alias("hub"), F.col("h.n").alias("hub_n"))
+    hubs = lists.groupBy("v").agg(F.count("*").alias("m"), F.max(F.struct("central", (-F.col("rep")).alias("tie"), "rep", "n")).alias("h")).where("m > 1").select("v", F.col("h.rep").alias("hub"), F.col("h.n").alias("hub_n"))
     starred = scratch.written(lists.select("v", "rep", "n").join(hubs, "v"), "dup-stars")
+    listed = scratch.written(picked(reps, scratch.written(starred.select("rep").distinct(), "dup-ids"), "rep"), "dup-listed")
+    tables.discard(*used)
     spokes = starred.where((F.col("rep") != F.col("hub")) & _sizes("n", "hub_n")).select(F.least("rep", "hub").alias("a"), F.greatest("rep", "hub").alias("b"), "hub")
     pairs = spokes.groupBy("a", "b").agg(F.max("hub").alias("hub")).select("hub", F.when(F.col("hub") == F.col("a"), F.col("b")).otherwise(F.col("a")).alias("member"))
     pairs = scratch.written(pairs, "dup-pairs")
     near = picked(listed.select(F.col("rep").alias("member"), F.col("n").alias("na"), F.col("sketch").alias("sa")), pairs, "member", "inner")
     centres = picked(listed, scratch.written(pairs.select(F.col("hub").alias("rep")).distinct(), "dup-ids"), "rep")
-    near = near.join(centres.select(F.col("rep").alias("hub"), F.col("n").alias("nb"), F.col("sketch").alias("sb")), "hub").where(_may_link("sa", "sb", "na", "nb"))
-    found = scratch.written(confirmed(rows, listed, near.select("hub", "member", _known("na", "nb").alias("known")), words), "dup-links")
-    where = components(found.select(F.col("hub").alias("a"), F.col("member").alias("b")))
-    more = scratch.written(confirmed(rows, listed, _across(starred, where, listed, scratch), words), "dup-links")
-    if not more.isEmpty():
-        tables.discard(where)
-        both = found.unionByName(more)
-        where = components(both.select(F.col("hub").alias("a"), F.col("member").alias("b")))
+    near = near.join(centres.select(F.col("rep").alias("hub"), F.col("n").alias("nb"), F.col("sketch").alias("sb")), "hub").select("hub", "member", "na", "nb", "sa", "sb")
+    found = scratch.written(confirmed(rows, listed, scratch.written(near.mapInArrow(tables.lean(_compared), PAIR), "dup-checked"), words), "dup-links")
+    where, blocks, every = components(found.select(F.col("hub").alias("a"), F.col("member").alias("b"))), None, False
+    while True:
+        met = scratch.written(_across(rows, starred, where, listed, words, scratch, blocks, every), "dup-checked")
+        offered = met.where(F.col("member").isNotNull())
+        more = offered if every else scratch.written(confirmed(rows, listed, offered, words), "dup-links")
+        gained = more.count()
+        if gained:
+            last, where = where, components(where.select(F.col("node").alias("a"), F.col("component").alias("b")).unionByName(more.select(F.col("hub").alias("a"), F.col("member").alias("b"))))
+            tables.discard(last)
+        blocks = scratch.written(met.where(F.col("member").isNull()).select(F.col("hub").alias("block")), "dup-ids")
+        if blocks.isEmpty():
+            break
+        every = gained * 2 <= offered.count()
     scratch.clear()
     return where.withColumnRenamed("node", "rep")
 
 
-def _across(starred: DataFrame, where: DataFrame, listed: DataFrame, scratch: tables.Scratch) -> DataFrame:
-    """hub, member, known of pairs that share a list of ``starred`` (v, rep, hub), aren't connected
-    yet and may be links."""
-    own = starred.join(where.withColumnRenamed("node", "rep"), "rep", "left").select("v", "rep", "hub", F.coalesce("component", "rep").alias("component"))
+def _across(rows: DataFrame, starred: DataFrame, where: DataFrame, listed: DataFrame, words: int, scratch: tables.Scratch, blocks: DataFrame | None, every: bool) -> DataFrame:
+    """hub, member, known of pairs that share a list of ``starred`` (v, rep, n, hub), aren't connected
+    yet and may be links, and the blocks of which more such pairs are left (hub alone). Only ``blocks``
+    are looked at, if given; with ``every``, their full sets, and links that connect all that is linked
+    come out."""
+    own = starred if blocks is None else picked(starred, blocks.withColumnRenamed("block", "hub"), "hub")
+    own = own.join(where.withColumnRenamed("node", "rep"), "rep", "left").select("v", "rep", "n", "hub", F.coalesce("component", "rep").alias("component"))
     # A list of two has had its only pair compared.
     still = own.groupBy("v").agg(F.count("*").alias("m"), F.min("component").alias("lo"), F.max("component").alias("hi")).where((F.col("m") > 2) & (F.col("lo") < F.col("hi")))
-    rows = scratch.written(own.join(still.select("v"), "v").select(F.col("hub").alias("block"), "rep", "component").distinct(), "dup-blocks")
-    cells = rows.groupBy("block").agg(F.ceil(F.count("*") / CELL).cast("int").alias("cells"))
-    blocks = rows.groupBy("rep").agg(F.collect_list("block").alias("blocks"))
-    places = scratch.written(rows.join(cells, "block").join(blocks, "rep"), "dup-places")
-    members = picked(listed.select("rep", "n", "sketch"), places, "rep", "inner").withColumn("own", F.pmod(F.xxhash64("rep"), F.col("cells")).cast("int"))
+    apart = scratch.written(own.join(still.select("v"), "v").select(F.col("hub").alias("block"), "rep", "n", "component").distinct(), "dup-blocks")
+    # A block's largest component meets the others, not itself.
+    held = F.col("n") if every else F.least("n", F.lit(K))
+    of = apart.groupBy("block", "component").agg(F.count("*").alias("m"), F.sum(held).alias("values")).groupBy("block").agg(F.sum("m").alias("m"), F.sum("values").alias("values"), F.max(F.struct("m", "values", "component")).alias("main"))
+    groups = lambda m, values: F.ceil(F.greatest(m / CELL, values / VALUES)).cast("int")
+    one = groups(F.col("m"), F.col("values")) == 1
+    of = of.select("block", F.col("main.component").alias("main"), F.when(one, 1).otherwise(groups(F.col("m") - F.col("main.m"), F.col("values") - F.col("main.values"))).alias("rest"), F.when(one, 0).otherwise(groups(F.col("main.m"), F.col("main.values"))).alias("mains"))
+    places = apart.drop("n").join(of, "block")
+    places = scratch.written(places.select("block", "rep", "component", "rest", "mains", ((F.col("component") == F.col("main")) & (F.col("mains") > 0)).alias("is_main")), "dup-places")
+    if every:
+        ids = scratch.written(places.select("rep").distinct(), "dup-ids")
+        sets = _sets(rows, listed, ids, words, scratch).select(F.col("uid").alias("rep"), F.size("shingles").cast("long").alias("n"), F.col("shingles").alias("held"))
+    else:
+        sets = listed.select("rep", "n", F.col("sketch").alias("held"))
+    number = F.xxhash64("rep")
+    members = picked(sets, places, "rep", "inner").withColumn("own", F.when(F.col("is_main"), F.col("rest") + F.pmod(number, F.greatest("mains", F.lit(1)))).otherwise(F.pmod(number, F.col("rest"))).cast("int"))
+    spread = members.withColumn("other", F.explode(F.sequence(F.lit(0), F.when(F.col("is_main"), F.col("rest")).otherwise(F.col("rest") + F.col("mains")) - 1)))
+    dealt = spread.select("block", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "rep", "component", "n", "held")
+    cell = ["block", "i", "j"]
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for run in _runs(batches, cell):
+            yield from _met(run, every)
+
+    return dealt.repartition(*cell).sortWithinPartitions(*cell).mapInArrow(tables.lean(work), PAIR).distinct()
 
-    def dealt(side: str) -> DataFrame:
-        other = F.explode(F.sequence(F.lit(0), F.col("cells") - 1))
-        spread = members.withColumn("other", other)
-        i, j = ("own", "other") if side == "x" else ("other", "own")
-        return spread.select(F.struct("block", F.col(i).alias("i"), F.col(j).alias("j")).alias(f"cell_{side}"), F.struct("rep", "component", "n", "blocks", "sketch").alias(side))
 
-    # A pair is looked at in the lowest block that holds both, and only there.
-    once = (F.size("x.blocks") + F.size("y.blocks") == 2) | (F.array_min(F.array_intersect("x.blocks", "y.blocks")) == F.col("cell_x.block"))
-    apart = (F.col("x.component") < F.col("y.component")) & _sizes("x.n", "y.n") & once
-    met = dealt("x").join(dealt("y"), (F.col("cell_x") == F.col("cell_y")) & apart & _may_link("x.sketch", "y.sketch", "x.n", "y.n"))
-    return met.select(F.col("x.rep").alias("hub"), F.col("y.rep").alias("member"), _known("x.n", "y.n").alias("known"))
+def _sets(rows: DataFrame, listed: DataFrame, ids: DataFrame, words: int, scratch: tables.Scratch) -> DataFrame:
+    """uid, shingles of the classes in ``ids`` (rep), written."""
+    ids = scratch.written(picked(listed, ids, "rep").select(F.col("rep").alias("uid"), F.col("doc_id").alias("id"), F.col("th").alias("h")), "dup-ids")
+    wanted = F.broadcast(ids) if ids.count() <= SENT else ids
+    return scratch.written(full_sets(rows.join(wanted, (F.col("doc_id") == F.col("id")) & (F.col("th") == F.col("h"))), words), "dup-sets")
 
 
 def confirmed(rows: DataFrame, listed: DataFrame, pairs: DataFrame, words: int) -> DataFrame:
-    """The ``pairs`` (hub, member, known) that are links: known ones are, others when their full sets
+    """The written ``pairs`` (hub, member, known) that are links: known ones are, others when their full sets
     have a Jaccard similarity of 0.8 or more. A member's set is put to its pair,
     a hub's set only joined in at the end, so that it isn't moved once per pair."""
     scratch = tables.Scratch()
-    pairs = scratch.written(pairs, "dup-checked")
     open_pairs = pairs.where(~F.col("known")).select("hub", "member")
     ids = open_pairs.select(F.col("hub").alias("rep")).unionByName(open_pairs.select(F.col("member").alias("rep"))).distinct()
-    ids = scratch.written(picked(listed, scratch.written(ids, "dup-ids"), "rep").select(F.col("rep").alias("uid"), F.col("doc_id").alias("id"), F.col("th").alias("h")), "dup-ids")
-    wanted = F.broadcast(ids) if ids.count() <= SENT else ids
-    sets = scratch.written(full_sets(rows.join(wanted, (F.col("doc_id") == F.col("id")) & (F.col("th") == F.col("h"))), words), "dup-sets")
+    sets = _sets(rows, listed, scratch.written(ids, "dup-ids"), words, scratch)
     both = open_pairs.join(sets.select(F.col("uid").alias("member"), F.col("shingles").alias("sa")), "member").join(sets.select(F.col("uid").alias("hub"), F.col("shingles").alias("sb")), "hub")
     linked = both.where(9 * F.size(F.array_intersect("sa", "sb")) >= 4 * (F.size("sa") + F.size("sb"))).select("hub", "member")
     out = tables.written(pairs.where("known").select("hub", "member").unionByName(linked), "dup-confirmed")

@@ -1,5 +1,6 @@
 from collections import defaultdict
 
+import numpy as np
 import pytest
 
 from recollect.llm import components, neardup
@@ -120,3 +121,70 @@ def test_blocks_dealt_out_to_cells(spark, rng, monkeypatch):
     got = {r.doc_id: r.component_id for r in neardup.groups(spark.createDataFrame(rows, "doc_id long, text string").repartition(5)).collect()}
     assert got == {k: c for k, (_, c) in want.items()}
     assert 3 < len(set(got.values())) < 80
+
+
+def drifted(rng, members, words=220, changes=20):
+    """Copies of copies: each is near the one it was made from, many are not near each other."""
+    texts = [[f"w{i}" for i in range(words)]]
+    while len(texts) < members:
+        copy = list(rng.choice(texts))
+        for _ in range(rng.randrange(1, changes)):
+            copy[rng.randrange(words)] = f"z{rng.random()}"
+        texts.append(copy)
+    return [(k, " ".join(t)) for k, t in enumerate(texts)]
+
+
+@pytest.mark.parametrize("cell", [1024, 64])
+def test_a_large_group_that_drifts_apart_costs_no_look_at_every_pair(spark, rng, monkeypatch, cell):
+    """Full sets are put beside each other for a few pairs a member; each pair of the group, before."""
+    looked, confirmed = [], neardup.confirmed
+
+    def counted(rows, listed, pairs, words):
+        looked.append(pairs.count())
+        return confirmed(rows, listed, pairs, words)
+
+    monkeypatch.setattr(neardup, "confirmed", counted)
+    monkeypatch.setattr(neardup, "CELL", cell)
+    rows = drifted(rng, 120)
+    rows += [(1000 + k, " ".join([f"w{i}" for i in range(190)] + [f"q{rng.random()}" for _ in range(30)])) for k in range(100)]  # near the threshold, no links
+    want = plain(rows, 2)
+    got = {r.doc_id: r.component_id for r in neardup.groups(spark.createDataFrame(rows, "doc_id long, text string").repartition(5)).collect()}
+    assert got == {k: c for k, (_, c) in want.items()}
+    assert sum(looked) < 4 * len(rows), looked
+
+
+def test_shared_values_of_a_cell_and_the_estimate_against_sets(rng):
+    sets = [np.array(sorted(rng.sample(range(-600, 600), rng.randrange(1, 400)))) for _ in range(30)]
+    sets += [np.array(sorted(rng.sample(range(10**6), 5))) for _ in range(3)]
+    left, right = np.array([0, 3, 4, *range(10, 20)]), np.array([1, 2, *range(20, 33)])
+    got = neardup._shared(np.concatenate(sets), np.array([len(s) for s in sets]), left, right)
+    assert got.tolist() == [[len(set(sets[a]) & set(sets[b])) for b in right] for a in left]
+    # Sets of copies on both sides of the threshold, below and above the length of sketches.
+    pairs = []
+    for n in (1, 3, 50, 192, 193, 300, 2000):
+        for share in (0, 0.05, 0.1, 0.11, 0.12, 0.2, 0.5):
+            a = rng.sample(range(-(10**9), 10**9), n)
+            pairs.append((set(a), set(a[int(n * share) :]) | set(rng.sample(range(2 * 10**9, 3 * 10**9), int(n * share)))))
+    low = [[np.array(sorted(s)[: neardup.K]) for s in side] for side in zip(*pairs, strict=True)]
+    na, nb = (np.array([len(s) for s in side]) for side in zip(*pairs, strict=True))
+    got = neardup.may_link(*(neardup._padded(np.concatenate(side), np.array([len(s) for s in side])) for side in low), na, nb)
+    for (a, b), may in zip(pairs, got.tolist(), strict=True):
+        union = sorted(set(sorted(a)[: neardup.K]) | set(sorted(b)[: neardup.K]))[: neardup.K]
+        both = len(set(union) & a & b)
+        stray = 4.7 * (0.16 * len(union) * max(0, 1 - len(union) * 1.8 / (len(a) + len(b)))) ** 0.5
+        assert may == (9 * len(a & b) >= 4 * (len(a) + len(b)) if max(len(a), len(b)) <= neardup.K else both >= np.floor(0.8 * len(union) - stray))
+
+
+def test_forest_spans_and_prefers_the_first_edges(rng):
+    edges = [(rng.randrange(80), rng.randrange(80)) for _ in range(150)]
+    root, want = list(range(80)), []
+    for k, (a, b) in enumerate(edges):  # Kruskal
+        while root[a] != a:
+            a = root[a]
+        while root[b] != b:
+            b = root[b]
+        if a != b:
+            root[b] = a
+            want.append(k)
+    assert neardup.forest(*np.array(edges).T).tolist() == want
+    assert neardup.forest(np.zeros(0, np.int64), np.zeros(0, np.int64)).tolist() == []
