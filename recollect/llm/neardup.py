@@ -36,9 +36,9 @@ K = 192
 FIRST = 64
 #: A cell holds twice so many members, and values of members, at most.
 CELL = 1024
-VALUES = 500_000
+VALUES = 250_000
 #: Values that so many sketches of a cell hold at most are counted pair by pair.
-FEW = 16
+FEW = 8
 #: A cell offers all pairs that may be links up to so many for each member, a forest beyond.
 SPARE = 4
 PAIR = "hub long, member long, known boolean"
@@ -168,8 +168,8 @@ def _ragged(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
 def _compared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """The rows (hub, member, na, nb, sa, sb) that may be links: hub, member, known."""
     for whole in batches:
-        for at in range(0, whole.num_rows, 4096):
-            batch = whole.slice(at, 4096)
+        for at in range(0, whole.num_rows, 1024):
+            batch = whole.slice(at, 1024)
             na, nb = (batch.column(c).to_numpy() for c in ("na", "nb"))
             on = may_link(*(_padded(*_ragged(batch.column(c))) for c in ("sa", "sb")), na, nb)
             yield pa.RecordBatch.from_arrays([*(batch.column(c).filter(pa.array(on)) for c in ("hub", "member")), pa.array(((na <= K) & (nb <= K))[on])], ["hub", "member", "known"])
@@ -183,24 +183,27 @@ def _shared(flat: np.ndarray, sizes: np.ndarray, left: np.ndarray, right: np.nda
     value, who = flat[order], np.repeat(np.arange(m), sizes)[order]
     run = np.cumsum(np.diff(value, prepend=value[:1]) != 0)
     held = np.bincount(run)[run]
-    few, a, b = held <= FEW, [], []
+    few = held <= FEW
     v, w = run[few], who[few]
-    for step in range(1, min(FEW, len(v))):
-        same = v[step:] == v[:-step]
-        a.append(w[:-step][same])
-        b.append(w[step:][same])
     row, col = np.full(m, -1), np.full(m, -1)
     row[left], col[right] = np.arange(len(left)), np.arange(len(right))
-    a, b = (np.concatenate(x) if x else np.zeros(0, np.int64) for x in (a + b, b + a))
-    on = (row[a] >= 0) & (col[b] >= 0)
-    out = np.bincount(row[a[on]] * len(right) + col[b[on]], minlength=len(left) * len(right)).reshape(len(left), len(right)).astype(np.float32)
+    out = np.zeros(len(left) * len(right), np.int64)
+    for step in range(1, FEW):
+        same = v[step:] == v[:-step]
+        if not same.any():
+            break
+        a, b = w[:-step][same], w[step:][same]
+        for r, c in ((row[a], col[b]), (row[b], col[a])):
+            on = (r >= 0) & (c >= 0)
+            out += np.bincount(r[on] * len(right) + c[on], minlength=len(out))
+    out = out.reshape(len(left), len(right))
     number, w = np.unique(run[~few], return_inverse=True)[1], who[~few]
-    for first in range(0, int(number.max(initial=-1)) + 1, 4096):
-        part = (number >= first) & (number < first + 4096)
+    for first in range(0, int(number.max(initial=-1)) + 1, 2048):
+        part = (number >= first) & (number < first + 2048)
         holds = np.zeros((m, int(number[part].max()) - first + 1), np.float32)
         holds[w[part], number[part] - first] = 1
-        out += holds[left] @ holds[right].T
-    return out.astype(np.int64)
+        out += (holds[left] @ holds[right].T).astype(np.int64)
+    return out
 
 
 def forest(a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -252,8 +255,8 @@ def _met(cell: pa.RecordBatch, every: bool) -> Iterator[pa.RecordBatch]:
         if not every:
             yield pa.RecordBatch.from_arrays([pa.array(block[:1]), pa.nulls(1, pa.int64()), pa.nulls(1, pa.bool_())], ["hub", "member", "known"])
     start = np.cumsum(sizes) - sizes
-    for at in range(0, len(x), 4096):
-        p, q = x[at : at + 4096], y[at : at + 4096]
+    for at in range(0, len(x), 1024):
+        p, q = x[at : at + 1024], y[at : at + 1024]
         if not every:
             on = may_link(*(_padded(flat[arrays.spread(start[s], sizes[s])], sizes[s]) for s in (p, q)), n[p], n[q])
             p, q = p[on], q[on]
@@ -337,7 +340,8 @@ def _across(rows: DataFrame, starred: DataFrame, where: DataFrame, listed: DataF
     own = own.join(where.withColumnRenamed("node", "rep"), "rep", "left").select("v", "rep", "n", "hub", F.coalesce("component", "rep").alias("component"))
     # A list of two has had its only pair compared.
     still = own.groupBy("v").agg(F.count("*").alias("m"), F.min("component").alias("lo"), F.max("component").alias("hi")).where((F.col("m") > 2) & (F.col("lo") < F.col("hi")))
-    apart = scratch.written(own.join(still.select("v"), "v").select(F.col("hub").alias("block"), "rep", "n", "component").distinct(), "dup-blocks")
+    still = scratch.written(still.select("v"), "dup-ids")
+    apart = scratch.written(picked(own, still, "v").select(F.col("hub").alias("block"), "rep", "n", "component").distinct(), "dup-blocks")
     # A block's largest component meets the others, not itself.
     held = F.col("n") if every else F.least("n", F.lit(K))
     of = apart.groupBy("block", "component").agg(F.count("*").alias("m"), F.sum(held).alias("values")).groupBy("block").agg(F.sum("m").alias("m"), F.sum("values").alias("values"), F.max(F.struct("m", "values", "component")).alias("main"))

@@ -154,7 +154,7 @@ def test_a_large_group_that_drifts_apart_costs_no_look_at_every_pair(spark, rng,
 
 
 def test_shared_values_of_a_cell_and_the_estimate_against_sets(rng):
-    sets = [np.array(sorted(rng.sample(range(-600, 600), rng.randrange(1, 400)))) for _ in range(30)]
+    sets = [np.array(sorted(rng.sample(range(-3000, 3000), rng.randrange(1, 4000)))) for _ in range(30)]
     sets += [np.array(sorted(rng.sample(range(10**6), 5))) for _ in range(3)]
     left, right = np.array([0, 3, 4, *range(10, 20)]), np.array([1, 2, *range(20, 33)])
     got = neardup._shared(np.concatenate(sets), np.array([len(s) for s in sets]), left, right)
